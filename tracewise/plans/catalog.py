@@ -901,7 +901,8 @@ def auc_vs_train_size(spark, sf_dir):
 
 
 @query(RUNS + auc_sql("runs", f"{_CELL}, params") + f"""
-SELECT {_CELL}, arg_min(params, (-round(auc, 9), params)) AS params, round(max(auc), 6) AS auc FROM aucs GROUP BY ALL""")
+SELECT {_CELL}, arg_min(params, (-round(auc, 9), params)) AS params, round(max(auc), 6) AS auc FROM aucs
+WHERE auc IS NOT NULL GROUP BY {_CELL}""")
 def best_by_auc(spark, sf_dir):
     return tune.best_by_auc(V.run_predictions(spark, sf_dir)).withColumn("auc", F.round("auc", 6))
 
@@ -917,7 +918,8 @@ def best_by_auc_per_length(spark, sf_dir):
 def _stable_sql(beta: float) -> str:
     return _RUN_AUC + _RMSPD + f""", sc AS (SELECT {_CELL}, params, auc - {beta} * rmspd AS score
   FROM ra JOIN rm USING ({_CELL}, params))
-SELECT {_CELL}, arg_min(params, (-round(score, 9), params)) AS params, round(max(score), 6) AS score FROM sc GROUP BY ALL"""
+SELECT {_CELL}, arg_min(params, (-round(score, 9), params)) AS params, round(max(score), 6) AS score FROM sc
+WHERE score IS NOT NULL GROUP BY {_CELL}"""
 
 
 @query(_stable_sql(5))
@@ -943,3 +945,85 @@ def best_by_val_loss(spark, sf_dir):
     curves = pred.groupBy("dataset", F.col("Method").alias("params"), (F.col("nr_events") - 1).alias("epoch")).agg(
         F.avg(F.abs(F.col("predicted") - F.col("actual"))).alias("val_loss"))
     return tune.best_by_val_loss(curves, by=["dataset"]).withColumn("val_loss", F.round("val_loss", 6))
+
+
+# ------------------------------------------------------------------ models: no SQL twin
+
+
+_SMALL = {"rf": {"n_estimators": 10, "max_features": 0.5, "max_depth": 5},
+          "xgboost": {"n_estimators": 5, "learning_rate": 0.1, "subsample": 0.8, "max_depth": 3, "colsample_bytree": 0.8,
+                      "min_child_weight": 1},
+          "gbm": {"n_estimators": 5, "learning_rate": 0.1, "max_features": 0.5},
+          "dt": {"max_depth": 5}, "logit": {"C": 2}, "svm": {"C": 1, "gamma": -3}}
+# what a model may see: not k, which decides the outcome
+_MODEL_SPEC = V.EVENTS_SPEC.with_(dynamic_num=("value", "hour", "timesincelastevent"), static_cat=(), static_num=())
+
+
+def _model_log(spark, sf_dir) -> EventLog:
+    log = V.labelled_events(spark, sf_dir)
+    log = timefeat.time_since_last(log.with_df(timefeat.calendar_features(log.df, "ts")))
+    return EventLog(log.df, _MODEL_SPEC, log.hot)
+
+
+def _model_query(cls: str, method: str = "single_agg") -> None:
+    def run(spark, sf_dir):
+        from tracewise.plans.experiment import final_predictions
+
+        params = _SMALL[cls.removesuffix("_calibrated")]
+        pred = final_predictions(_model_log(spark, sf_dir), method, cls, params, n_estimators=None, threads=4)
+        return pred.withColumn("predicted", F.round("predicted", 9))
+
+    run.__name__ = f"predict_{cls}" if method == "single_agg" else f"predict_{cls}_{method}"
+    query()(run)
+
+
+for _cls in ("rf", "xgboost", "gbm", "dt", "logit", "svm", "rf_calibrated"):
+    _model_query(_cls)
+_model_query("logit", "state_laststate")
+_model_query("logit", "cluster_agg")
+_model_query("dt", "prefix_index")
+
+
+@query()
+def bucket_cluster(spark, sf_dir):
+    log = prefixes(V.log_events(spark, sf_dir))
+    groups = B.bucketer("cluster", V.EVENTS_SPEC, k=4).fit(log)
+    return groups.transform(log).df.select("event_id", "bucket")
+
+
+@query()
+def predict_sequence(spark, sf_dir):
+    from tracewise.plans.experiment import final_predictions
+
+    params = {"lstmsize": 8, "n_layers": 1, "nb_epoch": 20}
+    return final_predictions(_model_log(spark, sf_dir), "lstm", "sequence_calibrated", params)
+
+
+@query()
+def learning_curve(spark, sf_dir):
+    from tracewise.operators.models import learning_curve as curve
+    from tracewise.operators.train import encode_splits
+    from tracewise.plans.experiment import splits
+
+    log = _model_log(spark, sf_dir)
+    train, val, _ = splits(log)
+    data = encode_splits(train, {"val": val}, "single_agg", split.max_prefix_length(log))
+    return curve(_SMALL["xgboost"], data.bucket("train", 1), data.bucket("val", 1), params_text="small")
+
+
+@query()
+def tuning_runs(spark, sf_dir):
+    """Two parameter sets, two runs each, on the validation cases; the better one by AUC and stability."""
+    from tracewise.plans.experiment import tuning_predictions
+
+    pred = tuning_predictions(_model_log(spark, sf_dir), "single_agg", "rf", ["5_0.3", "5_0.9"], n_runs=2)
+    return tune.best_by_auc_stability(pred, runs=2)
+
+
+@query()
+def stability_report(spark, sf_dir):
+    """Log to splits, forest, calibration, smoothing sweep: AUC and stability per smoothing weight."""
+    from tracewise.plans.experiment import evaluate, final_predictions
+
+    pred = final_predictions(_model_log(spark, sf_dir), "single_agg", "rf_calibrated", _SMALL["rf"], n_estimators=None)
+    return evaluate(pred)
