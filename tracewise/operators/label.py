@@ -51,7 +51,7 @@ def label_activity_within(log: EventLog, activity: str, max_minutes: float = 28
 
 def label_attribute_present(log: EventLog, attribute: str, cut: bool = True, invert: bool = True) -> EventLog:
     """A case in which the flag is ever true is negative (positive with ``invert=False``)."""
-    return label_predicate(log, c(attribute).cast("boolean"), cut, invert)
+    return label_predicate(log, c(attribute).try_cast("boolean"), cut, invert)
 
 
 def label_attribute_equals(log: EventLog, attribute: str, value, cut: bool = False) -> EventLog:

@@ -186,9 +186,12 @@ def _carried(kind: str, part, before) -> dict[str, Column]:
     if kind == "mean":
         return {"n": F.sum(part("n")).over(before), "s": F.sum(part("s")).over(before)}
     if kind == "std":
+        # moments about a mean of the group itself, so that little is lost by cancellation
+        off = part("a") - part("about")
         return {"n": F.sum(part("n")).over(before),
-                "s": F.sum(part("n") * part("a")).over(before),
-                "q": F.sum(part("n") * (part("p") + part("a") * part("a"))).over(before)}
+                "s": F.sum(part("n") * off).over(before),
+                "q": F.sum(part("n") * (part("p") + off * off)).over(before),
+                "about": F.max(part("about")).over(before)}
     if kind == "latest":
         return {"v": F.last(part("v"), ignorenulls=True).over(before)}
     if kind == "earliest":
@@ -212,8 +215,9 @@ def _combined(kind: str, here, carry, first_in_segment: Column) -> Column:
     if kind == "std":
         count_before = F.coalesce(carry("n"), F.lit(0)).cast("double")
         count = here("n") + count_before
-        mean_before = F.when(count_before > 0, carry("s") / count_before).otherwise(F.lit(0.0))
-        spread_before = F.when(count_before > 0, carry("q") - count_before * mean_before * mean_before
+        off_before = F.when(count_before > 0, carry("s") / count_before).otherwise(F.lit(0.0))
+        mean_before = off_before + F.coalesce(carry("about"), F.lit(0.0))
+        spread_before = F.when(count_before > 0, carry("q") - count_before * off_before * off_before
                                ).otherwise(F.lit(0.0))
         mean_here = F.coalesce(here("a"), F.lit(0.0))
         gap = mean_here - mean_before
@@ -250,7 +254,10 @@ def _segmented(df: DataFrame, keys, order, columns, rows: int) -> DataFrame:
         work = work.withColumns(parts)
         # one row per segment; a window over them holds at most N / hot_rows rows
         totals = work.where(F.col("__row") == F.col("__rows"))
-        before = (Window.partitionBy(*cs(keys)).orderBy("__segment")
+        group = Window.partitionBy(*cs(keys))
+        totals = totals.withColumns({f"__p{i}_about": F.max(F.col(f"__p{i}_a")).over(group)
+                                     for i, x in enumerate(running) if x.kind == "std"})
+        before = (group.orderBy("__segment")
                   .rowsBetween(Window.unboundedPreceding, -1))
         carry = totals.select(*cs(keys), "__segment", *[
             expr.alias(f"__c{i}_{tag}")
