@@ -14,6 +14,8 @@ def spark(tmp_path_factory):
 
     session = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
+        # tables are tiny: compiling plans would take longer than running them
+        "spark.sql.codegen.wholeStage": "false",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint")),
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
     session.sparkContext.setLogLevel("ERROR")
