@@ -43,7 +43,7 @@ def test_sepsis(spark):
         dict(case="b", at=10, do="ER"), dict(case="b", at=20, do="Release B", CRP=1.0), dict(case="b", at=20 + 29 * 1440, do="Return ER"),
         dict(case="c", at=30, do="ER"),  # never released: incomplete
         dict(case=None, at=5, do="Release C")])
-    logs = preprocess.sepsis_cases(raw)
+    logs = preprocess.sepsis_cases(raw, reuse=True)
     assert events(logs["sepsis_cases_1"], "Case ID", "label") == [("a", "deviant")] * 3 + [("b", "regular")] * 2 + [
         ("missing_caseid", "regular")]
     assert events(logs["sepsis_cases_2"], "Case ID", "label") == [("a", "deviant")] + [("b", "regular")] * 3 + [
@@ -62,7 +62,7 @@ def test_hospital(spark):
         dict(case="b", at=0, do="NEW", closeCode="A", isClosed=True), dict(case="b", at=2, do="REOPEN"), dict(case="b", at=3, do="FIN"),
         dict(case="c", at=0, do="NEW")],
         {"isCancelled": "boolean", "isClosed": "boolean", "closeCode": "string"})
-    logs = preprocess.hospital_billing(raw)
+    logs = preprocess.hospital_billing(raw, reuse=True)
     assert set(logs) == {f"hospital_billing_{i}" for i in range(1, 7)}
     assert events(logs["hospital_billing_1"], "Case ID", "label") == [("a", "regular")] + [("b", "deviant")] * 3
     assert events(logs["hospital_billing_2"], "Case ID", "label") == [("a", "deviant")] * 2 + [("b", "regular")] * 3

@@ -26,6 +26,8 @@ def auc(pred: DataFrame, by: Sequence[str] = (), score: str = "predicted", actua
     negatives is above that of the positives. The scores of a group are scanned in order, so a group with
     very many distinct scores is cut into segments like an oversized case.
     """
+    if hot == "auto" and find_hot(pred, list(by)) is None:
+        hot = None  # no group has too many rows, let alone scores
     return auc_of_counts(score_counts(pred, by, score, actual), by, hot)
 
 
@@ -55,6 +57,8 @@ def metrics_long(pred: DataFrame, by: Sequence[str] = ("dataset", "method", "cls
                  hot: HotKeys | None | str = "auto") -> DataFrame:
     """AUC per prefix length, and over all lengths as ``nr_events`` -1, as rows of a long metric table."""
     keys = [*by, "nr_events"]
+    if hot == "auto" and find_hot(pred, list(by)) is None:
+        hot = None
     counts = score_counts(pred, keys)
     both = counts.withColumn("nr_events", F.explode(F.array(F.col("nr_events").cast("int"), F.lit(-1))))
     merged = both.groupBy(*cs(keys), "__score").agg(F.sum("__pos").alias("__pos"), F.sum("__neg").alias("__neg"))

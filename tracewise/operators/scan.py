@@ -98,16 +98,24 @@ def previous(name: str, value: Column) -> Running:
 
 def find_hot(df: DataFrame, keys: list[str]) -> HotKeys | None:
     """Count rows per group (combined before the shuffle) and keep the oversized groups."""
+    return measure(df, keys)[0]
+
+
+def measure(df: DataFrame, keys: list[str]) -> tuple[HotKeys | None, int]:
+    """The oversized groups, and the rows of the largest group."""
     limit = hot_rows(df.sparkSession)
     if not keys:
         rows = df.count()
-        return HotKeys((), None, rows) if rows > limit else None
-    sizes = df.groupBy(*cs(keys)).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > limit)
-    found = sizes.collect()
-    if not found:
-        return None
-    groups = df.sparkSession.createDataFrame(found, sizes.schema)
-    return HotKeys(tuple(keys), groups.drop("__rows"), sum(r["__rows"] for r in found))
+        return (HotKeys((), None, rows) if rows > limit else None), rows
+    sizes = df.groupBy(*cs(keys)).agg(F.count(F.lit(1)).alias("__rows"))
+    # the largest size comes along with the rare oversized groups, in one job
+    found = (sizes.agg(F.max("__rows").alias("top"),
+                       F.collect_list(F.when(F.col("__rows") > limit, F.struct("*"))).alias("groups")).first())
+    if not found["groups"]:
+        return None, found["top"] or 0
+    groups = df.sparkSession.createDataFrame(found["groups"], sizes.schema)
+    rows = sum(g["__rows"] for g in found["groups"])
+    return HotKeys(tuple(keys), groups.drop("__rows"), rows), found["top"]
 
 
 def split_hot(df: DataFrame, hot: HotKeys) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +73,29 @@ def split_val(log: EventLog, ratio: float = 0.2, how: str = "random", seed: int
             log.with_df(df.where(is_val).drop("__start", "__cut")))
 
 
+def assign_splits(log: EventLog, train_ratio: float = 0.8, val_ratio: float = 0.2, seed: int = 22,
+                  name: str = "data_type") -> EventLog:
+    """Strict and validation split in one table, told apart by a column: train, val or test.
+
+    Both borders are single rows, so the whole assignment is one pass over the log.
+    """
+    first_test = _case_at(log, train_ratio)
+    df = log.scan(Whole("__start", F.min(c(log.spec.timestamp)))).df.crossJoin(F.broadcast(first_test))  # one row
+    is_train = _before(log, "__cut")
+    early = F.coalesce(c(log.spec.timestamp) < F.col("__cut.start"), F.lit(True))
+    df = df.where(~is_train | early).withColumn(name, F.when(is_train, "train").otherwise("test")).drop("__start", "__cut")
+    case = c(log.spec.case)
+    ids = df.where(F.col(name) == "train").select(case.alias("id")).distinct()
+    key = F.struct(_draw(F.col("id"), seed).alias("draw"), F.col("id").alias("id"))
+    ranked = scan_all(ids.select(key.alias("key")), ["key"], [position("__rank"), Whole("__n", F.count(F.lit(1)))])
+    held = F.floor(F.lit(val_ratio) * F.col("__n"))
+    first_val = ranked.agg(F.min(F.when(F.col("__rank") == F.col("__n") - held + 1, F.col("key"))).alias("__cut"))
+    own = F.struct(_draw(case, seed).alias("draw"), case.alias("id"))
+    is_val = (F.col(name) == "train") & F.coalesce(own >= F.col("__cut"), F.lit(False))
+    return log.with_df(df.crossJoin(F.broadcast(first_val)).withColumn(name, F.when(is_val, "val").otherwise(F.col(name)))
+                       .drop("__cut"))
+
+
 def _draw(case, seed: int):
     return F.md5(F.concat(case.cast("string"), F.lit(f"_{seed}")))
 
@@ -123,23 +148,23 @@ def case_length_counts(log: EventLog, dataset: str | None = None) -> DataFrame:
             .select(F.lit(dataset or log.spec.name).alias("dataset"), "label", "nr_events", "case_count"))
 
 
-def prefix_length_counts(parts: dict[str, EventLog], longest: DataFrame, dataset: str) -> DataFrame:
+def prefix_length_counts(log: EventLog, longest: DataFrame, dataset: str, side: str = "data_type",
+                         sides: Sequence[str] = ("train", "val", "test")) -> DataFrame:
     """Cases with at least n events, by split x (all, pos, neg) x n, for n up to the longest length.
 
-    ``longest`` is a one-row table (see ``max_pos_length``). Lengths are counted first, so what follows
-    works on one row per split, class and length.
+    ``log`` has the split in a column (see ``assign_splits``) and ``longest`` is a one-row table (see
+    ``max_pos_length``). Lengths are counted first, so what follows works on one row per split, class and
+    length.
     """
-    sizes = None
-    for name, log in parts.items():
-        cls = F.when(c(log.spec.label) == log.spec.pos_label, "pos").when(
-            c(log.spec.label) == log.spec.neg_label, "neg")
-        one = (case_table(log).groupBy(cls.alias("label"), F.col("case_length").alias("length"))
-               .agg(F.count(F.lit(1)).alias("cases")).withColumn("data_type", F.lit(name)))
-        sizes = one if sizes is None else sizes.unionByName(one)
+    cls = F.when(c(log.spec.label) == log.spec.pos_label, "pos").when(c(log.spec.label) == log.spec.neg_label, "neg")
+    order = F.struct(*[c(n) for n in log.spec.event_order])
+    cases = log.df.groupBy(c(side).alias("data_type"), c(log.spec.case)).agg(
+        F.count(F.lit(1)).alias("length"), F.min_by(cls, F.when(cls.isNotNull(), order)).alias("label"))
+    sizes = cases.groupBy("data_type", "label", "length").agg(F.count(F.lit(1)).alias("cases"))
     sizes = sizes.withColumn("label", F.explode(F.array(F.lit("all"), F.col("label")))).where("label IS NOT NULL")
     wanted = longest.select(F.explode(F.sequence(F.lit(1), F.col(longest.columns[0]))).alias("nr_events"))
     labels = F.explode(F.array(F.lit("all"), F.lit("pos"), F.lit("neg"))).alias("label")
-    kinds = F.explode(F.array(*[F.lit(n) for n in parts])).alias("data_type")
+    kinds = F.explode(F.array(*[F.lit(n) for n in sides])).alias("data_type")
     grid = wanted.select("nr_events", labels).select("nr_events", "label", kinds)
     # a length l counts for every n up to l; lengths past the longest wanted one count as that one
     capped = (sizes.crossJoin(F.broadcast(longest.toDF("__top")))

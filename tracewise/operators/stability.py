@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewise.functions.columns import c, cs, null_safe_join
 from tracewise.operators.auc import auc, weighted_auc
-from tracewise.operators.scan import HotKeys, exact_quantiles, find_hot, latest, position, previous, scan
+from tracewise.operators.scan import HotKeys, exact_quantiles, find_hot, latest, measure, position, previous, scan
 
 CASE = ("dataset", "Method", "case_id")
 GROUP = ("dataset", "Method")
@@ -98,14 +98,16 @@ def smooth(pred: DataFrame, betas: Sequence[float] | float, keys: Sequence[str]
     in range, the sum restarts every ``block_length`` positions; what a block takes over from the one
     before is one term, and from older ones less than 1e-250.
 
-    Several betas give several columns over the same window. With ``max_length`` (a bound known from the
-    prefix cap) no longer than a block, nothing is taken over and that step is left out.
+    Several betas give several columns over the same window. Where no case is longer than a block
+    (``max_length``, known from a prefix cap or measured), there is one block and nothing to take over.
     """
     single = not isinstance(betas, Sequence)
     betas = [betas] if single else list(betas)
     names = list(names or (["smoothed"] if single else [f"smoothed_{i}" for i in range(len(betas))]))
     keys = list(keys)
-    hot = _hot(pred, keys, hot)
+    if hot == "auto":
+        hot, longest = measure(pred, keys)
+        max_length = longest if max_length is None else min(longest, max_length)
     numbered = scan(pred, keys, ["nr_events"], [position("__pos")], hot)
     chain = numbered.where(F.col("__pos") == F.col("nr_events"))
     columns: dict[str, Column] = {}
@@ -120,12 +122,14 @@ def smooth(pred: DataFrame, betas: Sequence[float] | float, keys: Sequence[str]
                 Window.partitionBy(*cs(keys)).orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0))
             continue
         size = block_length(beta)
-        inside = at % size
+        one_block = max_length is not None and max_length <= size
+        inside = at if one_block else at % size
         term = F.when(at == 0, c(score)).otherwise(c(score) * (1 - beta)) * F.pow(F.lit(1 / beta), inside)
-        window = (Window.partitionBy(*cs(keys), F.floor(at / size)).orderBy("__pos")
+        block = [] if one_block else [F.floor(at / size)]
+        window = (Window.partitionBy(*cs(keys), *block).orderBy("__pos")
                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         columns[names[i]] = F.pow(F.lit(beta), inside) * F.sum(term).over(window)
-        if max_length is None or max_length > size:
+        if not one_block:
             carried[i] = (size, beta)
     result = chain.withColumns(columns)
     if carried:
@@ -150,14 +154,18 @@ def smoothing_sweep(pred: DataFrame, betas: Sequence[float] = SWEEP_BETAS, value
     For the AUC, scores are put on a grid of 1e-9, so that the last digits of a sum neither make nor break
     a tie (the odd offset keeps short decimal fractions off the borders of the grid).
     """
-    hot = _hot(pred, CASE, hot)
+    if hot == "auto":
+        hot, longest = measure(pred, list(CASE))
+        max_length = longest if max_length is None else min(longest, max_length)
+    crowded = find_hot(pred, [*GROUP, "nr_events"])
     names = [f"__s{i}" for i in range(len(betas))]
     smoothed = smooth(pred, list(betas), CASE, names=names, hot=hot, max_length=max_length)
     pairs = F.explode(F.array(*[F.struct(F.lit(float(b)).alias("beta"), F.floor(F.col(n) * 1e9 + 0.3183).alias("grid"))
                                 for b, n in zip(betas, names)])).alias("x")
     long = smoothed.select("dataset", "Method", "nr_events", "actual", pairs).select(
         "dataset", "Method", "nr_events", "actual", "x.*")
-    aucs = auc(long, ["dataset", "Method", "beta", "nr_events"], score="grid")
+    # smoothing adds no rows: where no length has too many of them before, none has per beta
+    aucs = auc(long, ["dataset", "Method", "beta", "nr_events"], score="grid", hot="auto" if crowded else None)
     quality = weighted_auc(aucs, ["dataset", "Method", "beta"], value).select(
         "dataset", "Method", "beta", F.col("avg_weighted_auc").alias("avg_auc"))
     # changes of all betas from one window, means per case from one shuffle

@@ -442,6 +442,12 @@ def split_val_random(spark, sf_dir):
     return _sides(train=train, val=val)
 
 
+@query(SPLIT + """SELECT event_id, 'train' AS side FROM fit UNION ALL SELECT event_id, 'val' FROM val
+UNION ALL SELECT event_id, 'test' FROM test""")
+def assign_splits(spark, sf_dir):
+    return split.assign_splits(V.log_events(spark, sf_dir), name="side").df.select("event_id", "side")
+
+
 @query(LAB + """, cs AS (SELECT case_id, row_number() OVER (ORDER BY min(ts), case_id) AS r, count(*) OVER () AS n
                      FROM lab GROUP BY 1)
 SELECT event_id, CASE WHEN r > n - CAST(floor(0.2 * n) AS BIGINT) THEN 'val' ELSE 'train' END AS side
@@ -507,9 +513,7 @@ FROM (SELECT * FROM grid, kinds, labels) g LEFT JOIN len ON len.data_type = g.da
   AND (g.label = 'all' OR (g.label = 'pos') = (len.label = 'deviant')) GROUP BY 2, 3, 4""")
 def prefix_length_counts(spark, sf_dir):
     log = V.labelled_events(spark, sf_dir)
-    train, test = split.split_strict(log, 0.8)
-    train, val = split.split_val(train, 0.2)
-    return split.prefix_length_counts({"train": train, "val": val, "test": test}, split.max_pos_length(log), "log_events")
+    return split.prefix_length_counts(split.assign_splits(log), split.max_pos_length(log), "log_events")
 
 
 @query(LABY + """SELECT label, floor(value / 1.0) AS bin, count(*) AS count FROM laby GROUP BY 1, 2""")
@@ -889,9 +893,7 @@ SELECT dataset, nr_events, (SELECT count(*) FROM len WHERE n >= nr_events) AS ca
 FROM aucs, top WHERE nr_events <= top""")
 def auc_vs_train_size(spark, sf_dir):
     log = V.labelled_events(spark, sf_dir)
-    train, test = split.split_strict(log, 0.8)
-    train, val = split.split_val(train, 0.2)
-    counts = split.prefix_length_counts({"train": train, "val": val, "test": test}, split.max_pos_length(log), "log_events")
+    counts = split.prefix_length_counts(split.assign_splits(log), split.max_pos_length(log), "log_events")
     pred = V.predictions(spark, sf_dir).withColumn("dataset", F.lit("log_events"))
     return A.auc_vs_train_size(counts, A.auc(pred, ["dataset", "nr_events"])).select(
         "dataset", "nr_events", "case_count", "count", r6("auc", "auc"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracewise.eventlog import EventLog
 from tracewise.functions.columns import c
 from tracewise.operators import clean, filters, label, timefeat
+from tracewise.session import ensure_checkpoint_dir
 from tracewise.sources.logs import SEQ
 from tracewise.spec import (
     BPIC2012,
@@ -67,12 +68,19 @@ def _named(log: EventLog, name: str, drop: Sequence[str] = ()) -> EventLog:
     return EventLog(log.df.drop(*drop), spec(name).with_(tie=(SEQ,)), log.hot)
 
 
-def sepsis_cases(raw: DataFrame) -> dict[str, EventLog]:
+def _reused(log: EventLog, reuse: bool) -> EventLog:
+    if not reuse:
+        return log
+    ensure_checkpoint_dir(log.df.sparkSession)
+    return log.with_df(log.df.checkpoint())
+
+
+def sepsis_cases(raw: DataFrame, reuse: bool = False) -> dict[str, EventLog]:
     log = _start(raw, SEPSIS_CASES, fill_case=True)
     log = clean.project_roles(filters.keep_cases_with(log, SEPSIS_RELEASES))
-    log = timefeat.open_cases(timefeat.timestamp_features(log))
     log = _impute(log, log.spec.cat)
     log = log.with_df(clean.collapse_rare(log.df, log.spec.cat, RARE_BELOW))
+    log = _reused(timefeat.open_cases(timefeat.timestamp_features(log)), reuse)
     labelled = {"sepsis_cases_1": label.label_activity_within(log, "Return ER", SEPSIS_RETURN_MINUTES),
                 "sepsis_cases_2": label.label_activity(log, "Admission IC"),
                 "sepsis_cases_3": label.label_activity(log, "Return ER"),
@@ -80,13 +88,13 @@ def sepsis_cases(raw: DataFrame) -> dict[str, EventLog]:
     return {n: _named(x, n) for n, x in labelled.items()}
 
 
-def hospital_billing(raw: DataFrame) -> dict[str, EventLog]:
+def hospital_billing(raw: DataFrame, reuse: bool = False) -> dict[str, EventLog]:
     log = _start(raw, HOSPITAL_BILLING, fill_case=True)
     log = clean.project_roles(filters.keep_cases_with(log, HOSPITAL_ENDS), HOSPITAL_LABEL_COLUMNS)
-    log = timefeat.open_cases_scan(timefeat.timestamp_features(log))
     cat = (*log.spec.cat, *HOSPITAL_LABEL_COLUMNS)
     log = _impute(log, cat)
     log = log.with_df(clean.collapse_rare(log.df, cat, RARE_BELOW))
+    log = _reused(timefeat.open_cases_scan(timefeat.timestamp_features(log)), reuse)
     labelled = {"hospital_billing_1": label.label_attribute_present(log, "isCancelled", cut=True),
                 "hospital_billing_2": label.label_attribute_present(log, "isClosed", cut=False),
                 "hospital_billing_3": label.label_activity(log, "REOPEN")}
@@ -96,13 +104,13 @@ def hospital_billing(raw: DataFrame) -> dict[str, EventLog]:
     return {n: _named(x, n, drops.get(n, ())) for n, x in labelled.items()}
 
 
-def traffic_fines(raw: DataFrame) -> dict[str, EventLog]:
+def traffic_fines(raw: DataFrame, reuse: bool = False) -> dict[str, EventLog]:
     log = _start(raw, TRAFFIC_FINES)
     log = filters.drop_cases_ending(log, TRAFFIC_UNFINISHED)
     log = clean.project_roles(log, ["totalPaymentAmount"])
-    log = timefeat.open_cases(timefeat.timestamp_features(log))
     log = _impute(log, log.spec.cat, zero=["totalPaymentAmount"])
     log = log.with_df(clean.collapse_rare(log.df, log.spec.cat, RARE_BELOW, exempt=[log.spec.activity]))
+    log = _reused(timefeat.open_cases(timefeat.timestamp_features(log)), reuse)
     return {"traffic_fines_1": _named(label.label_activity(log, "Send for Credit Collection"), "traffic_fines_1"),
             "traffic_fines_2": _named(label.label_threshold_reached(log, "amount", "totalPaymentAmount"),
                                       "traffic_fines_2")}
@@ -113,27 +121,27 @@ def production(raw: DataFrame) -> dict[str, EventLog]:
     log = log.with_df(clean.duration(log.df, "Start Timestamp", log.spec.timestamp))
     log = label.label_predicate(log, F.col("Qty_Rejected") > 0)
     log = clean.project_roles(log, [log.spec.label])
-    # the outcome is cut off before the clock starts, so gaps and open cases are those of the cut log
-    log = timefeat.open_cases(timefeat.timestamp_features(log))
     log = _impute(log, log.spec.cat)
     log = log.with_df(clean.collapse_rare(log.df, log.spec.cat, RARE_BELOW))
+    # the outcome is cut off before the clock starts, so gaps and open cases are those of the cut log
+    log = timefeat.open_cases(timefeat.timestamp_features(log))
     return {"production": _named(log, "production")}
 
 
-def bpic2012(raw: DataFrame) -> dict[str, EventLog]:
+def bpic2012(raw: DataFrame, reuse: bool = False) -> dict[str, EventLog]:
     log = _start(raw, BPIC2012)
     log = clean.ffill(log, [log.spec.resource])
     log = timefeat.open_cases(timefeat.timestamp_features(log))
-    log = label.label_last_of(log, c(log.spec.activity).startswith("O"), list(BPIC2012_OUTCOMES.values()))
+    log = _reused(label.label_last_of(log, c(log.spec.activity).startswith("O"), list(BPIC2012_OUTCOMES.values())), reuse)
     kept = clean.project_roles(log, ["lifecycle:transition", log.spec.label, "outcome"])
     cat = (*kept.spec.cat, "lifecycle:transition")
     return _per_outcome(kept, BPIC2012_OUTCOMES, cat, lambda df: clean.collapse_rare(df, cat, RARE_BELOW))
 
 
-def bpic2017(raw: DataFrame) -> dict[str, EventLog]:
+def bpic2017(raw: DataFrame, reuse: bool = False) -> dict[str, EventLog]:
     log = _start(raw, BPIC2017)
     log = timefeat.open_cases(timefeat.timestamp_features(log))
-    log = label.label_last_of(log, c("EventOrigin") == "Offer", list(BPIC2017_OUTCOMES.values()))
+    log = _reused(label.label_last_of(log, c("EventOrigin") == "Offer", list(BPIC2017_OUTCOMES.values())), reuse)
     kept = clean.project_roles(log, [log.spec.label, "outcome"])
     many = [n for n in kept.spec.cat if n not in (kept.spec.activity, kept.spec.resource)]
 
