@@ -1,4 +1,4 @@
-"""Time arithmetic that does not depend on the session time zone."""
+"""Time arithmetic on wall-clock times, the same in any session time zone."""
 
 from __future__ import annotations
 
@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 MICROS_PER_MINUTE = 60_000_000
 
 
+def _micros_of(interval: Column) -> Column:
+    return (interval.cast("interval second").cast("decimal(18,6)") * 1_000_000).cast("long")
+
+
 def micros(ts: Column) -> Column:
     """Microseconds of the wall-clock time, counted from 1970-01-01."""
-    day = F.unix_date(F.to_date(ts)).cast("long") * F.lit(86_400_000_000)
-    second = (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
-    return day + F.hour(ts).cast("long") * F.lit(3_600_000_000) + F.minute(ts).cast("long") * F.lit(60_000_000) + second
+    return _micros_of(ts - F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")))
 
 
 def minutes_between(end: Column, start: Column) -> Column:
-    return (micros(end) - micros(start)) / F.lit(float(MICROS_PER_MINUTE))
+    return _micros_of(end - start) / F.lit(float(MICROS_PER_MINUTE))

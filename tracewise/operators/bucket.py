@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.eventlog import EventLog
-from tracewise.functions.columns import c, cs, null_safe_join
+from tracewise.functions.columns import c, cs
 from tracewise.operators.encode import Encoder, assemble, encoder
 from tracewise.operators.prefix import PREFIX
 from tracewise.operators.scan import position, scan_all
@@ -48,10 +48,12 @@ class StateBucketer:
         return self
 
     def transform(self, log: EventLog) -> EventLog:
-        encoded = self.encoder.transform(log).select(c(log.spec.case), c(PREFIX), *cs(self.encoder.columns))
+        own = log.df.columns
+        extended, names = self.encoder.extend(log, "__state_")
+        states = self.states.toDF(*names, BUCKET)
         # no broadcast hint: the number of states grows with the data
-        found = null_safe_join(encoded, self.states, self.encoder.columns, "left")
-        return _attach(log, found.withColumn(BUCKET, F.coalesce(BUCKET, F.lit(-1).cast("long"))))
+        found = extended.df.join(states, names, "left")
+        return log.with_df(found.select(*cs(own), F.coalesce(BUCKET, F.lit(-1).cast("long")).alias(BUCKET)))
 
 
 class ClusterBucketer:
@@ -67,15 +69,10 @@ class ClusterBucketer:
         return self
 
     def transform(self, log: EventLog) -> EventLog:
-        points = assemble(self.encoder.transform(log), self.encoder.columns)
-        found = self.model.transform(points).withColumn(BUCKET, F.col("__cluster").cast("long"))
-        return _attach(log, found)
-
-
-def _attach(log: EventLog, found: DataFrame) -> EventLog:
-    # (case, prefix_nr) is unique on both sides
-    ids = [log.spec.case, PREFIX]
-    return log.with_df(null_safe_join(log.df, found.select(*cs(ids), BUCKET), ids, "inner"))
+        own = log.df.columns
+        extended, names = self.encoder.extend(log, "__point_")
+        found = self.model.transform(assemble(extended.df, names))
+        return log.with_df(found.select(*cs(own), F.col("__cluster").cast("long").alias(BUCKET)))
 
 
 def bucketer(method: str, log_spec, k: int = 2, seed: int = 22):

@@ -77,6 +77,13 @@ class Encoder:
     def fit_transform(self, log: EventLog) -> DataFrame:
         return self.fit(log).transform(log)
 
+    def extend(self, log: EventLog, prefix: str) -> tuple[EventLog, list[str]]:
+        """The log with its own columns and the features next to them, under prefixed names."""
+        scanned = log.scan(*self.running())
+        features = {f"{prefix}{n}": F.coalesce(v.cast("double"), F.lit(0.0)) for n, v in self.features().items()}
+        df = scanned.df.select(*cs(log.df.columns), *[v.alias(n) for n, v in features.items()])
+        return log.with_df(df), list(features)
+
     def _one_hot(self, feature: str, value: Column) -> dict[str, Column]:
         return {f"{feature}_{level}": F.when(value == level, 1).otherwise(0)
                 for level in self.levels.get(feature, [])}

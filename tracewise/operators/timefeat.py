@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewise.eventlog import EventLog
@@ -65,16 +65,20 @@ def open_cases(log: EventLog, name: str = "open_cases") -> EventLog:
     so no task gets more rows than a second, a day or the calendar has.
     """
     ts = log.spec.timestamp
-    deltas = (case_spans(log).where(F.col("start_time") < F.col("end_time"))
-              .select(F.explode(F.array(F.struct(micros(F.col("start_time")).alias("at"), F.lit(1).alias("d")),
-                                        F.struct(micros(F.col("end_time")).alias("at"), F.lit(-1).alias("d"))))
-                      .alias("x")).select("x.*"))
+
+    def at(time) -> Column:
+        # never null, so that all uses of the table below keep one plan and Spark computes it once
+        return F.coalesce(micros(time), F.lit(0)).alias("at")
+
+    spans = case_spans(log).where(F.col("start_time") < F.col("end_time"))
+    deltas = spans.select(F.explode(F.array(F.struct(at(F.col("start_time")), F.lit(1).alias("d")),
+                                            F.struct(at(F.col("end_time")), F.lit(-1).alias("d")))).alias("x"))
     # every instant of the log needs a row, also one without a change
-    instants = log.df.groupBy(micros(c(ts)).alias("at")).agg(F.lit(0).alias("d"))
-    changes = (deltas.unionByName(instants).groupBy("at").agg(F.sum("d").alias("d"))
-               .withColumn("second", F.floor(F.col("at") / 1_000_000))
-               .withColumn("day", F.floor(F.col("second") / 86_400)))
-    upto = Window.unboundedPreceding, Window.currentRow
+    instants = log.df.where(c(ts).isNotNull()).select(at(c(ts)), F.lit(0).alias("d"))
+    changes = deltas.select("x.*").unionByName(instants).groupBy("at").agg(F.sum("d").alias("d"))
+    second = F.floor(F.col("at") / 1_000_000)
+    changes = changes.select("at", "d", F.coalesce(second, F.lit(0)).alias("second"),
+                             F.coalesce(F.floor(second / 86_400), F.lit(0)).alias("day"))
     before = Window.unboundedPreceding, -1
     seconds = changes.groupBy("day", "second").agg(F.sum("d").alias("d"))
     days = seconds.groupBy("day").agg(F.sum("d").alias("d"))
@@ -85,7 +89,7 @@ def open_cases(log: EventLog, name: str = "open_cases") -> EventLog:
     starts = seconds.join(F.broadcast(days), "day").select(
         "second", (F.coalesce("second_before", F.lit(0)) + F.coalesce("day_before", F.lit(0))).alias("base"))
     inside = changes.select("at", "second", F.sum("d").over(
-        Window.partitionBy("second").orderBy("at").rowsBetween(*upto)).alias("n"))
+        Window.partitionBy("second").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
     levels = inside.join(starts, "second").select(F.col("at").alias("__at"), (F.col("n") + F.col("base")).alias(name))
     # one row per instant on the right, so a busy instant can be split on the left
     joined = log.df.withColumn("__ts", micros(c(ts))).join(levels, F.col("__ts") == F.col("__at"), "left")
