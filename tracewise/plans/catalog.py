@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +14,15 @@ from tracewise.functions.columns import c
 from tracewise.functions.time import micros
 from tracewise.operators import auc as A
 from tracewise.operators import bucket as B
-from tracewise.operators import clean, filters, label, split, timefeat, tune
+from tracewise.operators import clean, filters, label, models, split, timefeat, tune
 from tracewise.operators import encode as E
 from tracewise.operators import stability as S
 from tracewise.operators.custom import per_case
 from tracewise.operators.prefix import PREFIX, prefix_log, prefixes
+from tracewise.operators.scan import running_mean, running_sum
+from tracewise.operators.train import encode_splits
 from tracewise.plans import views as V
+from tracewise.plans.experiment import evaluate, final_predictions, splits, tuning_predictions
 from tracewise.sources.logs import read_raw_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,14 +60,14 @@ LABY = LAB + """,
 laby AS (SELECT *, CASE WHEN label = 'deviant' THEN 1 ELSE 0 END AS y FROM lab)"""
 ORD = """
 ord AS (
-  SELECT CAST(o_custkey AS VARCHAR) AS case_id, o_orderdate, o_orderkey, o_orderpriority, o_orderstatus,
+  SELECT o_custkey AS case_id, o_orderdate, o_orderkey, o_orderpriority, o_orderstatus,
          o_totalprice, c_mktsegment, c_nationkey, c_acctbal,
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nr,
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderpriority, o_orderkey) AS prefix_nr
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 ITEM = """
 item AS (
-  SELECT CAST(l_orderkey AS VARCHAR) AS case_id, l_shipdate, l_linenumber, l_partkey, l_suppkey, l_returnflag,
+  SELECT l_orderkey AS case_id, l_shipdate, l_linenumber, l_partkey, l_suppkey, l_returnflag,
          l_linestatus, l_quantity, l_extendedprice, l_discount, l_tax, o_orderdate,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity,
                             l_extendedprice, l_discount, l_tax, l_linestatus, o_orderdate) AS nr
@@ -299,7 +303,7 @@ def event_nr(spark, sf_dir):
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def activity_duration(spark, sf_dir):
     df = clean.duration(V.log_items(spark, sf_dir).df, "o_orderdate", "l_shipdate")
-    return df.select(F.col("case_id").cast("long").alias("l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey",
+    return df.select(F.col("case_id").alias("l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey",
                      "l_extendedprice", r6("activity_duration", "activity_duration"))
 
 
@@ -384,8 +388,6 @@ def label_predicate(spark, sf_dir):
   max(l_quantity * 3) OVER (PARTITION BY case_id) AS target FROM item)""" + _first("paid >= target", "cum", "nr") + f"""
 SELECT case_id, nr, {_POS} FROM fst {_CUT}""")
 def label_threshold_reached(spark, sf_dir):
-    from tracewise.operators.scan import running_sum
-
     log = timefeat.event_nr(V.log_items(spark, sf_dir), "nr")
     log = log.scan(running_sum("paid", F.col("l_quantity")), order=log.spec.time_order)
     log = log.with_df(log.df.withColumn("amount", F.col("l_quantity") * 3))
@@ -638,8 +640,6 @@ _union_query("combined", ("static", "last", "agg"))
 s AS (SELECT avg(x) AS ax, stddev_pop(x) AS sx, avg(m) AS am, stddev_pop(m) AS sm FROM e)
 SELECT case_id, prefix_nr, round((x - ax) / sx, 6) AS x, round((m - am) / sm, 6) AS m FROM e, s""")
 def standardize(spark, sf_dir):
-    from tracewise.operators.scan import running_mean
-
     log = prefixes(V.log_orders(spark, sf_dir)).scan(running_mean("m", F.col("o_totalprice")))
     df = log.df.select("case_id", PREFIX, F.col("o_totalprice").alias("x"), "m")
     scaled = E.Standardizer(["x", "m"]).fit(df).transform(df)
@@ -725,8 +725,6 @@ def bucket_state(spark, sf_dir):
 
 @query(EV + """SELECT case_id, string_agg(event_type, '>' ORDER BY ts, event_id) AS variant, count(*) AS n FROM ev GROUP BY 1""")
 def custom_per_case(spark, sf_dir):
-    import pandas as pd
-
     def variant(events: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"case_id": [events["case_id"].iloc[0]], "variant": [">".join(events["event_type"])],
                              "n": [len(events)]})
@@ -969,8 +967,6 @@ def _model_log(spark, sf_dir) -> EventLog:
 
 def _model_query(cls: str, method: str = "single_agg") -> None:
     def run(spark, sf_dir):
-        from tracewise.plans.experiment import final_predictions
-
         params = _SMALL[cls.removesuffix("_calibrated")]
         pred = final_predictions(_model_log(spark, sf_dir), method, cls, params, n_estimators=None, threads=4)
         return pred.withColumn("predicted", F.round("predicted", 9))
@@ -995,29 +991,21 @@ def bucket_cluster(spark, sf_dir):
 
 @query()
 def predict_sequence(spark, sf_dir):
-    from tracewise.plans.experiment import final_predictions
-
     params = {"lstmsize": 8, "n_layers": 1, "nb_epoch": 20}
     return final_predictions(_model_log(spark, sf_dir), "lstm", "sequence_calibrated", params)
 
 
 @query()
 def learning_curve(spark, sf_dir):
-    from tracewise.operators.models import learning_curve as curve
-    from tracewise.operators.train import encode_splits
-    from tracewise.plans.experiment import splits
-
     log = _model_log(spark, sf_dir)
     train, val, _ = splits(log)
     data = encode_splits(train, {"val": val}, "single_agg", split.max_prefix_length(log))
-    return curve(_SMALL["xgboost"], data.bucket("train", 1), data.bucket("val", 1), params_text="small")
+    return models.learning_curve(_SMALL["xgboost"], data.bucket("train", 1), data.bucket("val", 1), params_text="small")
 
 
 @query()
 def tuning_runs(spark, sf_dir):
     """Two parameter sets, two runs each, on the validation cases; the better one by AUC and stability."""
-    from tracewise.plans.experiment import tuning_predictions
-
     pred = tuning_predictions(_model_log(spark, sf_dir), "single_agg", "rf", ["5_0.3", "5_0.9"], n_runs=2)
     return tune.best_by_auc_stability(pred, runs=2)
 
@@ -1025,7 +1013,5 @@ def tuning_runs(spark, sf_dir):
 @query()
 def stability_report(spark, sf_dir):
     """Log to splits, forest, calibration, smoothing sweep: AUC and stability per smoothing weight."""
-    from tracewise.plans.experiment import evaluate, final_predictions
-
     pred = final_predictions(_model_log(spark, sf_dir), "single_agg", "rf_calibrated", _SMALL["rf"], n_estimators=None)
     return evaluate(pred)

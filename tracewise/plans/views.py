@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from tracewise.eventlog import EventLog
 from tracewise.functions.time import micros
+from tracewise.operators.clean import is_positive
+from tracewise.operators.label import label_predicate
+from tracewise.operators.prefix import PREFIX, prefixes
+from tracewise.operators.scan import find_hot
 from tracewise.spec import LogSpec
 
 EVENTS_SPEC = LogSpec(
@@ -45,29 +49,28 @@ def log_events(spark: SparkSession, sf_dir: str) -> EventLog:
 
 def log_orders(spark: SparkSession, sf_dir: str) -> EventLog:
     """A case is one customer."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumnRenamed("o_custkey", "case_id")
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
         "c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
-    df = orders.join(customer, orders.o_custkey == customer.c_custkey).select(
-        F.col("o_custkey").cast("string").alias("case_id"), "o_orderdate", "o_orderkey", "o_orderpriority",
+    # the case is the join key, so windows over cases find the rows where the join has put them
+    df = orders.join(customer, orders.case_id == customer.c_custkey).select(
+        "case_id", "o_orderdate", "o_orderkey", "o_orderpriority",
         "o_orderstatus", "o_totalprice", "c_mktsegment", "c_nationkey", "c_acctbal")
-    return EventLog.of(df, ORDERS_SPEC)
+    return EventLog(df, ORDERS_SPEC, find_hot(orders, ["case_id"]))
 
 
 def log_items(spark: SparkSession, sf_dir: str) -> EventLog:
     """A case is one order, an event one of its items."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumnRenamed("l_orderkey", "case_id")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
-    df = items.join(orders, items.l_orderkey == orders.o_orderkey).select(
-        F.col("l_orderkey").cast("string").alias("case_id"), "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey",
+    df = items.join(orders, items.case_id == orders.o_orderkey).select(
+        "case_id", "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey",
         "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "o_orderdate")
-    return EventLog.of(df, ITEMS_SPEC)
+    return EventLog(df, ITEMS_SPEC, find_hot(items, ["case_id"]))
 
 
 def labelled_events(spark: SparkSession, sf_dir: str) -> EventLog:
     """``log_events`` with its outcome (any event with k >= 95) and nothing cut."""
-    from tracewise.operators.label import label_predicate
-
     return label_predicate(log_events(spark, sf_dir), F.col("k") >= SCORE_LIMIT, cut=False)
 
 
@@ -76,9 +79,6 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``dataset`` is the week of the case and ``Method`` the parity of the user, to have several groups.
     """
-    from tracewise.operators.clean import is_positive
-    from tracewise.operators.prefix import PREFIX, prefixes
-
     log = prefixes(labelled_events(spark, sf_dir))
     user = F.split("case_id", "_")[0].cast("long")
     return log.df.select(
