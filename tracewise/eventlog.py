@@ -8,22 +8,31 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from tracewise.operators.scan import HotKeys, Running, Whole, find_hot, scan
+from tracewise.operators.scan import HotKeys, Running, Whole, measure, scan
 from tracewise.spec import LogSpec
 
 
 @dataclass(frozen=True)
 class EventLog:
-    """Operators take a log and give a log; ``hot`` travels along, as no operator makes a case longer."""
+    """Operators take a log and give a log.
+
+    ``hot`` and ``cases`` (a bound of the number of cases) travel along: no operator makes a case longer or
+    adds one, unless it says so.
+    """
 
     df: DataFrame
     spec: LogSpec
     hot: HotKeys | None = None
+    cases: int | None = None
 
     @classmethod
-    def of(cls, df: DataFrame, spec: LogSpec) -> EventLog:
-        """Wrap a table, looking once for cases that are too long for a single task."""
-        return cls(df, spec, find_hot(df, [spec.case]))
+    def of(cls, df: DataFrame, spec: LogSpec, counted: DataFrame | None = None) -> EventLog:
+        """Wrap a table, looking once for cases that are too long for a single task.
+
+        ``counted`` is a cheaper table with the same events per case (before a join, say), if there is one.
+        """
+        sizes = measure(df if counted is None else counted, [spec.case])
+        return cls(df, spec, sizes.hot, sizes.groups)
 
     def with_df(self, df: DataFrame) -> EventLog:
         return replace(self, df=df)

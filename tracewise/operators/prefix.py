@@ -22,7 +22,7 @@ def prefixes(log: EventLog, max_length: int | None = None) -> EventLog:
         return log.scan(position(PREFIX))
     at = Window.partitionBy(c(log.spec.case)).orderBy(*cs(log.spec.event_order))
     df = log.df.withColumn(PREFIX, F.row_number().over(at)).where(F.col(PREFIX) <= max_length)
-    return EventLog(df.withColumn(PREFIX, F.col(PREFIX).cast("long")), log.spec, None)
+    return EventLog(df.withColumn(PREFIX, F.col(PREFIX).cast("long")), log.spec, None, log.cases)
 
 
 def prefix_log(log: EventLog, min_length: int, max_length: int) -> EventLog:
@@ -42,4 +42,4 @@ def prefix_log(log: EventLog, min_length: int, max_length: int) -> EventLog:
     name = F.when(F.col(PREFIX) == min_length, c(case).cast("string")).otherwise(
         F.concat_ws("_", c(case).cast("string"), F.col(PREFIX).cast("string")))
     df = df.withColumn(case, name).withColumn("case_length", F.col(PREFIX))
-    return EventLog(df.drop("__pos", "__size"), log.spec, None)
+    return EventLog(df.drop("__pos", "__size"), log.spec)  # more cases, each of bounded length

@@ -98,24 +98,33 @@ def previous(name: str, value: Column) -> Running:
 
 def find_hot(df: DataFrame, keys: list[str]) -> HotKeys | None:
     """Count rows per group (combined before the shuffle) and keep the oversized groups."""
-    return measure(df, keys)[0]
+    return measure(df, keys).hot
 
 
-def measure(df: DataFrame, keys: list[str]) -> tuple[HotKeys | None, int]:
-    """The oversized groups, and the rows of the largest group."""
+@dataclass(frozen=True)
+class Sizes:
+    """What one counting job tells about groups."""
+
+    hot: HotKeys | None
+    longest: int
+    groups: int
+
+
+def measure(df: DataFrame, keys: list[str]) -> Sizes:
+    """The oversized groups, the rows of the largest group, and the number of groups."""
     limit = hot_rows(df.sparkSession)
     if not keys:
         rows = df.count()
-        return (HotKeys((), None, rows) if rows > limit else None), rows
+        return Sizes(HotKeys((), None, rows) if rows > limit else None, rows, 1)
     sizes = df.groupBy(*cs(keys)).agg(F.count(F.lit(1)).alias("__rows"))
     # the largest size comes along with the rare oversized groups, in one job
-    found = (sizes.agg(F.max("__rows").alias("top"),
+    found = (sizes.agg(F.max("__rows").alias("top"), F.count(F.lit(1)).alias("n"),
                        F.collect_list(F.when(F.col("__rows") > limit, F.struct("*"))).alias("groups")).first())
     if not found["groups"]:
-        return None, found["top"] or 0
+        return Sizes(None, found["top"] or 0, found["n"])
     groups = df.sparkSession.createDataFrame(found["groups"], sizes.schema)
     rows = sum(g["__rows"] for g in found["groups"])
-    return HotKeys(tuple(keys), groups.drop("__rows"), rows), found["top"]
+    return Sizes(HotKeys(tuple(keys), groups.drop("__rows"), rows), found["top"], found["n"])
 
 
 def split_hot(df: DataFrame, hot: HotKeys) -> tuple[DataFrame, DataFrame]:
@@ -138,8 +147,11 @@ def scan(df: DataFrame, keys: list[str], order: list[str | Column], columns: lis
     return _plain(usual, keys, order, columns).unionByName(_segmented(oversized, keys, order, columns, hot.rows))
 
 
-def scan_all(df: DataFrame, order: list[str | Column], columns: list[Running | Whole]) -> DataFrame:
-    """Scan a whole table as one group."""
+def scan_all(df: DataFrame, order: list[str | Column], columns: list[Running | Whole],
+             at_most: int | None = None) -> DataFrame:
+    """Scan a whole table as one group; ``at_most`` is a bound of its rows, where known."""
+    if at_most is not None and at_most <= hot_rows(df.sparkSession):
+        return scan(df, [], order, columns, None)
     return scan(df, [], order, columns, find_hot(df, []))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewise.eventlog import EventLog
@@ -23,80 +24,102 @@ def case_table(log: EventLog) -> DataFrame:
     return log.df.groupBy(c(spec.case)).agg(*columns)
 
 
-def split_strict(log: EventLog, ratio: float = 0.8) -> tuple[EventLog, EventLog]:
-    """The first ``int(ratio * n)`` cases by start train; the others test.
+@dataclass(frozen=True)
+class Border:
+    """The first case, by a sort key and its id, that is past a share of all cases."""
+
+    key: str
+    key_type: str
+    case: object
+
+    def reached(self, key: Column, case: Column) -> Column:
+        own = F.lit(self.key).cast(self.key_type)
+        return (key > own) | ((key == own) & (case >= F.lit(self.case)))
+
+    def key_value(self) -> Column:
+        return F.lit(self.key).cast(self.key_type)
+
 
-    Training events at or after the first test event are dropped. The two sides are told apart by the
-    start of the first test case, so events need no join with a list of cases.
+def _border(cases: DataFrame, place: Callable[[Column], Column], at_most: int | None) -> Border | None:
+    """Find a border in a table of (id, key); ``place`` gives its rank from the number of cases.
+
+    One row comes back to the driver. As a literal it makes the sides of a split plain filters, which any
+    number of later jobs can evaluate without looking for the border again.
     """
-    first_test = _case_at(log, ratio)
-    with_start = log.scan(Whole("__start", F.min(c(log.spec.timestamp))))
-    df = with_start.df.crossJoin(F.broadcast(first_test))  # one row
-    is_train = _before(log, "__cut")
-    early = F.coalesce(c(log.spec.timestamp) < F.col("__cut.start"), F.lit(True))
-    train = df.where(is_train & early)
-    test = df.where(~is_train)
-    return (log.with_df(train.drop("__start", "__cut")), log.with_df(test.drop("__start", "__cut")))
+    ranked = scan_all(cases, ["key", "id"], [position("__rank"), Whole("__n", F.count(F.lit(1)))], at_most)
+    rows = (ranked.where(F.col("__rank") == place(F.col("__n")))
+            .select(F.col("key").cast("string").alias("key"), "id").collect())  # one row at most
+    return Border(rows[0]["key"], dict(cases.dtypes)["key"], rows[0]["id"]) if rows else None
+
+
+def _starts(log: EventLog) -> DataFrame:
+    return log.df.groupBy(c(log.spec.case).alias("id")).agg(F.min(c(log.spec.timestamp)).alias("key"))
 
 
-def _before(log: EventLog, cut: str):
-    key = F.struct(F.col("__start").alias("start"), c(log.spec.case).alias("id"))
-    return F.col(cut).isNull() | (key < F.col(cut))
+def _after(ratio: float) -> Callable[[Column], Column]:
+    """Rank of the first case after the share ``ratio``, which is cut down to whole cases."""
+    return lambda n: F.floor(F.lit(ratio) * n) + 1
 
 
-def _case_at(log: EventLog, ratio: float) -> DataFrame:
-    """One row: (start, id) of the first case after the share ``ratio`` of all cases; null if none."""
-    starts = log.df.groupBy(c(log.spec.case).alias("id")).agg(F.min(c(log.spec.timestamp)).alias("start"))
-    ranked = scan_all(starts, ["start", "id"], [position("__rank"), Whole("__n", F.count(F.lit(1)))])
-    here = F.col("__rank") == F.floor(F.lit(ratio) * F.col("__n")) + 1
-    return ranked.agg(F.min(F.when(here, F.struct("start", "id"))).alias("__cut"))
+def _last(ratio: float) -> Callable[[Column], Column]:
+    """Rank of the first of the last cases that make up the share ``ratio``."""
+    return lambda n: n - F.floor(F.lit(ratio) * n) + 1
+
+
+def split_strict(log: EventLog, ratio: float = 0.8) -> tuple[EventLog, EventLog]:
+    """The first ``int(ratio * n)`` cases by start train; the others test.
+
+    Training events at or after the first test event are dropped. That event is the start of the first
+    test case, so the border row is all that is needed to tell the sides apart.
+    """
+    sides = _strict_sides(log, ratio)
+    return (sides.with_df(sides.df.where(F.col("__side") == "train").drop("__side")),
+            sides.with_df(sides.df.where(F.col("__side") == "test").drop("__side")))
+
+
+def _strict_sides(log: EventLog, ratio: float) -> EventLog:
+    border = _border(_starts(log), _after(ratio), log.cases)
+    if border is None:
+        return log.with_df(log.df.withColumn("__side", F.lit("train")))
+    ts, case = c(log.spec.timestamp), c(log.spec.case)
+    started = log.scan(Whole("__start", F.min(ts)))
+    is_test = border.reached(F.col("__start"), case)
+    df = started.df.where(is_test | (ts < border.key_value()))
+    return log.with_df(df.withColumn("__side", F.when(is_test, "test").otherwise("train")).drop("__start"))
 
 
 def split_val(log: EventLog, ratio: float = 0.2, how: str = "random", seed: int = 22) -> tuple[EventLog, EventLog]:
     """Hold out ``int(ratio * n)`` cases: the latest ones, or the last ones by a seeded hash of the id."""
     case = c(log.spec.case)
-    starts = log.df.groupBy(case.alias("id")).agg(F.min(c(log.spec.timestamp)).alias("start"))
     if how == "temporal":
-        key, with_key = F.struct("start", "id"), log.scan(Whole("__start", F.min(c(log.spec.timestamp))))
-        own = F.struct(F.col("__start").alias("start"), case.alias("id"))
+        border = _border(_starts(log), _last(ratio), log.cases)
+        df, key = log.scan(Whole("__key", F.min(c(log.spec.timestamp)))).df, F.col("__key")
     elif how == "random":
-        key, with_key = F.struct(_draw(F.col("id"), seed).alias("draw"), F.col("id").alias("id")), log
-        own = F.struct(_draw(case, seed).alias("draw"), case.alias("id"))
+        border = _random_border(log.df, case, ratio, seed, log.cases)
+        df, key = log.df, _draw(case, seed)
     else:
         raise ValueError(f"unknown split {how!r}; known: random, temporal")
-    ranked = scan_all(starts.withColumn("key", key), ["key"], [position("__rank"), Whole("__n", F.count(F.lit(1)))])
-    held = F.floor(F.lit(ratio) * F.col("__n"))
-    first_val = ranked.agg(F.min(F.when(F.col("__rank") == F.col("__n") - held + 1, F.col("key"))).alias("__cut"))
-    df = with_key.df.crossJoin(F.broadcast(first_val))  # one row
-    is_val = F.coalesce(own >= F.col("__cut"), F.lit(False))
-    return (log.with_df(df.where(~is_val).drop("__start", "__cut")),
-            log.with_df(df.where(is_val).drop("__start", "__cut")))
+    held = F.lit(False) if border is None else border.reached(key, case)
+    return log.with_df(df.where(~held).drop("__key")), log.with_df(df.where(held).drop("__key"))
+
+
+def _random_border(df: DataFrame, case: Column, ratio: float, seed: int, at_most: int | None) -> Border | None:
+    ids = df.select(case.alias("id")).distinct()
+    return _border(ids.select("id", _draw(F.col("id"), seed).alias("key")), _last(ratio), at_most)
 
 
 def assign_splits(log: EventLog, train_ratio: float = 0.8, val_ratio: float = 0.2, seed: int = 22,
                   name: str = "data_type") -> EventLog:
-    """Strict and validation split in one table, told apart by a column: train, val or test.
-
-    Both borders are single rows, so the whole assignment is one pass over the log.
-    """
-    first_test = _case_at(log, train_ratio)
-    df = log.scan(Whole("__start", F.min(c(log.spec.timestamp)))).df.crossJoin(F.broadcast(first_test))  # one row
-    is_train = _before(log, "__cut")
-    early = F.coalesce(c(log.spec.timestamp) < F.col("__cut.start"), F.lit(True))
-    df = df.where(~is_train | early).withColumn(name, F.when(is_train, "train").otherwise("test")).drop("__start", "__cut")
+    """Strict and validation split in one table, told apart by a column: train, val or test."""
+    sides = _strict_sides(log, train_ratio)
     case = c(log.spec.case)
-    ids = df.where(F.col(name) == "train").select(case.alias("id")).distinct()
-    key = F.struct(_draw(F.col("id"), seed).alias("draw"), F.col("id").alias("id"))
-    ranked = scan_all(ids.select(key.alias("key")), ["key"], [position("__rank"), Whole("__n", F.count(F.lit(1)))])
-    held = F.floor(F.lit(val_ratio) * F.col("__n"))
-    first_val = ranked.agg(F.min(F.when(F.col("__rank") == F.col("__n") - held + 1, F.col("key"))).alias("__cut"))
-    own = F.struct(_draw(case, seed).alias("draw"), case.alias("id"))
-    is_val = (F.col(name) == "train") & F.coalesce(own >= F.col("__cut"), F.lit(False))
-    return log.with_df(df.crossJoin(F.broadcast(first_val)).withColumn(name, F.when(is_val, "val").otherwise(F.col(name)))
-                       .drop("__cut"))
-
-
-def _draw(case, seed: int):
+    border = _random_border(sides.df.where(F.col("__side") == "train"), case, val_ratio, seed, log.cases)
+    held = F.lit(False) if border is None else border.reached(_draw(case, seed), case)
+    side = F.when((F.col("__side") == "train") & held, "val").otherwise(F.col("__side"))
+    return log.with_df(sides.df.withColumn(name, side).drop("__side"))
+
+
+def _draw(case: Column, seed: int) -> Column:
     return F.md5(F.concat(case.cast("string"), F.lit(f"_{seed}")))
 
 

@@ -106,8 +106,8 @@ def smooth(pred: DataFrame, betas: Sequence[float] | float, keys: Sequence[str]
     names = list(names or (["smoothed"] if single else [f"smoothed_{i}" for i in range(len(betas))]))
     keys = list(keys)
     if hot == "auto":
-        hot, longest = measure(pred, keys)
-        max_length = longest if max_length is None else min(longest, max_length)
+        sizes = measure(pred, keys)
+        hot, max_length = sizes.hot, min(sizes.longest, max_length or sizes.longest)
     numbered = scan(pred, keys, ["nr_events"], [position("__pos")], hot)
     chain = numbered.where(F.col("__pos") == F.col("nr_events"))
     columns: dict[str, Column] = {}
@@ -155,8 +155,8 @@ def smoothing_sweep(pred: DataFrame, betas: Sequence[float] = SWEEP_BETAS, value
     a tie (the odd offset keeps short decimal fractions off the borders of the grid).
     """
     if hot == "auto":
-        hot, longest = measure(pred, list(CASE))
-        max_length = longest if max_length is None else min(longest, max_length)
+        sizes = measure(pred, list(CASE))
+        hot, max_length = sizes.hot, min(sizes.longest, max_length or sizes.longest)
     crowded = find_hot(pred, [*GROUP, "nr_events"])
     names = [f"__s{i}" for i in range(len(betas))]
     smoothed = smooth(pred, list(betas), CASE, names=names, hot=hot, max_length=max_length)

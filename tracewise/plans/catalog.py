@@ -655,7 +655,7 @@ _EVENT_SPEC = V.EVENTS_SPEC.with_(dynamic_num=("value",), static_cat=(), static_
 
 def _encoded_events(spark, sf_dir, side: int = 1):
     log = V.labelled_events(spark, sf_dir)
-    log = EventLog(log.df, _EVENT_SPEC, log.hot)
+    log = EventLog(log.df, _EVENT_SPEC, log.hot, log.cases)
     sides = split.split_strict(log, 0.8)
     enc = E.EventEncoder(_EVENT_SPEC).fit(sides[0])
     return enc, sides[side]
@@ -962,7 +962,7 @@ _MODEL_SPEC = V.EVENTS_SPEC.with_(dynamic_num=("value", "hour", "timesincelastev
 def _model_log(spark, sf_dir) -> EventLog:
     log = V.labelled_events(spark, sf_dir)
     log = timefeat.time_since_last(log.with_df(timefeat.calendar_features(log.df, "ts")))
-    return EventLog(log.df, _MODEL_SPEC, log.hot)
+    return EventLog(log.df, _MODEL_SPEC, log.hot, log.cases)
 
 
 def _model_query(cls: str, method: str = "single_agg") -> None:

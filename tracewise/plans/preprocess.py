@@ -65,7 +65,7 @@ def _impute(log: EventLog, cat: Sequence[str], zero: Sequence[str] = ()) -> Even
 
 def _named(log: EventLog, name: str, drop: Sequence[str] = ()) -> EventLog:
     """The log under a dataset's spec; labels are written as the recipe's positive and negative."""
-    return EventLog(log.df.drop(*drop), spec(name).with_(tie=(SEQ,)), log.hot)
+    return EventLog(log.df.drop(*drop), spec(name).with_(tie=(SEQ,)), log.hot, log.cases)
 
 
 def _reused(log: EventLog, reuse: bool) -> EventLog:

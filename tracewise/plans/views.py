@@ -14,7 +14,6 @@ from tracewise.functions.time import micros
 from tracewise.operators.clean import is_positive
 from tracewise.operators.label import label_predicate
 from tracewise.operators.prefix import PREFIX, prefixes
-from tracewise.operators.scan import find_hot
 from tracewise.spec import LogSpec
 
 EVENTS_SPEC = LogSpec(
@@ -56,7 +55,7 @@ def log_orders(spark: SparkSession, sf_dir: str) -> EventLog:
     df = orders.join(customer, orders.case_id == customer.c_custkey).select(
         "case_id", "o_orderdate", "o_orderkey", "o_orderpriority",
         "o_orderstatus", "o_totalprice", "c_mktsegment", "c_nationkey", "c_acctbal")
-    return EventLog(df, ORDERS_SPEC, find_hot(orders, ["case_id"]))
+    return EventLog.of(df, ORDERS_SPEC, counted=orders)
 
 
 def log_items(spark: SparkSession, sf_dir: str) -> EventLog:
@@ -66,7 +65,7 @@ def log_items(spark: SparkSession, sf_dir: str) -> EventLog:
     df = items.join(orders, items.case_id == orders.o_orderkey).select(
         "case_id", "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey",
         "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "o_orderdate")
-    return EventLog(df, ITEMS_SPEC, find_hot(items, ["case_id"]))
+    return EventLog.of(df, ITEMS_SPEC, counted=items)
 
 
 def labelled_events(spark: SparkSession, sf_dir: str) -> EventLog:
