@@ -11,7 +11,7 @@ from tracewise.functions.columns import c, cs
 from tracewise.operators.encode import Encoder, assemble, encoder
 from tracewise.operators.prefix import PREFIX
 from tracewise.operators.scan import position, scan_all
-from tracewise.session import ensure_checkpoint_dir
+from tracewise.session import keep
 
 BUCKET = "bucket"
 
@@ -44,8 +44,7 @@ class StateBucketer:
         encoded = self.encoder.fit_transform(log)
         names = self.encoder.columns
         # the states are looked up by every log that is bucketed: kept in a table, not computed anew
-        ensure_checkpoint_dir(encoded.sparkSession)
-        distinct = encoded.select(*cs(names)).distinct().checkpoint()
+        distinct = keep(encoded.select(*cs(names)).distinct(), "states")
         ranked = scan_all(distinct, names, [position("__rank")])
         self.states = ranked.select(*cs(names), (F.col("__rank") - 1).alias(BUCKET))
         return self

@@ -10,8 +10,8 @@ a second way:
 3. the totals (one row per segment) are scanned and each row is combined with the total of the
    segments before its own.
 
-Both ways give the same values. The segments are checkpointed before use, so that a lost executor cannot
-draw the borders anew between steps 2 and 3.
+Both ways give the same values. The segments are written to the shared folder before use, so that a lost
+executor cannot draw the borders anew between steps 2 and 3.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewise.functions.columns import ascending, c, cs, null_safe_join
-from tracewise.session import ensure_checkpoint_dir, hot_rows
+from tracewise.session import hot_rows, keep
 
 
 @dataclass(frozen=True)
@@ -257,13 +257,12 @@ def _segmented(df: DataFrame, keys, order, columns, rows: int) -> DataFrame:
     running = [x for x in columns if isinstance(x, Running)]
     whole = [x for x in columns if isinstance(x, Whole)]
     if running:
-        ensure_checkpoint_dir(spark)
         segments = max(2, math.ceil(rows / hot_rows(spark)))
         sort = ascending(order)
         work = df.withColumns({f"__v{i}": x.value for i, x in enumerate(running) if x.value is not None})
-        # the running parts are frozen together with the borders
-        work = (work.repartitionByRange(segments, *ascending(keys), *sort)
-                .withColumn("__segment", F.spark_partition_id()).checkpoint())
+        # rows and borders are written together
+        work = keep(work.repartitionByRange(segments, *ascending(keys), *sort)
+                    .withColumn("__segment", F.spark_partition_id()), "segments")
         df = work
         at, so_far = _windows(cs([*keys, "__segment"]), sort)
         parts = {"__row": F.row_number().over(at),

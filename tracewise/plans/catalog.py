@@ -23,7 +23,10 @@ from tracewise.operators.scan import running_mean, running_sum
 from tracewise.operators.train import encode_splits
 from tracewise.plans import views as V
 from tracewise.plans.experiment import evaluate, final_predictions, splits, tuning_predictions
-from tracewise.sources.logs import read_raw_log
+from tracewise.session import shared_folder
+from tracewise.sources.logs import read_log, read_raw_log, read_results, read_tagged, write_table
+from tracewise.sources.params import save_params
+from tracewise.streaming import running
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -947,6 +950,77 @@ def best_by_val_loss(spark, sf_dir):
     return tune.best_by_val_loss(curves, by=["dataset"]).withColumn("val_loss", F.round("val_loss", 6))
 
 
+# ------------------------------------------------------------------ tables written and read back
+
+
+@query(LAB + """SELECT case_id, event_id, epoch_us(ts) AS at, event_type, value, amount, label FROM lab""")
+def labelled_log_file(spark, sf_dir):
+    """A labelled log written as CSV and read with the types of its spec."""
+    folder = shared_folder(spark, "labelled")
+    log = V.labelled_events(spark, sf_dir)
+    write_table(log.df, folder)
+    spec = V.EVENTS_SPEC.with_(static_cat=(), static_num=())
+    back = read_log(spark, folder, spec)
+    return back.df.select("case_id", F.col("event_id").cast("long").alias("event_id"), micros(F.col("ts")).alias("at"),
+                          "event_type", "value", "amount", "label")
+
+
+@query(PRED + """SELECT dataset, "Method", case_id, nr_events, round(predicted, 6) AS predicted, actual FROM pred""")
+def prediction_files(spark, sf_dir):
+    """One CSV folder of predictions per method, read as one table."""
+    folder = shared_folder(spark, "predictions")
+    write_table(V.predictions(spark, sf_dir).drop("k"), folder, partition_by=["Method"])
+    back = read_results(spark, folder)
+    return back.select("dataset", "Method", "case_id", "nr_events", r6("predicted", "predicted"), "actual")
+
+
+@query(ORACLES["smoothing_sweep"].removeprefix("WITH "))
+def sweep_files(spark, sf_dir):
+    """The sweep written per beta; beta comes back from the folder names."""
+    folder = shared_folder(spark, "sweep")
+    write_table(QUERIES["smoothing_sweep"](spark, sf_dir), folder, partition_by=["beta"])
+    return read_tagged(spark, folder).withColumn("avg_auc", F.col("avg_auc").cast("double"))
+
+
+@query(ORACLES["best_by_auc"].removeprefix("WITH ").replace(", round(max(auc), 6) AS auc FROM", " FROM"))
+def parameter_table(spark, sf_dir):
+    folder = shared_folder(spark, "params")
+    save_params(tune.best_by_auc(V.run_predictions(spark, sf_dir)), folder)
+    return spark.read.parquet(folder).select(*tune.CELL, "params")
+
+
+# ------------------------------------------------------------------ streams
+
+
+@query(LAB + f"""SELECT event_id, case_id, prefix_nr AS event_nr,
+  epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY case_id)) AS micros_since_start,
+  coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY case_id ORDER BY prefix_nr)), 0) AS micros_since_last,
+  {", ".join(f"CAST(sum(CASE WHEN event_type = '{x}' THEN 1 ELSE 0 END) {RUN_W} AS BIGINT) AS event_type_{x}"
+             for x in EVENT_LEVELS)} FROM lab""")
+def running_features_stream(spark, sf_dir):
+    """Features of running cases, from a stream over the event table."""
+    path = f"{sf_dir}/events.parquet"
+    # a pattern, as a stream reads folders or patterns but no single file
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events*.parquet")
+    stream = running.running_features_stream(V.week_cases(source), V.EVENTS_SPEC, EVENT_LEVELS)
+    df = running.drain_to_table(stream, "features")
+    return df.select("event_id", "case_id", "event_nr",
+                     F.round(F.col("timesincecasestart") * 6e7).cast("long").alias("micros_since_start"),
+                     F.round(F.col("timesincelastevent") * 6e7).cast("long").alias("micros_since_last"),
+                     *[f"event_type_{x}" for x in EVENT_LEVELS])
+
+
+@query(ORACLES["smooth"].removeprefix("WITH "))
+def smooth_stream(spark, sf_dir):
+    """Smoothing of scores as they arrive, from a stream over a table of predictions."""
+    folder = shared_folder(spark, "arriving")
+    pred = V.predictions(spark, sf_dir)
+    pred.write.parquet(folder)
+    source = spark.readStream.schema(pred.schema).parquet(folder)
+    df = running.drain_to_table(running.smooth_stream(source, 0.8), "smoothed")
+    return df.select("dataset", "Method", "case_id", "nr_events", r6("smoothed", "smoothed"))
+
+
 # ------------------------------------------------------------------ models: no SQL twin
 
 

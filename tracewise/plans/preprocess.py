@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tracewise.eventlog import EventLog
 from tracewise.functions.columns import c
 from tracewise.operators import clean, filters, label, timefeat
-from tracewise.session import ensure_checkpoint_dir
+from tracewise.session import keep
 from tracewise.sources.logs import SEQ
 from tracewise.spec import (
     BPIC2012,
@@ -69,10 +69,7 @@ def _named(log: EventLog, name: str, drop: Sequence[str] = ()) -> EventLog:
 
 
 def _reused(log: EventLog, reuse: bool) -> EventLog:
-    if not reuse:
-        return log
-    ensure_checkpoint_dir(log.df.sparkSession)
-    return log.with_df(log.df.checkpoint())
+    return log.with_df(keep(log.df, "cleaned")) if reuse else log
 
 
 def sepsis_cases(raw: DataFrame, reuse: bool = False) -> dict[str, EventLog]:

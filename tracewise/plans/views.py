@@ -37,13 +37,16 @@ SCORE_LIMIT = 95
 
 def log_events(spark: SparkSession, sf_dir: str) -> EventLog:
     """A case is one user in one week; ``amount`` is known for purchases only."""
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return EventLog.of(week_cases(spark.read.parquet(f"{sf_dir}/events.parquet")), EVENTS_SPEC)
+
+
+def week_cases(raw: DataFrame) -> DataFrame:
+    """Row by row, so it serves streams as well."""
     week = F.floor((micros(F.col("ts")) - FIRST_DAY) / MICROS_PER_WEEK).cast("string")
-    df = raw.select(
+    return raw.select(
         F.concat_ws("_", F.col("user_id").cast("string"), week).alias("case_id"), "ts", "event_id", "event_type", "value",
         F.when(F.col("event_type") == "purchase", F.col("value")).alias("amount"),
         F.get_json_object("props", "$.k").cast("int").alias("k"))
-    return EventLog.of(df, EVENTS_SPEC)
 
 
 def log_orders(spark: SparkSession, sf_dir: str) -> EventLog:

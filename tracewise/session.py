@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Largest number of rows of one group (case, metric group, ...) that a single task may hold.
 HOT_ROWS_KEY = "spark.tracewise.hotRows"
@@ -40,3 +41,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tracewise-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name next to the checkpoints, where every executor can write."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it from there.
+
+    Cuts the lineage: what is read does not change when an executor is lost, and is computed once.
+    """
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

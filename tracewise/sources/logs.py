@@ -10,6 +10,7 @@ from tracewise.functions.columns import c
 from tracewise.spec import LogSpec
 
 SEQ = "seq"
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 # Types of the columns of prediction and metric files; other columns stay text.
 RESULT_TYPES = {"nr_events": "int", "predicted": "double", "actual": "int", "run": "int", "score": "double",
@@ -85,6 +86,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", partition_by: list[s
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer.option("sep", ";").option("header", True).csv(path)
+        (writer.option("sep", ";").option("header", True).option("timestampFormat", TIME_FORMAT)
+         .option("timestampNTZFormat", TIME_FORMAT).csv(path))
     else:
         writer.format(fmt).save(path)

@@ -1,7 +1,9 @@
 """Running cases on streams: smoothed scores and running features, kept as state per case.
 
 Events of one case are handled in order by one task at a time, as each result depends on the one before;
-``maxFilesPerTrigger`` (or the like) bounds what one trigger brings. State is a handful of numbers per
+``maxFilesPerTrigger`` (or the like) bounds what one trigger brings, and a case that brings more than
+``spark.tracewise.hotRows`` rows in one trigger stops the stream with a message instead of the worker's
+memory. State is a handful of numbers per
 case. Both functions take a streaming DataFrame and give one; they also run on a trigger that drains
 what is there (``availableNow``).
 """
@@ -17,9 +19,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewise.functions.columns import c, cs
+from tracewise.session import hot_rows, shared_folder
 from tracewise.spec import LogSpec
 
 
+def _gather(batches: Iterator[pd.DataFrame], most: int) -> pd.DataFrame:
+    """The rows a trigger brings for one case; refused if they are more than a task may hold."""
+    parts, rows = [], 0
+    for part in batches:
+        rows += len(part)
+        if rows > most:
+            raise ValueError(f"one case has more than {most} rows in one trigger; "
+                             "bring less per trigger (maxFilesPerTrigger, maxBytesPerTrigger)")
+        parts.append(part)
+    return pd.concat(parts)
+
+
 def smooth_stream(pred: DataFrame, beta: float, keys: Sequence[str] = ("dataset", "Method", "case_id"),
                   score: str = "predicted", idle: str | None = None) -> DataFrame:
     """Exponential smoothing of arriving scores; the state is the last smoothed score and its position.
@@ -29,14 +44,14 @@ def smooth_stream(pred: DataFrame, beta: float, keys: Sequence[str] = ("dataset"
     batch operator. ``idle`` (a duration) forgets cases without news, in processing time.
     """
     types = dict(pred.dtypes)
-    keys = list(keys)
+    keys, most = list(keys), hot_rows(pred.sparkSession)
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "nr_events int", f"`{score}` double", "smoothed double"])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values("nr_events", kind="mergesort")
+        rows = _gather(batches, most).sort_values("nr_events", kind="mergesort")
         last, at, broken = state.get if state.exists else (0.0, 0, False)
         out = []
         for n, p in zip(rows["nr_events"].to_numpy(), rows[score].to_numpy()):
@@ -71,7 +86,7 @@ def running_features_stream(events: DataFrame, spec: LogSpec, levels: Sequence[s
     """
     case, ts, activity = spec.case, spec.timestamp, spec.activity
     types = dict(events.dtypes)
-    order = list(spec.time_order)
+    order, most = list(spec.time_order), hot_rows(events.sparkSession)
     own = list(dict.fromkeys([case, activity, *order]))
     counts = [f"{activity}_{level}" for level in levels]
     schema = ", ".join([
@@ -83,7 +98,7 @@ def running_features_stream(events: DataFrame, spec: LogSpec, levels: Sequence[s
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(order, kind="mergesort").reset_index(drop=True)
+        rows = _gather(batches, most).sort_values(order, kind="mergesort").reset_index(drop=True)
         nr, start, last, text = state.get if state.exists else (0, None, None, "{}")
         seen = json.loads(text)
         at = (rows[ts].astype("datetime64[us]")).astype("int64").to_numpy()
@@ -102,3 +117,13 @@ def running_features_stream(events: DataFrame, spec: LogSpec, levels: Sequence[s
     timed = events.withColumn(ts, c(ts).cast("timestamp")).withWatermark(ts, late)
     return (timed.select(*cs(own)).groupBy(c(case)).applyInPandasWithState(
         step, schema, "nr bigint, start bigint, last bigint, levels string", "append", GroupStateTimeout.EventTimeTimeout))
+
+
+def drain_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over all that is there now, into a Parquet folder, and read that."""
+    spark = stream.sparkSession
+    folder = shared_folder(spark, name)
+    query = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
+             .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
