@@ -73,3 +73,17 @@ def test_groups_must_be_the_measured_ones(spark, hot):
     df = table(spark, ["a"])
     with pytest.raises(ValueError):
         sc.scan(df, ["t"], ["id"], [sc.position("n")], sc.find_hot(df, ["key"]))
+
+
+def test_marked_rows_give_the_same(spark, hot):
+    df = table(spark, ["a", "b", "c"])
+    plain = as_set(sc.scan(df, ["key"], ["t", "id"], columns(), None))
+    hot(50)
+    found = sc.find_hot(df, ["key"])
+    marked = sc.scan(sc.mark_hot(df, found), ["key"], ["t", "id"], columns(), found)
+    assert as_set(marked) == plain
+    again = sc.scan(marked, ["key"], ["t", "id"], [sc.position("n2")], found)
+    assert again.where("n2 <> n").count() == 0
+    # the second scan reads one side only for each of its own sides
+    plan = marked.where(~F.col(f"`{found.mark}`"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan

@@ -24,7 +24,8 @@ def strip_col_prefix(df: DataFrame, prefix: str = "(case) ") -> DataFrame:
 
 def project_roles(log: EventLog, extra: Sequence[str] = ()) -> EventLog:
     """Keep the columns the spec names and ``extra``; time features not made yet are left out."""
-    wanted = dict.fromkeys((*log.spec.roles, *extra))
+    marks = [n for n in log.df.columns if n.startswith("__hot:")]
+    wanted = dict.fromkeys((*log.spec.roles, *extra, *marks))
     return log.with_df(log.df.select(*[c(n) for n in wanted if n in log.df.columns]))
 
 

@@ -38,6 +38,11 @@ class HotKeys:
     groups: DataFrame | None
     rows: int
 
+    @property
+    def mark(self) -> str:
+        """Name of the column that tells the rows of these groups (see ``mark_hot``)."""
+        return "__hot:" + ",".join(self.keys)
+
 
 @dataclass(frozen=True)
 class Running:
@@ -127,8 +132,23 @@ def measure(df: DataFrame, keys: list[str]) -> Sizes:
     return Sizes(HotKeys(tuple(keys), groups.drop("__rows"), rows), found["top"], found["n"])
 
 
+def mark_hot(df: DataFrame, hot: HotKeys | None) -> DataFrame:
+    """Tell the rows of oversized groups by a column, so that later scans part them by a plain filter.
+
+    The column is constant on either side of a scan's union. Catalyst pushes the filter of the next scan
+    into the union and drops the side it empties, so a chain of scans reads each side once per scan.
+    """
+    if hot is None or not hot.keys or hot.mark in df.columns:
+        return df
+    marked = null_safe_join(df, hot.groups.withColumn(hot.mark, F.lit(True)), list(hot.keys), "left", small=True)
+    return marked.withColumn(hot.mark, F.coalesce(c(hot.mark), F.lit(False)))
+
+
 def split_hot(df: DataFrame, hot: HotKeys) -> tuple[DataFrame, DataFrame]:
     """Rows of ordinary groups, and rows of oversized ones."""
+    if hot.mark in df.columns:
+        return (df.where(~c(hot.mark)).withColumn(hot.mark, F.lit(False)),
+                df.where(c(hot.mark)).withColumn(hot.mark, F.lit(True)))
     keys = list(hot.keys)
     return (null_safe_join(df, hot.groups, keys, "left_anti", small=True),
             null_safe_join(df, hot.groups, keys, "left_semi", small=True))
@@ -144,7 +164,12 @@ def scan(df: DataFrame, keys: list[str], order: list[str | Column], columns: lis
     if not keys:
         return _segmented(df, keys, order, columns, hot.rows)
     usual, oversized = split_hot(df, hot)
-    return _plain(usual, keys, order, columns).unionByName(_segmented(oversized, keys, order, columns, hot.rows))
+    usual = _plain(usual, keys, order, columns)
+    oversized = _segmented(oversized, keys, order, columns, hot.rows)
+    if hot.mark in df.columns:
+        usual = usual.withColumn(hot.mark, F.lit(False))
+        oversized = oversized.withColumn(hot.mark, F.lit(True))
+    return usual.unionByName(oversized)
 
 
 def scan_all(df: DataFrame, order: list[str | Column], columns: list[Running | Whole],

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewise.functions.columns import c, cs, null_safe_join
 from tracewise.operators.auc import auc, weighted_auc
-from tracewise.operators.scan import HotKeys, exact_quantiles, find_hot, latest, measure, position, previous, scan
+from tracewise.operators.scan import HotKeys, exact_quantiles, find_hot, latest, mark_hot, measure, position, previous, scan
 
 CASE = ("dataset", "Method", "case_id")
 GROUP = ("dataset", "Method")
@@ -108,7 +108,7 @@ def smooth(pred: DataFrame, betas: Sequence[float] | float, keys: Sequence[str]
     if hot == "auto":
         sizes = measure(pred, keys)
         hot, max_length = sizes.hot, min(sizes.longest, max_length or sizes.longest)
-    numbered = scan(pred, keys, ["nr_events"], [position("__pos")], hot)
+    numbered = scan(mark_hot(pred, hot), keys, ["nr_events"], [position("__pos")], hot)
     chain = numbered.where(F.col("__pos") == F.col("nr_events"))
     columns: dict[str, Column] = {}
     carried = {}
@@ -140,7 +140,7 @@ def smooth(pred: DataFrame, betas: Sequence[float] | float, keys: Sequence[str]
             names[i]: c(names[i]) + F.coalesce(F.pow(F.lit(beta), at % size + 1) * F.col(f"__carry{i}"), F.lit(0.0))
             for i, (size, beta) in carried.items()})
         result = result.drop(*[f"__end{i}" for i in carried], *[f"__carry{i}" for i in carried])
-    return result.drop("__pos")
+    return result.drop("__pos", hot.mark) if hot else result.drop("__pos")
 
 
 # Betas of the smoothing sweep

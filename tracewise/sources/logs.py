@@ -82,7 +82,7 @@ def _typed(raw: DataFrame) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv", partition_by: list[str] | None = None,
                 mode: str = "overwrite") -> None:
-    writer = df.write.mode(mode)
+    writer = df.drop(*[n for n in df.columns if n.startswith("__hot:")]).write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
