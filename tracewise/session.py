@@ -33,14 +33,18 @@ def hot_rows(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where none is named."""
+    """The shared folder named by the session; a temporary one only in local mode and where none is named."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tracewise-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tracewise-checkpoint-")
     context.setCheckpointDir(folder)
-    return folder
+    return context.getCheckpointDir() or folder
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -56,3 +60,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     folder = shared_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that ``keep`` wrote, once nothing reads it any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
