@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewise.llm import simhash
+from tracewise.llm import lines, randomindex, simhash
 from tracewise.llm.words import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,3 +22,13 @@ def query(fn: Query) -> Query:
 @query
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_crf_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_random_index_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return randomindex.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
