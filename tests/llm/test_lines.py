@@ -64,7 +64,7 @@ def test_viterbi_finds_the_best_path():
 
 
 def test_odd_rows(spark):
-    long = "\n".join(f"Plain line number {i} ends here." for i in range(30_000))
+    long = "\n".join(f"a{i} b{i} c{i} d{i} e{i} f{i}." for i in range(30_000))
     rows = [(1, None, 5), (2, "", 5), (2, "", 6), (None, "a b", None), (3, long, 1), (4, "same same " * 60, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int")
     labels = spark.createDataFrame([], "doc_id long, quality int")
