@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewise.llm import lines, randomindex, simhash, toxicity
+from tracewise.llm import htmlcut, lines, randomindex, simhash, toxicity
 from tracewise.llm.words import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,8 @@ def op9_random_index_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_grammar_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_mincut_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlcut.main_texts(table(spark, sf_dir, "pages"))

@@ -26,7 +26,8 @@ from tracewise.llm.words import MEMO, blobs, text_batches
 
 PER_CLASS = 4000
 THRESHOLD = 0.7
-MIN_DOCS = 3  # toxic documents that must hold an insult
+MIN_DOCS = 3  # toxic documents, and different pairs of neighbours, that an insult must have
+MIN_SHARE = 0.02  # the same as a share of the toxic documents
 MIN_WEIGHT = 3.0  # its log odds
 SHORTEST, LONGEST = 4, 10  # letters of a beginning
 NONE, INSULT, THREAT, TARGET, NEGATION, REPORT, MODAL = range(7)
@@ -124,7 +125,7 @@ def document_weight(words: list[bytes], lexicon: Lexicon) -> tuple[float, int]:
         while end < len(words) - 1 and words[end][-1:] not in _CLOSE:
             end += 1
         done = end + 1
-        left = clause_weight(kinds[start:done].tolist(), (codes[start:done] / 8000).tolist())
+        left = clause_weight(kinds[start:done].tolist(), ((codes[start:done] >> 3) / 1000).tolist())
         total += left
         matched += left > 0
     return total, matched
@@ -151,8 +152,23 @@ def learn_insults(seen: DataFrame) -> dict[bytes, float]:
     units = seen.select("y", "text").mapInArrow(counted, "unit binary, toxic long, clean long").groupBy("unit").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (n[0] + 1.0))
-    rows = units.where(F.col("toxic") >= MIN_DOCS).withColumn("w", odds).where(F.col("w") >= MIN_WEIGHT).collect()
+    least = max(MIN_DOCS, MIN_SHARE * n[1])
+    rows = units.where(F.col("toxic") >= least).withColumn("w", odds).where(F.col("w") >= MIN_WEIGHT).collect()
     weights = {bytes(r.unit): r.w for r in rows}
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places = set()
+            for text in blobs(b):
+                words = [b"", *text.split(), b""]
+                for before, word, after in zip(words, words[1:], words[2:], strict=False):
+                    places.update((u, before + b" " + after) for u in beginnings(bare(word)) if u in weights)
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in places], pa.binary()), pa.array([p for _, p in places], pa.binary())],
+                                             ["unit", "place"])
+
+    # copies of one toxic text are one witness: a beginning must stand between different neighbours
+    places = seen.where("y = 1").select("text").mapInArrow(placed, "unit binary, place binary").distinct().groupBy("unit").count()
+    weights = {bytes(r.unit): weights[bytes(r.unit)] for r in places.where(F.col("count") >= least).collect()}
     # an arc that a shorter one makes needless is left out
     return {u: w for u, w in weights.items() if not any(weights.get(u[:n], 0) >= w - 0.5 for n in range(3, len(u)) if u[:n] != u)}
 
