@@ -165,12 +165,30 @@ def _marked(keys: np.ndarray, fps: np.ndarray, keep_rows: int, over: int | None)
     return int(keys[-1]) if long[-1] else None
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the edges (a, b) only such as connect what the others before don't."""
+    if len(a) < 2:
+        return a, b
+    pairs = np.unique(np.stack((a, b)), axis=1)
+    nodes, at = np.unique(pairs, return_inverse=True)
+    above, stay = list(range(len(nodes))), []
+    for k, (x, y) in enumerate(at.reshape(2, -1).T.tolist()):
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        while above[y] != y:
+            above[y] = y = above[above[y]]
+        if x != y:
+            above[y] = x
+            stay.append(k)
+    return pairs[0, stay], pairs[1, stay]
+
+
 def _compared(distance: int, bucket: int):
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Linked pairs (a < b) of short runs; (a, a) for each member of a long one."""
+        """Linked pairs (a < b) of short runs, as few as connect the same; (a, a) for each member of a long one."""
         for keys, fps, long in runs(batches, bucket):
             hot = np.unique(fps[long])
-            left, right = [hot], [hot]
+            left, right = [], []
             keys, fps = keys[~long], fps[~long]
             at = np.arange(len(keys) - 1)
             lag = 1
@@ -181,7 +199,8 @@ def _compared(distance: int, bucket: int):
                 right.append(np.maximum(fps[near], fps[near + lag]))
                 lag += 1
                 at = at[at + lag < len(keys)]
-            a, b = np.concatenate(left), np.concatenate(right)
+            a, b = forest(np.concatenate(left), np.concatenate(right)) if left else (hot[:0], hot[:0])
+            a, b = np.concatenate((hot, a)), np.concatenate((hot, b))
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
     return compared
@@ -211,9 +230,9 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.concatenate(([True], keys[1:] != keys[:-1]))
         first = fps[np.flatnonzero(start)][np.cumsum(start) - 1]
         a, b = np.minimum(first, fps), np.maximum(first, fps)
-        pairs = np.unique(np.stack((a[a < b], b[a < b])), axis=1)
-        if pairs.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        a, b = forest(a[a < b], b[a < b])
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _met(keyed: DataFrame, how) -> DataFrame:
@@ -224,7 +243,7 @@ def _met(keyed: DataFrame, how) -> DataFrame:
 def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b), a < b, between distinct fingerprints ``fp``; they connect exactly those within ``distance`` bits.
 
-    Members of long runs are connected through stars, so not each of their links is an edge itself.
+    Links that others already connect are left out where a task sees it, so not each link is an edge itself.
     """
     if distance != DISTANCE:
         raise ValueError("segments and points are made for four bits")
@@ -278,7 +297,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     grouped = components(links(reps, distance, bucket))
     joined = grouped.join(reps, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first").alias("component"))
     named = grouped.join(joined, "root").select(F.col("node").alias("fp"), "component")
-    named = reps.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    # a table of its own, so that Spark can split the rows of a fingerprint that many documents share
+    named = keep(reps.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id")), "simhash-groups")
     return own.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
