@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewise.llm import htmlcut, lines, randomindex, simhash, toxicity
+from tracewise.llm import decontaminate, htmlcut, lines, randomindex, simhash, toxicity
 from tracewise.llm.words import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +42,11 @@ def op2_grammar_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_mincut_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlcut.main_texts(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_minhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op6_minhash_decontamination"] = decontaminate.SQL
