@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewise.llm import decontaminate, htmlcut, lines, randomindex, simhash, toxicity
+from tracewise.llm import decontaminate, htmlcut, licenses, lines, mixing, randomindex, simhash, toxicity
 from tracewise.llm.words import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,16 @@ def op6_minhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_minhash_decontamination"] = decontaminate.SQL
+
+
+@query
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_mix_sources"] = mixing.SQL
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
