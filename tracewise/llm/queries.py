@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewise.llm import decontaminate, htmlcut, licenses, lines, mixing, privacy, randomindex, simhash, toxicity
+from tracewise.llm import decontaminate, htmlcut, licenses, lines, mixing, privacy, randomindex, simhash, suffixes, toxicity
 from tracewise.llm.words import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_boosted_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_bwt_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
