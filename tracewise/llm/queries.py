@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewise.llm import decontaminate, htmlcut, licenses, lines, mixing, privacy, randomindex, simhash, suffixes, toxicity
@@ -73,3 +74,8 @@ def op10_boosted_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_bwt_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
