@@ -29,15 +29,31 @@ def test_smoothing_stream_equals_batch(spark, tmp_path):
     draw = random.Random(1)
     rows = [("d", "m", f"c{k}", n, draw.random(), 1, (n - 1) // 3) for k in range(6) for n in range(1, 8)]
     rows += [("d", "m", "gap", n, 0.5, 1, (n - 1) // 3) for n in (1, 2, 4, 5, 7)]
+    rows += [("d", "m", "late", n, n / 7, 1, (n - 1) // 3) for n in (4, 5, 6, 1, 2, 3, 7)]
     pred = spark.createDataFrame(
         rows, "dataset string, Method string, case_id string, nr_events int, predicted double, actual int, part int")
-    in_files(pred, tmp_path / "in", range(3))
+    in_files(pred, tmp_path / "in", (1, 0, 2))  # later positions come first
     source = spark.readStream.schema(pred.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = drain(smooth_stream(source, 0.8), "smoothed", tmp_path)
     show = lambda d: sorted((r["case_id"], r["nr_events"], round(r["smoothed"], 9)) for r in d.collect())
     assert show(got) == show(S.smooth(pred, 0.8))
 
 
+def test_smoothed_run_in_pieces():
+    import numpy as np
+
+    from tracewise.streaming.running import smoothed_run
+
+    x = np.random.default_rng(0).random(3000)
+    for beta in (0.0, 0.3, 0.8, 1.0):
+        want, last = [], None
+        for p in x:
+            last = p if last is None else beta * last + (1 - beta) * p
+            want.append(last)
+        assert np.allclose(smoothed_run(x, None, beta), want, rtol=1e-9)
+        assert np.allclose(smoothed_run(x[1000:], want[999], beta), want[1000:], rtol=1e-9)
+
+
 def test_running_features_stream_equals_batch(spark, tmp_path, make_log):
     draw = random.Random(2)
     log = make_log([(f"c{draw.randrange(5)}", i, draw.choice("xy")) for i in range(60)])
@@ -54,14 +70,9 @@ def test_running_features_stream_equals_batch(spark, tmp_path, make_log):
 
 def test_custom_function(spark, make_log):
     import pandas as pd
-    import pytest
 
     from tracewise.operators.custom import per_case
-    from tracewise.operators.scan import HotKeys
 
     log = make_log([("a", 2, "y"), ("a", 1, "x"), ("b", 0, "z")])
     fn = lambda e: pd.DataFrame({"case_id": [e["case_id"].iloc[0]], "v": ["".join(e["activity"])]})
     assert sorted(tuple(r) for r in per_case(log, fn, "case_id string, v string").collect()) == [("a", "xy"), ("b", "z")]
-    from dataclasses import replace
-    with pytest.raises(ValueError):
-        per_case(replace(log, hot=HotKeys(("case_id",), None, 10)), fn, "case_id string, v string")

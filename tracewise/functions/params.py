@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 PARAM_NAMES = {
     "rf": ("n_estimators", "max_features"),
     "xgboost": ("n_estimators", "learning_rate", "subsample", "max_depth", "colsample_bytree", "min_child_weight"),
+    "logit": ("C",),
+    "svm": ("C", "gamma"),
+    "gbm": ("n_estimators", "max_features", "learning_rate"),
+    "dt": (),
     "lstm": ("lstmsize", "dropout", "n_layers", "batch_size", "optimizer", "learning_rate", "nb_epoch"),
 }
 PARAM_TYPES = {"n_estimators": "int", "max_depth": "int", "min_child_weight": "int", "lstmsize": "int",

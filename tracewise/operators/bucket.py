@@ -11,7 +11,6 @@ from tracewise.functions.columns import c, cs
 from tracewise.operators.encode import Encoder, assemble, encoder
 from tracewise.operators.prefix import PREFIX
 from tracewise.operators.scan import position, scan_all
-from tracewise.session import keep
 
 BUCKET = "bucket"
 
@@ -43,8 +42,8 @@ class StateBucketer:
     def fit(self, log: EventLog) -> StateBucketer:
         encoded = self.encoder.fit_transform(log)
         names = self.encoder.columns
-        # the states are looked up by every log that is bucketed: kept in a table, not computed anew
-        distinct = keep(encoded.select(*cs(names)).distinct(), "states")
+        # ranks follow from the states alone, so it does no harm if they are computed anew
+        distinct = encoded.select(*cs(names)).distinct()
         ranked = scan_all(distinct, names, [position("__rank")])
         self.states = ranked.select(*cs(names), (F.col("__rank") - 1).alias(BUCKET))
         return self

@@ -14,11 +14,9 @@ from tracewise.functions.columns import c
 def per_case(log: EventLog, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Call ``fn`` with the ordered events of each case.
 
-    A function of a whole case needs it in memory, so a log with oversized cases is refused: cut them
-    with ``prefixes(log, max_length)`` first, or express the function by running columns.
+    A function of a whole case gets it as one table, so the longest case has to fit into a task's memory; where it may
+    not, cut cases with ``prefixes(log, max_length)`` first, or express the function by running columns.
     """
-    if log.hot is not None:
-        raise ValueError("the log has cases too long for one task; cap them with prefixes() first")
     order = list(log.spec.time_order)
 
     def ordered(events: pd.DataFrame) -> pd.DataFrame:

@@ -21,6 +21,7 @@ from tracewise.operators.clean import is_positive
 from tracewise.operators.prefix import PREFIX
 from tracewise.operators.scan import (
     Running,
+    Whole,
     earliest,
     latest,
     previous,
@@ -60,6 +61,10 @@ class Encoder:
     def learn(self, log: EventLog) -> None:
         """Learn anything that has to be known before levels."""
 
+    def prepare(self, df: DataFrame) -> DataFrame:
+        """Columns between the running ones and the features."""
+        return df
+
     # -- shared
     def fit(self, log: EventLog) -> Encoder:
         self.learn(log)
@@ -72,7 +77,7 @@ class Encoder:
         return list(self.features())
 
     def transform(self, log: EventLog) -> DataFrame:
-        return _encode(log, self.running(), self.features())
+        return _encode(log, self)
 
     def fit_transform(self, log: EventLog) -> DataFrame:
         return self.fit(log).transform(log)
@@ -80,6 +85,7 @@ class Encoder:
     def extend(self, log: EventLog, prefix: str) -> tuple[EventLog, list[str]]:
         """The log with its own columns and the features next to them, under prefixed names."""
         scanned = log.scan(*self.running())
+        scanned = scanned.with_df(self.prepare(scanned.df))
         features = {f"{prefix}{n}": F.coalesce(v.cast("double"), F.lit(0.0)) for n, v in self.features().items()}
         df = scanned.df.select(*cs(log.df.columns), *[v.alias(n) for n, v in features.items()])
         return log.with_df(df), list(features)
@@ -112,11 +118,12 @@ def _ids(log: EventLog) -> list[Column]:
     return ids + [is_positive(log).alias("y")] if log.spec.label in log.df.columns else ids
 
 
-def _encode(log: EventLog, running: list[Running], features: dict[str, Column]) -> DataFrame:
+def _encode(log: EventLog, encoder: Encoder) -> DataFrame:
+    running = encoder.running()
     scanned = log.scan(*running) if running else log
     kept = [c(n) for n in log.df.columns if n in ("bucket",)]
-    return scanned.df.select(*_ids(log), *kept, *[
-        F.coalesce(v.cast("double"), F.lit(0.0)).alias(n) for n, v in features.items()])
+    return encoder.prepare(scanned.df).select(*_ids(log), *kept, *[
+        F.coalesce(v.cast("double"), F.lit(0.0)).alias(n) for n, v in encoder.features().items()])
 
 
 class StateEncoder(Encoder):
@@ -176,7 +183,11 @@ class AggregateEncoder(Encoder):
 
 
 class IndexEncoder(Encoder):
-    """The attributes of the event at each position; zeros past the end of the prefix."""
+    """The attributes of the event at each position; zeros past the end of the prefix.
+
+    The first events of a case, ``max_events`` at most, are gathered once and looked up by position, so the plan doesn't
+    grow with positions times attributes.
+    """
 
     name = "index"
 
@@ -194,16 +205,23 @@ class IndexEncoder(Encoder):
         return [], [(F.when(known, F.concat_ws("_", F.lit(n), here)), c(n)) for n in self.cat]
 
     def running(self):
-        return [latest(self._temp(k, i), F.when(c(PREFIX) == i + 1, c(n)))
-                for k, n in enumerate((*self.cat, *self.num)) for i in range(self.max_events)]
+        own = F.struct(*[c(n).alias(f"a{k}") for k, n in enumerate((*self.cat, *self.num))])
+        first = F.when(c(PREFIX) <= self.max_events, F.struct(c(PREFIX).cast("int").alias("at"), own.alias("own")))
+        return [Whole(self._temp("events"), F.collect_list(first))]
+
+    def prepare(self, df):
+        return df.withColumn(self._temp("at"), F.map_from_entries(self._temp("events")))
+
+    def _value(self, k: int, i: int) -> Column:
+        return F.when(c(PREFIX) > i, F.element_at(F.col(self._temp("at")), F.lit(i + 1))[f"a{k}"])
 
     def features(self):
         out = {}
         for k, n in enumerate(self.num):
-            out.update({f"{n}_{i}": F.col(self._temp(len(self.cat) + k, i)) for i in range(self.max_events)})
+            out.update({f"{n}_{i}": self._value(len(self.cat) + k, i) for i in range(self.max_events)})
         for k, n in enumerate(self.cat):
             for i in range(self.max_events):
-                out.update(self._one_hot(f"{n}_{i}", F.col(self._temp(k, i))))
+                out.update(self._one_hot(f"{n}_{i}", self._value(k, i)))
         return out
 
 
@@ -227,6 +245,11 @@ class UnionEncoder(Encoder):
     def running(self):
         return [r for part in self.parts for r in part.running()]
 
+    def prepare(self, df):
+        for part in self.parts:
+            df = part.prepare(df)
+        return df
+
     def features(self):
         return {f"{part.name}__{n}": v for part in self.parts for n, v in part.features().items()}
 

@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 from tracewise.operators.auc import auc
 
 FEATURES, LABEL, SCORE = "features", "y", "predicted"
-# Depth of single and forest trees, which the original library leaves unlimited; MLlib allows 30 at most.
-TREE_DEPTH = 12
+# Depth of single and forest trees, which the original library leaves unlimited: the most MLlib allows.
+TREE_DEPTH = 30
+# Random features of an RBF machine, unless the parameter ``fourier_features`` says otherwise.
 FOURIER_FEATURES = 256
 
 
@@ -147,7 +148,8 @@ class GuardedClassifier:
             train = self._scaled(train)
         if self.name == "svm" and "gamma" in self.params:
             width = train.select(F.size(vector_to_array(FEATURES))).first()[0]
-            self.fourier = FourierFeatures(2.0 ** float(self.params["gamma"]), width, seed=self.seed)
+            count = _integer(self.params.get("fourier_features", FOURIER_FEATURES))
+            self.fourier = FourierFeatures(2.0 ** float(self.params["gamma"]), width, count, self.seed)
             train = self.fourier.transform(train)
         params = self.params
         if self.name == "sequence" and "inputs" not in params:
@@ -231,11 +233,11 @@ def learning_curve(params: Mapping, train: DataFrame, val: DataFrame, seed: int
     staged = val
     for t, tree in enumerate(model.trees):
         staged = tree.setPredictionCol(f"__t{t}").transform(staged)
-    total, columns = F.lit(0.0), []
-    for t, weight in enumerate(model.treeWeights):
-        total = total + F.col(f"__t{t}") * float(weight)
-        columns.append(F.struct(F.lit(t).alias("epoch"), total.alias("predicted")))
-    scores = staged.select(F.col(LABEL).alias("actual"), F.explode(F.array(*columns)).alias("x")).select("actual", "x.*")
+    parts = F.array(*[F.col(f"__t{t}") * float(weight) for t, weight in enumerate(model.treeWeights)])
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("sums"))
+    sums = F.aggregate(parts, start, lambda acc, x: F.struct(
+        (acc["sum"] + x).alias("sum"), F.concat(acc["sums"], F.array(acc["sum"] + x)).alias("sums")), lambda acc: acc["sums"])
+    scores = staged.select(F.col(LABEL).alias("actual"), F.posexplode(sums).alias("epoch", "predicted"))
     losses = val.sparkSession.createDataFrame(
         [(t, float(a), float(b)) for t, (a, b) in enumerate(rounds)], "epoch int, train_loss double, val_loss double")
     aucs = auc(scores, ["epoch"]).select("epoch", F.col("auc").alias("val_auc"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.eventlog import EventLog
 from tracewise.functions.columns import c
-from tracewise.operators.scan import Whole, position, scan_all
+from tracewise.operators.scan import Whole, find_hot, position, running_sum, scan, scan_all
+from tracewise.session import hot_rows
 
 
 def case_table(log: EventLog) -> DataFrame:
@@ -33,8 +34,10 @@ class Border:
     case: object
 
     def reached(self, key: Column, case: Column) -> Column:
+        """Never null: a case without an id, or without a key, comes before all others, as it does in a sort."""
         own = F.lit(self.key).cast(self.key_type)
-        return (key > own) | ((key == own) & (case >= F.lit(self.case)))
+        tied = F.lit(True) if self.case is None else F.coalesce(case >= F.lit(self.case), F.lit(False))
+        return F.coalesce((key > own) | ((key == own) & tied), F.lit(False))
 
     def key_value(self) -> Column:
         return F.lit(self.key).cast(self.key_type)
@@ -89,7 +92,10 @@ def _strict_sides(log: EventLog, ratio: float) -> EventLog:
 
 
 def split_val(log: EventLog, ratio: float = 0.2, how: str = "random", seed: int = 22) -> tuple[EventLog, EventLog]:
-    """Hold out ``int(ratio * n)`` cases: the latest ones, or the last ones by a seeded hash of the id."""
+    """Hold out ``int(ratio * n)`` cases: the latest ones, or the last ones by a seeded hash of the id.
+
+    Every event is on one side. Events without a case id are one case for the temporal way and are never drawn by the random one.
+    """
     case = c(log.spec.case)
     if how == "temporal":
         border = _border(_starts(log), _last(ratio), log.cases)
@@ -104,7 +110,8 @@ def split_val(log: EventLog, ratio: float = 0.2, how: str = "random", seed: int
 
 
 def _random_border(df: DataFrame, case: Column, ratio: float, seed: int, at_most: int | None) -> Border | None:
-    ids = df.select(case.alias("id")).distinct()
+    # events without a case id have no draw; they stay where they are
+    ids = df.select(case.alias("id")).where(F.col("id").isNotNull()).distinct()
     return _border(ids.select("id", _draw(F.col("id"), seed).alias("key")), _last(ratio), at_most)
 
 
@@ -154,13 +161,18 @@ DEFAULT_CAP = ("quantile", 40)
 
 
 def max_prefix_length(log: EventLog, truncate: bool = True, q: float = 0.9) -> int:
-    """Longest prefix to look at: a fixed cap, or the q-quantile of positive lengths up to a cap."""
+    """Longest prefix to look at: a fixed cap, or the q-quantile of positive lengths up to a cap.
+
+    Without a positive case it is the cap, or the length of the longest case if there is none.
+    """
     if not truncate:
-        return max_pos_length(log).first()["max_length"]
+        longest = max_pos_length(log).first()["max_length"]
+        return longest if longest is not None else log.df.groupBy(c(log.spec.case)).count().agg(F.max("count")).first()[0] or 0
     rule, cap = next((v for k, v in PREFIX_CAPS.items() if k in log.spec.name), DEFAULT_CAP)
     if rule == "fixed":
         return cap
-    return min(cap, pos_length_quantile(log, q).first()["length_quantile"])
+    quantile = pos_length_quantile(log, q).first()["length_quantile"]
+    return cap if quantile is None else min(cap, quantile)
 
 
 def case_length_counts(log: EventLog, dataset: str | None = None) -> DataFrame:
@@ -185,20 +197,22 @@ def prefix_length_counts(log: EventLog, longest: DataFrame, dataset: str, side:
         F.count(F.lit(1)).alias("length"), F.min_by(cls, F.when(cls.isNotNull(), order)).alias("label"))
     sizes = cases.groupBy("data_type", "label", "length").agg(F.count(F.lit(1)).alias("cases"))
     sizes = sizes.withColumn("label", F.explode(F.array(F.lit("all"), F.col("label")))).where("label IS NOT NULL")
-    wanted = longest.select(F.explode(F.sequence(F.lit(1), F.col(longest.columns[0]))).alias("nr_events"))
+    spark = log.df.sparkSession
+    top = longest.first()[0] or 0
+    wanted = spark.range(1, top + 1).select(F.col("id").cast("int").alias("nr_events"))
     labels = F.explode(F.array(F.lit("all"), F.lit("pos"), F.lit("neg"))).alias("label")
     kinds = F.explode(F.array(*[F.lit(n) for n in sides])).alias("data_type")
     grid = wanted.select("nr_events", labels).select("nr_events", "label", kinds)
     # a length l counts for every n up to l; lengths past the longest wanted one count as that one
-    capped = (sizes.crossJoin(F.broadcast(longest.toDF("__top")))
-              .groupBy("data_type", "label", F.least("length", "__top").alias("nr_events"))
+    capped = (sizes.groupBy("data_type", "label", F.least("length", F.lit(top)).cast("int").alias("nr_events"))
               .agg(F.sum("cases").alias("cases")))
     per_length = grid.join(capped, ["data_type", "label", "nr_events"], "left")
 
-    longer = (Window.partitionBy("data_type", "label").orderBy(F.desc("nr_events"))
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return per_length.select(F.lit(dataset).alias("dataset"), "data_type", "label", "nr_events",
-                             F.coalesce(F.sum("cases").over(longer), F.lit(0)).cast("long").alias("case_count"))
+    keys = ["data_type", "label"]
+    hot = find_hot(per_length, keys) if top > hot_rows(spark) else None
+    counted = scan(per_length, keys, [F.desc("nr_events")], [running_sum("case_count", F.col("cases"))], hot)
+    return counted.select(F.lit(dataset).alias("dataset"), "data_type", "label", "nr_events",
+                          F.coalesce("case_count", F.lit(0)).cast("long").alias("case_count"))
 
 
 def histogram(df: DataFrame, col: str, by: list[str], width: float = 1.0) -> DataFrame:

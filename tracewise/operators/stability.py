@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewise.functions.columns import c, cs, null_safe_join
 from tracewise.operators.auc import auc, weighted_auc
-from tracewise.operators.scan import HotKeys, exact_quantiles, find_hot, latest, mark_hot, measure, position, previous, scan
+from tracewise.operators.scan import HotKeys, earliest, exact_quantiles, find_hot, latest, mark_hot, measure, position, previous, scan
 
 CASE = ("dataset", "Method", "case_id")
 GROUP = ("dataset", "Method")
@@ -111,15 +111,14 @@ def smooth(pred: DataFrame, betas: Sequence[float] | float, keys: Sequence[str]
     numbered = scan(mark_hot(pred, hot), keys, ["nr_events"], [position("__pos")], hot)
     chain = numbered.where(F.col("__pos") == F.col("nr_events"))
     columns: dict[str, Column] = {}
-    carried = {}
+    carried, firsts = {}, []
     at = F.col("__pos") - 1
     for i, beta in enumerate(betas):
         if beta == 0:
             columns[names[i]] = c(score)
             continue
         if beta == 1:
-            columns[names[i]] = F.max(F.when(at == 0, c(score))).over(
-                Window.partitionBy(*cs(keys)).orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0))
+            firsts.append(earliest(names[i], c(score)))
             continue
         size = block_length(beta)
         one_block = max_length is not None and max_length <= size
@@ -132,6 +131,8 @@ def smooth(pred: DataFrame, betas: Sequence[float] | float, keys: Sequence[str]
         if not one_block:
             carried[i] = (size, beta)
     result = chain.withColumns(columns)
+    if firsts:
+        result = scan(result, keys, ["__pos"], firsts, hot)
     if carried:
         ends = [previous(f"__end{i}", F.when(at % size == size - 1, c(names[i]))) for i, (size, _) in carried.items()]
         result = scan(result, keys, ["__pos"], ends, hot)
@@ -148,24 +149,24 @@ SWEEP_BETAS = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9)
 
 
 def smoothing_sweep(pred: DataFrame, betas: Sequence[float] = SWEEP_BETAS, value: str = "auc_auto",
-                    hot: HotKeys | None | str = "auto", max_length: int | None = None) -> DataFrame:
+                    hot: HotKeys | None | str = "auto", max_length: int | None = None, crowded: bool | None = None) -> DataFrame:
     """Per dataset, method and beta: count-weighted AUC and mean stability of the smoothed scores.
 
-    For the AUC, scores are put on a grid of 1e-9, so that the last digits of a sum neither make nor break
-    a tie (the odd offset keeps short decimal fractions off the borders of the grid).
+    ``crowded`` says whether some prefix length of a dataset and method may have too many rows for a task; it is counted if not given.
     """
     if hot == "auto":
         sizes = measure(pred, list(CASE))
         hot, max_length = sizes.hot, min(sizes.longest, max_length or sizes.longest)
-    crowded = find_hot(pred, [*GROUP, "nr_events"])
+    if crowded is None:
+        crowded = find_hot(pred, [*GROUP, "nr_events"]) is not None
     names = [f"__s{i}" for i in range(len(betas))]
     smoothed = smooth(pred, list(betas), CASE, names=names, hot=hot, max_length=max_length)
-    pairs = F.explode(F.array(*[F.struct(F.lit(float(b)).alias("beta"), F.floor(F.col(n) * 1e9 + 0.3183).alias("grid"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(float(b)).alias("beta"), F.col(n).alias("smoothed"))
                                 for b, n in zip(betas, names)])).alias("x")
     long = smoothed.select("dataset", "Method", "nr_events", "actual", pairs).select(
         "dataset", "Method", "nr_events", "actual", "x.*")
     # smoothing adds no rows: where no length has too many of them before, none has per beta
-    aucs = auc(long, ["dataset", "Method", "beta", "nr_events"], score="grid", hot="auto" if crowded else None)
+    aucs = auc(long, ["dataset", "Method", "beta", "nr_events"], score="smoothed", hot="auto" if crowded else None)
     quality = weighted_auc(aucs, ["dataset", "Method", "beta"], value).select(
         "dataset", "Method", "beta", F.col("avg_weighted_auc").alias("avg_auc"))
     # changes of all betas from one window, means per case from one shuffle

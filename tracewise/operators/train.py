@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorSlicer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +18,10 @@ from tracewise.functions.columns import c
 from tracewise.functions.params import params_from_text
 from tracewise.operators.bucket import BUCKET, bucketer
 from tracewise.operators.encode import EventEncoder, assemble, encoding, sequences
-from tracewise.operators.models import FEATURES, LABEL, SCORE, GuardedClassifier, Platt
+from tracewise.operators.models import FEATURES, LABEL, SCORE, GuardedClassifier, Platt, estimator
 from tracewise.operators.prefix import PREFIX, prefixes
 from tracewise.operators.split import class_ratio
+from tracewise.session import keep
 
 
 @dataclass
@@ -68,6 +69,15 @@ def encode_splits(train: EventLog, others: Mapping[str, EventLog], method: str,
     return EncodedSplits(method, train.spec.case, sides, used, float(ratio))
 
 
+def _own_params(params: Mapping, bucket: int) -> Mapping:
+    """The parameters of a bucket, where they are keyed by bucket (``None`` names those of all others)."""
+    if not params or not all(isinstance(v, Mapping) for v in params.values()):
+        return params
+    if bucket not in params and None not in params:
+        raise KeyError(f"no parameters for bucket {bucket}; known: {', '.join(map(str, params))}")
+    return params.get(bucket, params.get(None))
+
+
 def fit_predict_encoded(data: EncodedSplits, cls: str, params: Mapping, score_side: str = "test", seed: int = 22,
                         min_cases: int = 1, dataset: str = "log", threads: int = 1) -> DataFrame:
     """One model per bucket of the scored side; their predictions stacked.
@@ -81,7 +91,7 @@ def fit_predict_encoded(data: EncodedSplits, cls: str, params: Mapping, score_si
     buckets = sorted(r[0] for r in data.sides[score_side].select(BUCKET).distinct().collect())
 
     def one(bucket: int) -> DataFrame:
-        own = params[bucket] if bucket in params else params
+        own = _own_params(params, bucket)
         model = GuardedClassifier(name, own, seed, min_cases, data.ratio).fit(data.bucket("train", bucket))
         scored = model.score(data.bucket(score_side, bucket))
         if calibrated:
@@ -105,7 +115,9 @@ def fit_predict_buckets(train: EventLog, val: EventLog, test: EventLog, method:
     """Bucket, encode, train, calibrate and score in one call."""
     clusters = int(params.get("n_clusters", 2))
     data = encode_splits(train, {"val": val, "test": test}, method, max_length, clusters, seed)
-    return fit_predict_encoded(data, cls, params, "test", seed, min_cases, train.spec.name, threads)
+    scored = keep(fit_predict_encoded(data, cls, params, "test", seed, min_cases, train.spec.name, threads), "predictions")
+    data.release()
+    return scored
 
 
 def fit_predict_runs(data: EncodedSplits, cls: str, params: Mapping, n_runs: int, score_side: str = "val",
@@ -130,6 +142,43 @@ def evaluate_configs(data: EncodedSplits, cls: str, configs: Sequence[str], n_ru
     return out
 
 
+def sequence_curves(train: EventLog, val: EventLog, configs: Sequence[str], max_length: int, epochs: int | None = None,
+                    seed: int = 22) -> DataFrame:
+    """Losses of the sequence classifier after each epoch, for each parameter text: params, epoch, train_loss, val_loss.
+
+    An epoch continues from the weights of the one before. ``epochs`` overrides what a parameter text says. Sequences are
+    encoded once for all; what comes back to the driver is two numbers an epoch.
+    """
+    events = EventEncoder(train.spec).fit(train)
+    columns = [f"event__{n}" for n in events.columns]
+    sides = [_sequence_rows(events, columns, log, max_length).persist(StorageLevel.MEMORY_AND_DISK) for log in (train, val)]
+    curve = []
+    for text in configs:
+        params = {**params_from_text(text, "lstm"), "inputs": len(columns) * max_length}
+        weights = None
+        for epoch in range(epochs or int(params.get("nb_epoch", 50))):
+            one = estimator("sequence", {**params, "nb_epoch": 1}, seed)
+            model = (one if weights is None else one.setInitialWeights(weights)).fit(sides[0])
+            weights = model.weights
+            losses = [log_loss(model.transform(rows)) for rows in sides]
+            curve.append((text, epoch, *losses))
+    for rows in sides:
+        rows.unpersist()
+    return train.df.sparkSession.createDataFrame(curve, "params string, epoch int, train_loss double, val_loss double")
+
+
+def log_loss(scored: DataFrame) -> float:
+    """Mean negative log likelihood of the labels; 0 without rows."""
+    p = vector_to_array(F.col("probability"))
+    own = F.when(F.col(LABEL) == 1, p[1]).otherwise(p[0])
+    return scored.agg(F.avg(-F.log(F.greatest(own, F.lit(1e-15))))).first()[0] or 0.0
+
+
+def _sequence_rows(events: EventEncoder, columns: list[str], log: EventLog, max_length: int) -> DataFrame:
+    flat = sequences(events.transform(prefixes(log, max_length)), columns, max_length, flat=True)
+    return flat.withColumn(FEATURES, array_to_vector(F.col("sequence").cast("array<double>"))).drop("sequence")
+
+
 def fit_predict_sequences(train: EventLog, val: EventLog, test: EventLog, params: Mapping, max_length: int,
                           cls: str = "sequence_calibrated", seed: int = 22) -> DataFrame:
     """One classifier over padded event sequences of all lengths, scored per prefix length."""
@@ -137,8 +186,7 @@ def fit_predict_sequences(train: EventLog, val: EventLog, test: EventLog, params
     columns = [f"event__{n}" for n in events.columns]
 
     def rows(log: EventLog) -> DataFrame:
-        flat = sequences(events.transform(prefixes(log, max_length)), columns, max_length, flat=True)
-        return flat.withColumn(FEATURES, array_to_vector(F.col("sequence").cast("array<double>"))).drop("sequence")
+        return _sequence_rows(events, columns, log, max_length)
 
     fit_rows = rows(train).persist(StorageLevel.MEMORY_AND_DISK)
     model = GuardedClassifier(cls.removesuffix("_calibrated"), {**params, "inputs": len(columns) * max_length}, seed,

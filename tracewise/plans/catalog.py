@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewise.eventlog import EventLog
@@ -22,7 +22,7 @@ from tracewise.operators.prefix import PREFIX, prefix_log, prefixes
 from tracewise.operators.scan import running_mean, running_sum
 from tracewise.operators.train import encode_splits
 from tracewise.plans import views as V
-from tracewise.plans.experiment import evaluate, final_predictions, splits, tuning_predictions
+from tracewise.plans.experiment import evaluate, final_predictions, report, splits, tuning_predictions
 from tracewise.session import shared_folder
 from tracewise.sources.logs import read_log, read_raw_log, read_results, read_tagged, write_table
 from tracewise.sources.params import save_params
@@ -447,6 +447,19 @@ def split_val_random(spark, sf_dir):
     return _sides(train=train, val=val)
 
 
+@query(EV + """, nl AS (SELECT event_id, CASE WHEN event_type <> 'error' THEN case_id END AS case_id FROM ev),
+vr AS (SELECT case_id, row_number() OVER (ORDER BY md5(case_id || '_22'), case_id) AS r, count(*) OVER () AS n
+       FROM nl WHERE case_id IS NOT NULL GROUP BY case_id)
+SELECT event_id, CASE WHEN r > n - CAST(floor(0.2 * n) AS BIGINT) THEN 'val' ELSE 'train' END AS side
+FROM nl LEFT JOIN vr USING (case_id)""")
+def split_val_null_cases(spark, sf_dir):
+    """Events of one type have no case id: they stay in train, and no event is lost."""
+    log = V.log_events(spark, sf_dir)
+    df = log.df.withColumn("case_id", F.when(F.col("event_type") != "error", F.col("case_id")))
+    train, val = split.split_val(EventLog.of(df.select("case_id", "event_id", "event_type", "ts"), log.spec), 0.2)
+    return _sides(train=train, val=val)
+
+
 @query(SPLIT + """SELECT event_id, 'train' AS side FROM fit UNION ALL SELECT event_id, 'val' FROM val
 UNION ALL SELECT event_id, 'test' FROM test""")
 def assign_splits(spark, sf_dir):
@@ -586,6 +599,40 @@ def encode_index(spark, sf_dir):
     return enc.fit_transform(prefixes(V.log_orders(spark, sf_dir)))
 
 
+def _at_positions(encoded: DataFrame, enc, prefix: str, number: str, levels: dict[str, list[str]]) -> DataFrame:
+    """Index columns as rows (case, prefix, position, value, level of each attribute); zeros past the prefix are no rows."""
+    at = []
+    for i in range(enc.max_events):
+        shown = [F.coalesce(*[F.when(c(f"{prefix}{n}_{i}_{x}") == 1, F.lit(x)) for x in known if f"{prefix}{n}_{i}_{x}" in encoded.columns] or [F.lit(None)])
+                 .cast("string").alias(n) for n, known in levels.items()]
+        at.append(F.struct(F.lit(i).alias("position"), c(f"{prefix}{number}_{i}").alias(number), *shown))
+    rows = encoded.select("case_id", PREFIX, F.explode(F.array(*at)).alias("x")).select("case_id", PREFIX, "x.*")
+    past = F.col("position") >= F.col(PREFIX)
+    return rows.where(~past | (c(number) != 0) | F.coalesce(*[c(n).isNotNull() for n in levels]))
+
+
+_AT = """SELECT p.case_id, p.prefix_nr, CAST(e.prefix_nr - 1 AS INTEGER) AS position, e.o_totalprice, e.o_orderpriority{more}
+FROM ord p JOIN ord e ON p.case_id = e.case_id AND e.prefix_nr <= p.prefix_nr"""
+
+
+@query(ORD + _AT.format(more=""))
+def encode_index_learned(spark, sf_dir):
+    """All positions up to the longest case."""
+    enc = E.encoder("index", cat=["o_orderpriority"], num=["o_totalprice"])
+    encoded = enc.fit_transform(prefixes(V.log_orders(spark, sf_dir)))
+    return _at_positions(encoded, enc, "", "o_totalprice", {"o_orderpriority": PRIORITY_LEVELS})
+
+
+@query(ORD + _AT.format(more=", e.o_orderstatus, p.c_acctbal, p.c_mktsegment"))
+def encode_union_index(spark, sf_dir):
+    enc = E.encoding("index", V.ORDERS_SPEC)
+    encoded = enc.fit_transform(prefixes(V.log_orders(spark, sf_dir)))
+    rows = _at_positions(encoded, enc.parts[1], "index__", "o_totalprice", {"o_orderpriority": PRIORITY_LEVELS, "o_orderstatus": list("FOP")})
+    segment = F.coalesce(*[F.when(c(f"static__c_mktsegment_{x}") == 1, F.lit(x)) for x in SEGMENTS])
+    static = encoded.select("case_id", PREFIX, F.col("static__c_acctbal").alias("c_acctbal"), segment.alias("c_mktsegment"))
+    return rows.join(static, ["case_id", PREFIX])
+
+
 @query(ORD + f"SELECT case_id, prefix_nr, {_positions(2)} FROM ord")
 def index_extract(spark, sf_dir):
     enc = E.encoder("index", cat=["o_orderpriority"], num=["o_totalprice"], max_events=5)
@@ -746,7 +793,8 @@ def auc_overall(spark, sf_dir):
 @query(PRED + auc_sql("pred", 'dataset, "Method", nr_events') + """
 SELECT dataset, "Method", nr_events, count, round(auc, 6) AS auc, round(auc_auto, 6) AS auc_auto FROM aucs""")
 def auc_by_length(spark, sf_dir):
-    return A.auc(V.predictions(spark, sf_dir), ["dataset", "Method", "nr_events"]).select(
+    pred, sized = V.scored(spark, sf_dir)
+    return A.auc(pred, ["dataset", "Method", "nr_events"], hot=sized.length).select(
         "dataset", "Method", "nr_events", "count", r6("auc", "auc"), r6("auc_auto", "auc_auto"))
 
 
@@ -762,20 +810,23 @@ def metrics_long(spark, sf_dir):
 SELECT dataset, "Method", round(sum(auc * count) / sum(count), 6) AS avg_weighted_auc, round(avg(auc), 6) AS avg_auc
 FROM aucs GROUP BY 1, 2""")
 def weighted_auc(spark, sf_dir):
-    aucs = A.auc(V.predictions(spark, sf_dir), ["dataset", "Method", "nr_events"])
+    pred, sized = V.scored(spark, sf_dir)
+    aucs = A.auc(pred, ["dataset", "Method", "nr_events"], hot=sized.length)
     return A.weighted_auc(aucs).select("dataset", "Method", r6("avg_weighted_auc", "avg_weighted_auc"), r6("avg_auc", "avg_auc"))
 
 
 @query(DIFF + """SELECT dataset, "Method", case_id, nr_events, round(lag(predicted) OVER (
   PARTITION BY dataset, "Method", case_id ORDER BY nr_events), 6) AS lag_value, round(abs(d), 6) AS diff FROM dif""")
 def successive_diff(spark, sf_dir):
-    return S.successive_diff(V.predictions(spark, sf_dir)).select(
+    pred, sized = V.scored(spark, sf_dir)
+    return S.successive_diff(pred, hot=sized.case).select(
         "dataset", "Method", "case_id", "nr_events", r6("lag_value", "lag_value"), r6("diff", "diff"))
 
 
 @query(DIFF + 'SELECT dataset, "Method", round(1 - avg(abs(d)), 6) AS stability FROM dif GROUP BY 1, 2')
 def stability_pooled(spark, sf_dir):
-    pooled = S.stability_pooled(S.successive_diff(V.predictions(spark, sf_dir)))
+    pred, sized = V.scored(spark, sf_dir)
+    pooled = S.stability_pooled(S.successive_diff(pred, hot=sized.case))
     return pooled.select("dataset", "Method", r6("stability", "stability"))
 
 
@@ -783,7 +834,8 @@ def stability_pooled(spark, sf_dir):
   round(median(abs(d)), 6) AS coef_median_abs, round(1 - stddev_samp(d), 6) AS coef_sd,
   round(1 - abs(quantile_cont(d, 0.9) - quantile_cont(d, 0.1)), 6) AS coef_idr FROM dif GROUP BY 1, 2, 3""")
 def case_volatility(spark, sf_dir):
-    table = S.case_volatility(V.predictions(spark, sf_dir))
+    pred, sized = V.scored(spark, sf_dir)
+    table = S.case_volatility(pred, hot=sized.case)
     return table.select("dataset", "Method", "case_id", *[
         r6(n, n) for n in ("coef_mean_abs", "coef_median_abs", "coef_sd", "coef_idr")])
 
@@ -791,7 +843,8 @@ def case_volatility(spark, sf_dir):
 @query(DIFF + """, cs AS (SELECT dataset, "Method", case_id, 1 - avg(abs(d)) AS s FROM dif GROUP BY 1, 2, 3)
 SELECT dataset, "Method", round(avg(s), 6) AS mean_mean_abs FROM cs GROUP BY 1, 2""")
 def stability_mean(spark, sf_dir):
-    return S.stability_mean(V.predictions(spark, sf_dir)).select("dataset", "Method", r6("mean_mean_abs", "mean_mean_abs"))
+    pred, sized = V.scored(spark, sf_dir)
+    return S.stability_mean(pred, hot=sized.case).select("dataset", "Method", r6("mean_mean_abs", "mean_mean_abs"))
 
 
 _RUN_AUC = RUNS + auc_sql("runs", "dataset, method, cls, params, run") + """,
@@ -811,7 +864,7 @@ def auc_runs(spark, sf_dir):
 
 @query(RUNS + _RMSPD + f"SELECT {_CELL}, params, round(rmspd, 6) AS rmspd FROM rm")
 def rmspd(spark, sf_dir):
-    table = S.rmspd(V.run_predictions(spark, sf_dir), [*tune.CELL, "params"], ["case_id", "nr_events"])
+    table = S.rmspd(V.run_predictions(spark, sf_dir), [*tune.CELL, "params"], ["case_id", "nr_events"], runs=5)
     return table.withColumn("rmspd", F.round("rmspd", 6))
 
 
@@ -827,13 +880,17 @@ def _smooth_sql(source: str, betas: str) -> str:
 @query(PRED + _smooth_sql("pred", "[0.8::DOUBLE]") +
        """SELECT dataset, "Method", case_id, nr_events, round(s, 6) AS smoothed FROM smo""")
 def smooth(spark, sf_dir):
-    return S.smooth(V.predictions(spark, sf_dir), 0.8).select(
+    pred, sized = V.scored(spark, sf_dir)
+    return S.smooth(pred, 0.8, hot=sized.case).select(
         "dataset", "Method", "case_id", "nr_events", r6("smoothed", "smoothed"))
 
 
-@query(PRED + _smooth_sql("pred", "[0.0::DOUBLE, 0.1, 0.25, 0.5, 0.75, 0.9]")
-       + ", sm AS (SELECT *, floor(s * 1e9 + 0.3183) AS grid FROM smo)"
-       + auc_sql("sm", 'dataset, "Method", beta, nr_events', "grid") + """,
+# scores of different users differ by more than the last digits of a sum, so that no tie depends on the order of adding
+_APART = ", apart AS (SELECT * REPLACE (predicted + CAST(split_part(case_id, '_', 1) AS BIGINT) * 1e-9::DOUBLE AS predicted) FROM pred)"
+
+
+@query(PRED + _APART + _smooth_sql("apart", "[0.0::DOUBLE, 0.1, 0.25, 0.5, 0.75, 0.9]")
+       + ", sm AS (SELECT * FROM smo)" + auc_sql("sm", 'dataset, "Method", beta, nr_events', "s") + """,
 wa AS (SELECT dataset, "Method", beta, sum(auc_auto * count) / sum(count) AS avg_auc FROM aucs GROUP BY 1, 2, 3),
 df AS (SELECT *, abs(s - lag(s) OVER (PARTITION BY dataset, "Method", case_id, beta ORDER BY nr_events)) AS d FROM sm),
 cst AS (SELECT dataset, "Method", beta, case_id, 1 - avg(d) AS m FROM df GROUP BY 1, 2, 3, 4),
@@ -841,7 +898,10 @@ stb AS (SELECT dataset, "Method", beta, avg(m) AS mean_mean_abs FROM cst GROUP B
 SELECT dataset, "Method", beta, round(avg_auc, 6) AS avg_auc, round(mean_mean_abs, 6) AS mean_mean_abs
 FROM wa JOIN stb USING (dataset, "Method", beta)""")
 def smoothing_sweep(spark, sf_dir):
-    return S.smoothing_sweep(V.predictions(spark, sf_dir)).select(
+    pred, sized = V.scored(spark, sf_dir)
+    apart = pred.withColumn("predicted", F.col("predicted") + F.split("case_id", "_")[0].cast("long") * F.lit(1e-9))
+    crowded = False if sized.length is None else None
+    return S.smoothing_sweep(apart, hot=sized.case, crowded=crowded).select(
         "dataset", "Method", "beta", r6("avg_auc", "avg_auc"), r6("mean_mean_abs", "mean_mean_abs"))
 
 
@@ -849,7 +909,8 @@ def smoothing_sweep(spark, sf_dir):
 SELECT dataset, round(avg(s) FILTER ("Method" = 'RF_agg'), 6) AS "RF_agg",
   round(avg(s) FILTER ("Method" = 'XGB_agg'), 6) AS "XGB_agg" FROM cs GROUP BY 1""")
 def pivot_metric(spark, sf_dir):
-    wide = A.pivot_metric(S.stability_mean(V.predictions(spark, sf_dir)), "mean_mean_abs", names=["RF_agg", "XGB_agg"])
+    pred, sized = V.scored(spark, sf_dir)
+    wide = A.pivot_metric(S.stability_mean(pred, hot=sized.case), "mean_mean_abs", names=["RF_agg", "XGB_agg"])
     return wide.select("dataset", r6("RF_agg", "RF_agg"), r6("XGB_agg", "XGB_agg"))
 
 
@@ -868,8 +929,9 @@ def only_max_length(spark, sf_dir):
 @query(_REACHED + auc_sql("longest", 'dataset, "Method", nr_events') + """
 SELECT dataset, "Method", nr_events, count, round(auc, 6) AS auc FROM aucs""")
 def auc_max_length(spark, sf_dir):
-    longest = filters.only_max_length(V.predictions(spark, sf_dir), _LENGTHS)
-    return A.auc(longest, ["dataset", "Method", "nr_events"]).select("dataset", "Method", "nr_events", "count", r6("auc", "auc"))
+    pred, sized = V.scored(spark, sf_dir)
+    longest = filters.only_max_length(pred, _LENGTHS)
+    return A.auc(longest, ["dataset", "Method", "nr_events"], hot=sized.length).select("dataset", "Method", "nr_events", "count", r6("auc", "auc"))
 
 
 @query(DIFF + auc_sql("pred", 'dataset, "Method", nr_events') + """,
@@ -878,10 +940,10 @@ st AS (SELECT dataset, "Method", 1 - avg(abs(d)) AS stability FROM dif GROUP BY
 SELECT dataset, "Method", round(avg_auc, 6) AS avg_auc, round(stability, 6) AS stability
 FROM wa JOIN st USING (dataset, "Method")""")
 def auc_vs_stability(spark, sf_dir):
-    pred = V.predictions(spark, sf_dir)
-    aucs = A.weighted_auc(A.auc(pred, ["dataset", "Method", "nr_events"])).select(
+    pred, sized = V.scored(spark, sf_dir)
+    aucs = A.weighted_auc(A.auc(pred, ["dataset", "Method", "nr_events"], hot=sized.length)).select(
         "dataset", "Method", r6("avg_weighted_auc", "avg_auc"))
-    stable = S.stability_pooled(S.successive_diff(pred)).select("dataset", "Method", r6("stability", "stability"))
+    stable = S.stability_pooled(S.successive_diff(pred, hot=sized.case)).select("dataset", "Method", r6("stability", "stability"))
     return A.auc_vs_stability(aucs, stable, ["dataset", "Method"])
 
 
@@ -927,12 +989,12 @@ WHERE score IS NOT NULL GROUP BY {_CELL}"""
 
 @query(_stable_sql(5))
 def best_by_auc_stability(spark, sf_dir):
-    return tune.best_by_auc_stability(V.run_predictions(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return tune.best_by_auc_stability(V.run_predictions(spark, sf_dir), runs=5).withColumn("score", F.round("score", 6))
 
 
 @query(_stable_sql(0))
 def best_by_run_auc(spark, sf_dir):
-    best = tune.best_by_auc_stability(V.run_predictions(spark, sf_dir), beta=0.0)
+    best = tune.best_by_auc_stability(V.run_predictions(spark, sf_dir), beta=0.0, runs=5)
     return best.withColumn("score", F.round("score", 6))
 
 
@@ -1012,18 +1074,63 @@ def running_features_stream(spark, sf_dir):
 
 @query(ORACLES["smooth"].removeprefix("WITH "))
 def smooth_stream(spark, sf_dir):
-    """Smoothing of scores as they arrive, from a stream over a table of predictions."""
+    """Smoothing of scores as they arrive: four files, each with some positions of every case, read one at a time."""
     folder = shared_folder(spark, "arriving")
     pred = V.predictions(spark, sf_dir)
-    pred.write.parquet(folder)
-    source = spark.readStream.schema(pred.schema).parquet(folder)
+    pred.repartition(4, F.pmod(F.col("nr_events") * 7 + 3, F.lit(4))).write.parquet(folder)
+    source = spark.readStream.schema(pred.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     df = running.drain_to_table(running.smooth_stream(source, 0.8), "smoothed")
     return df.select("dataset", "Method", "case_id", "nr_events", r6("smoothed", "smoothed"))
 
 
-# ------------------------------------------------------------------ models: no SQL twin
+# ------------------------------------------------------------------ whole ways
+
+
+@query(EV + """, kept AS (SELECT * FROM ev WHERE case_id IN (SELECT case_id FROM ev WHERE event_type IN ('signup', 'error'))),
+sp AS (SELECT case_id, min(ts) AS s, max(ts) AS e FROM kept GROUP BY 1),
+lv AS (SELECT event_type, count(*) AS c FROM kept GROUP BY 1),
+cs AS (SELECT case_id, s, row_number() OVER (ORDER BY s, case_id) AS r, count(*) OVER () AS n FROM sp),
+lim AS (SELECT min(s) AS t FROM cs WHERE r > CAST(floor(0.8 * n) AS BIGINT)),
+g AS (SELECT kept.*, count(amount) OVER (PARTITION BY case_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS grp,
+      max(k) OVER (PARTITION BY case_id) AS top, row_number() OVER (PARTITION BY case_id ORDER BY ts, event_id) AS event_nr FROM kept),
+f AS (SELECT *, max(amount) OVER (PARTITION BY case_id, grp) AS filled FROM g)
+SELECT event_id, event_nr, epoch_us(ts) - epoch_us(s) AS micros_since_start,
+  (SELECT count(*) FROM sp q WHERE q.s <= f.ts AND q.e > f.ts) AS open_cases, coalesce(filled, 0) AS amount,
+  CASE WHEN c >= 400 THEN f.event_type ELSE 'other' END AS event_type, CASE WHEN top >= 95 THEN 'deviant' ELSE 'regular' END AS label,
+  CASE WHEN r > CAST(floor(0.8 * n) AS BIGINT) THEN 'test' ELSE 'train' END AS side
+FROM f JOIN lv ON lv.event_type = f.event_type JOIN cs ON cs.case_id = f.case_id, lim
+WHERE r > CAST(floor(0.8 * n) AS BIGINT) OR ts < t""")
+def labelled_pipeline(spark, sf_dir):
+    """A raw log to labelled sides: filter, time features, open cases, forward fill, rare levels, outcome, split."""
+    log = filters.keep_cases_with(V.log_events(spark, sf_dir), ["signup", "error"])
+    log = timefeat.open_cases(timefeat.timestamp_features(log))
+    log = clean.ffill(log, ["amount"])
+    log = log.with_df(clean.collapse_rare(clean.fill_missing(log.df, ["event_type"], ["amount"]), ["event_type"], 400))
+    train, test = split.split_strict(label.label_predicate(log, F.col("k") >= V.SCORE_LIMIT, cut=False), 0.8)
+    both = train.df.withColumn("side", F.lit("train")).unionByName(test.df.withColumn("side", F.lit("test")))
+    return both.select("event_id", "event_nr", F.round(F.col("timesincecasestart") * 6e7).cast("long").alias("micros_since_start"),
+                       "open_cases", "amount", "event_type", "label", "side")
+
+
+@query(DIFF.replace("'XGB_agg'", "'XGB_idx_mul'") + auc_sql("pred", 'dataset, "Method", nr_events') + """,
+wa AS (SELECT dataset, "Method", sum(auc * count) / sum(count) AS w, avg(auc) AS a FROM aucs GROUP BY 1, 2),
+cs AS (SELECT dataset, "Method", case_id, 1 - avg(abs(d)) AS s FROM dif GROUP BY 1, 2, 3),
+st AS (SELECT dataset, "Method", avg(s) AS m FROM cs GROUP BY 1, 2)
+SELECT dataset, "Method", round(w, 6) AS avg_weighted_auc, round(a, 6) AS avg_auc, round(m, 6) AS mean_mean_abs FROM wa LEFT JOIN st USING (dataset, "Method")""")
+def prediction_report(spark, sf_dir):
+    """Calibrated predictions of two methods, under report names."""
+    pred = V.predictions(spark, sf_dir)
+    pred = pred.withColumnRenamed("Method", "which")
+    first = F.col("which") == "RF_agg"
+    raw = pred.withColumn("cls", F.when(first, "rf_calibrated").otherwise("xgboost_calibrated")).withColumn(
+        "method", F.when(first, "single_agg").otherwise("prefix_index")).drop("which")
+    return report(raw).select("dataset", "Method", r6("avg_weighted_auc", "avg_weighted_auc"), r6("avg_auc", "avg_auc"), r6("mean_mean_abs", "mean_mean_abs"))
+
 
+# ------------------------------------------------------------------ models
 
+# The models of these queries are small (5 or 10 trees, 20 epochs, two parameter sets, two runs) where a study fits 500 trees, 16
+# sets and 5 runs: a query shows the way from a log to scores, and a larger model takes longer on the same way. All rows are used.
 _SMALL = {"rf": {"n_estimators": 10, "max_features": 0.5, "max_depth": 5},
           "xgboost": {"n_estimators": 5, "learning_rate": 0.1, "subsample": 0.8, "max_depth": 3, "colsample_bytree": 0.8,
                       "min_child_weight": 1},
@@ -1089,3 +1196,147 @@ def stability_report(spark, sf_dir):
     """Log to splits, forest, calibration, smoothing sweep: AUC and stability per smoothing weight."""
     pred = final_predictions(_model_log(spark, sf_dir), "single_agg", "rf_calibrated", _SMALL["rf"], n_estimators=None)
     return evaluate(pred)
+
+
+# ------------------------------------------------------------------ what SQL can say of models
+
+
+_CAP = """, plen AS (SELECT count(*) AS n FROM lab WHERE label = 'deviant' GROUP BY case_id),
+cap AS (SELECT least(40, CAST(ceil(quantile_cont(n, 0.9)) AS BIGINT)) AS cap FROM plen)"""
+_ROWS_SQL = SPLIT + _CAP + """ SELECT CAST(prefix_nr AS INTEGER) AS nr_events, count(*) AS n_rows,
+  CAST(sum(CASE WHEN label = 'deviant' THEN 1 ELSE 0 END) AS BIGINT) AS positives, true AS valid, true AS better
+FROM test, cap WHERE prefix_nr <= cap GROUP BY 1"""
+# k decides the outcome, so a model that sees it must do better than chance
+_SEEING_SPEC = V.EVENTS_SPEC.with_(dynamic_num=("k",), static_cat=(), static_num=())
+
+
+def _seeing_log(spark, sf_dir) -> EventLog:
+    log = V.labelled_events(spark, sf_dir)
+    return EventLog(log.df, _SEEING_SPEC, log.hot, log.cases)
+
+
+def _shown(pred: DataFrame, by: tuple[str, ...] = ("nr_events",), margin: bool = False) -> DataFrame:
+    """Rows and positives of each prefix length; whether all scores are valid, and better than chance over all rows."""
+    score = F.col("predicted")
+    valid = score.isNotNull() & ~F.isnan(score) & (F.lit(True) if margin else score.between(0, 1))
+    better = A.auc(pred).select((F.col("auc") > 0.5).alias("better"))
+    rows = pred.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("actual").cast("long")).alias("positives"), F.every(valid).alias("valid"))
+    return rows.crossJoin(F.broadcast(better))  # one row
+
+
+def _rows_query(cls: str, method: str = "single_agg") -> None:
+    def run(spark, sf_dir):
+        pred = final_predictions(_seeing_log(spark, sf_dir), method, cls, _SMALL[cls.removesuffix("_calibrated")], n_estimators=None, threads=4)
+        return _shown(pred, margin=cls == "svm")
+
+    run.__name__ = f"rows_{cls}" if method == "single_agg" else f"rows_{cls}_{method}"
+    query(_ROWS_SQL.removeprefix("WITH "))(run)
+
+
+for _cls in ("rf", "xgboost", "gbm", "dt", "logit", "svm", "rf_calibrated"):
+    _rows_query(_cls)
+_rows_query("dt", "prefix_agg")
+_rows_query("dt", "state_agg")
+
+
+@query(SPLIT + _CAP + """ SELECT params, run, CAST(prefix_nr AS INTEGER) AS nr_events, count(*) AS n_rows,
+  CAST(sum(CASE WHEN label = 'deviant' THEN 1 ELSE 0 END) AS BIGINT) AS positives, true AS valid, true AS better
+FROM val, cap, (SELECT unnest(['5_0.3', '5_0.9']) AS params), (SELECT CAST(unnest(range(2)) AS INTEGER) AS run)
+WHERE prefix_nr <= cap GROUP BY 1, 2, 3""")
+def rows_tuning(spark, sf_dir):
+    """Every parameter set and run scores all validation prefixes."""
+    return _shown(tuning_predictions(_seeing_log(spark, sf_dir), "single_agg", "rf", ["5_0.3", "5_0.9"], n_runs=2), ("params", "run", "nr_events"))
+
+
+def _trained(spark, sf_dir, cls: str, params: dict, min_cases: int = 1):
+    log = _seeing_log(spark, sf_dir)
+    train, val, _ = splits(log)
+    data = encode_splits(train, {"val": val}, "single_agg", split.max_prefix_length(log))
+    return models.GuardedClassifier(cls, params, min_cases=min_cases).fit(data.bucket("train", 1)), data
+
+
+@query(SPLIT + _CAP + """ SELECT round(avg(CASE WHEN label = 'deviant' THEN 1.0::DOUBLE ELSE 0.0 END), 3) AS mean_score
+FROM fit, cap WHERE prefix_nr <= cap""")
+def logit_mean_score(spark, sf_dir):
+    """The intercept has no penalty, so scores average to the outcomes of the training prefixes."""
+    model, data = _trained(spark, sf_dir, "logit", {"C": 2})
+    return model.score(data.bucket("train", 1)).agg(F.round(F.avg("predicted"), 3).alias("mean_score"))
+
+
+@query(SPLIT + _CAP + """ SELECT round(avg(CASE WHEN label = 'deviant' THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS mean_score
+FROM fit, cap WHERE prefix_nr <= cap""")
+def tree_mean_score(spark, sf_dir):
+    """A leaf's score is the average outcome of its training prefixes, so all scores average to that of all prefixes."""
+    model, data = _trained(spark, sf_dir, "dt", {})
+    return model.score(data.bucket("train", 1)).agg(F.round(F.avg("predicted"), 6).alias("mean_score"))
+
+
+@query(SPLIT + _CAP + """, n AS (SELECT sum(CASE WHEN label = 'deviant' THEN 1 ELSE 0 END)::DOUBLE AS p, count(*)::DOUBLE AS n
+  FROM val, cap WHERE prefix_nr <= cap) SELECT round((p * (p + 1) / (p + 2) + (n - p) / (n - p + 2)) / n, 3) AS mean_score FROM n""")
+def platt_mean_score(spark, sf_dir):
+    """Calibrated scores average to the smoothed targets of the rows they were calibrated on."""
+    model, data = _trained(spark, sf_dir, "dt", {"max_depth": 3})
+    scored = model.score(data.bucket("val", 1))
+    return models.Platt().fit(scored).transform(scored).agg(F.round(F.avg("predicted"), 3).alias("mean_score"))
+
+
+@query(SPLIT + _CAP + """, t AS (SELECT label, prefix_nr FROM fit, cap WHERE prefix_nr <= cap)
+SELECT 'few' AS kind, round(avg(CASE WHEN label = 'deviant' THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS predicted FROM t
+UNION ALL SELECT 'one class', 1.0 UNION ALL SELECT 'none', 0.25""")
+def guard_constants(spark, sf_dir):
+    """Too few rows give their mean, one class gives that class, no rows the fallback."""
+    _, data = _trained(spark, sf_dir, "dt", {"max_depth": 1})
+    rows = data.bucket("train", 1)
+    kinds = {"few": (rows, 1_000_000_000), "one class": (rows.where("y = 1"), 1), "none": (rows.where("y > 1"), 1)}
+    out = None
+    for kind, (some, least) in kinds.items():
+        guard = models.GuardedClassifier("dt", {}, min_cases=least, fallback=0.25).fit(some)
+        one = guard.score(rows.limit(1)).select(F.lit(kind).alias("kind"), r6("predicted", "predicted"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(LAB + "SELECT event_id, true AS nearest FROM lab")
+def cluster_nearest(spark, sf_dir):
+    """Each prefix is in the bucket whose centre is nearest."""
+    log = prefixes(V.log_events(spark, sf_dir))
+    groups = B.bucketer("cluster", V.EVENTS_SPEC, k=4).fit(log)
+    extended, names = groups.encoder.extend(groups.transform(log), "__point_")
+    gaps = F.array(*[sum(((c(n) - float(x)) * (c(n) - float(x)) for n, x in zip(names, centre)), F.lit(0.0))
+                     for centre in groups.model.clusterCenters()])
+    own = F.element_at(gaps, (F.col("bucket") + 1).cast("int"))
+    return extended.df.select("event_id", (own <= F.array_min(gaps) + 1e-9).alias("nearest"))
+
+
+_LSTM = ["8_0.1_1_16_adam_0.01_4", "4_0.1_1_16_adam_0.01_4"]
+
+
+@query(f"t AS (SELECT count(*) AS n FROM events) SELECT unnest({_LSTM}) AS params, epoch, true AS finite FROM t, (SELECT CAST(unnest(range(4)) AS INTEGER) AS epoch)")
+def sequence_tuning(spark, sf_dir):
+    """Losses of the sequence classifier after each epoch, as the choice of its parameters reads them."""
+    curves = tuning_predictions(_seeing_log(spark, sf_dir), "lstm", "lstm", _LSTM)
+    finite = F.col("train_loss").between(0, 100) & F.col("val_loss").between(0, 100)
+    return curves.select("params", "epoch", finite.alias("finite"))
+
+
+@query(SPLIT + _CAP + """ SELECT CAST(prefix_nr AS INTEGER) AS nr_events, count(*) AS n_rows,
+  CAST(sum(CASE WHEN label = 'deviant' THEN 1 ELSE 0 END) AS BIGINT) AS positives, true AS valid, true AS better
+FROM test, cap WHERE prefix_nr <= cap GROUP BY 1""")
+def rows_sequence(spark, sf_dir):
+    """Sequence tuning to the final model: curves, best parameters and epoch, predictions of the test cases."""
+    log = _seeing_log(spark, sf_dir)
+    best = tune.best_by_val_loss(tuning_predictions(log, "lstm", "lstm", _LSTM[:1]), min_epoch=2).first()["params"]
+    params = {**P.params_from_text(best.rpartition("_")[0], "lstm"), "nb_epoch": 10 * (1 + int(best.rpartition("_")[2]))}
+    return _shown(final_predictions(log, "lstm", "sequence_calibrated", params))
+
+
+@query("t AS (SELECT count(*) AS n FROM events) SELECT CAST(unnest(range(5)) AS INTEGER) AS epoch, true AS falls, true AS better FROM t")
+def learning_rounds(spark, sf_dir):
+    """Each round of boosting lowers the training loss, and the validation AUC is better than chance."""
+    log = _seeing_log(spark, sf_dir)
+    train, val, _ = splits(log)
+    data = encode_splits(train, {"val": val}, "single_agg", split.max_prefix_length(log))
+    params = {**_SMALL["xgboost"], "subsample": 1.0, "colsample_bytree": 1.0}
+    curve = models.learning_curve(params, data.bucket("train", 1), data.bucket("val", 1))
+    before = F.lag("train_loss").over(Window.orderBy("epoch"))  # one row a round
+    return curve.select("epoch", F.coalesce(F.col("train_loss") <= before, F.lit(True)).alias("falls"), (F.col("val_auc") > 0.5).alias("better"))

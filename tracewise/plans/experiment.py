@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from tracewise.eventlog import EventLog
 from tracewise.operators import stability as S
 from tracewise.operators import tune
+from tracewise.operators.auc import auc, weighted_auc
+from tracewise.operators.clean import report_names
 from tracewise.operators.split import max_prefix_length, split_strict, split_val
 from tracewise.operators.train import (
     encode_splits,
     evaluate_configs,
     fit_predict_buckets,
     fit_predict_sequences,
+    sequence_curves,
 )
 
 TRAIN_RATIO = 0.8
@@ -44,15 +47,29 @@ def final_predictions(log: EventLog, method: str, cls: str, params: Mapping, tru
 
 
 def tuning_predictions(log: EventLog, method: str, cls: str, configs: Sequence[str] | int = 16, n_runs: int = 1,
-                       truncate: bool = True, seed: int = 22, threads: int = 1) -> DataFrame:
-    """Scores of the validation cases under every parameter set; the test cases stay unseen."""
+                       truncate: bool = True, seed: int = 22, threads: int = 1, epochs: int | None = None) -> DataFrame:
+    """Scores of the validation cases under every parameter set; the test cases stay unseen.
+
+    For the sequence classifier (``lstm``) these are its learning curves, from which ``tune.best_by_val_loss`` picks parameters
+    and epoch; ``params_from_text`` of what it picks are the parameters of the final model.
+    """
     train, val, _ = splits(log)
     if isinstance(configs, int):
         configs = [r["params"] for r in tune.sample_params(log.df.sparkSession, cls, configs, seed).collect()]
+    if method == "lstm" or cls == "lstm":
+        return sequence_curves(train, val, configs, max_prefix_length(log, truncate), epochs, seed)
     data = encode_splits(train, {"val": val}, method, max_prefix_length(log, truncate))
     return evaluate_configs(data, cls, configs, n_runs, "val", log.spec.name, threads)
 
 
+def report(pred: DataFrame) -> DataFrame:
+    """Weighted AUC and stability of each dataset and method, under the names used in reports."""
+    named = report_names(pred)
+    aucs = weighted_auc(auc(named, ["dataset", "Method", "nr_events"]))
+    stable = S.stability_mean(named)
+    return aucs.join(stable, ["dataset", "Method"], "left")
+
+
 def evaluate(pred: DataFrame, max_length: int | None = None) -> DataFrame:
     """AUC and stability of calibrated predictions under each smoothing weight."""
     named = pred.withColumn("Method", F.concat_ws("_", "cls", "method"))

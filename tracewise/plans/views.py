@@ -6,14 +6,19 @@ customer, and items of an order. A table of predictions is derived from the firs
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewise.eventlog import EventLog
+from tracewise.functions.columns import c, null_safe_join
 from tracewise.functions.time import micros
 from tracewise.operators.clean import is_positive
 from tracewise.operators.label import label_predicate
 from tracewise.operators.prefix import PREFIX, prefixes
+from tracewise.operators.scan import mark_hot, measure, split_hot
+from tracewise.session import hot_rows
 from tracewise.spec import LogSpec
 
 EVENTS_SPEC = LogSpec(
@@ -49,26 +54,38 @@ def week_cases(raw: DataFrame) -> DataFrame:
         F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
+def _joined(facts: DataFrame, dim: DataFrame, spec: LogSpec, columns: list[str]) -> EventLog:
+    """Facts with the columns of their case's row in ``dim`` (one a case), as a log.
+
+    Cases are measured and marked before the join. Rows of oversized ones meet their few rows of ``dim`` by broadcast, so no
+    task of the join gets a whole such case.
+    """
+    sizes = measure(facts, [spec.case])
+    if sizes.hot is None:
+        return EventLog(facts.join(dim, spec.case).select(*columns), spec, None, sizes.groups)
+    usual, long = split_hot(mark_hot(facts, sizes.hot), sizes.hot)
+    few = null_safe_join(dim, sizes.hot.groups, [spec.case], "left_semi", small=True)
+    both = usual.join(dim, spec.case).unionByName(long.join(F.broadcast(few), spec.case))  # as many rows as oversized cases
+    return EventLog(both.select(*columns, c(sizes.hot.mark)), spec, sizes.hot, sizes.groups)
+
+
 def log_orders(spark: SparkSession, sf_dir: str) -> EventLog:
     """A case is one customer."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumnRenamed("o_custkey", "case_id")
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
-        "c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumnRenamed("c_custkey", "case_id")
     # the case is the join key, so windows over cases find the rows where the join has put them
-    df = orders.join(customer, orders.case_id == customer.c_custkey).select(
+    return _joined(orders, customer.select("case_id", "c_mktsegment", "c_nationkey", "c_acctbal"), ORDERS_SPEC, [
         "case_id", "o_orderdate", "o_orderkey", "o_orderpriority",
-        "o_orderstatus", "o_totalprice", "c_mktsegment", "c_nationkey", "c_acctbal")
-    return EventLog.of(df, ORDERS_SPEC, counted=orders)
+        "o_orderstatus", "o_totalprice", "c_mktsegment", "c_nationkey", "c_acctbal"])
 
 
 def log_items(spark: SparkSession, sf_dir: str) -> EventLog:
     """A case is one order, an event one of its items."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumnRenamed("l_orderkey", "case_id")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
-    df = items.join(orders, items.case_id == orders.o_orderkey).select(
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("case_id"), "o_orderdate")
+    return _joined(items, orders, ITEMS_SPEC, [
         "case_id", "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey",
-        "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "o_orderdate")
-    return EventLog.of(df, ITEMS_SPEC, counted=items)
+        "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "o_orderdate"])
 
 
 def labelled_events(spark: SparkSession, sf_dir: str) -> EventLog:
@@ -76,12 +93,34 @@ def labelled_events(spark: SparkSession, sf_dir: str) -> EventLog:
     return label_predicate(log_events(spark, sf_dir), F.col("k") >= SCORE_LIMIT, cut=False)
 
 
+@dataclass(frozen=True)
+class Sized:
+    """What the log tells about its predictions, so that they need not be counted again.
+
+    Cases of predictions are those of the log: where none is oversized, ``case`` is None. A prefix length has at most one
+    row a case: where the cases are few enough for a task, ``length`` is None. Otherwise groups are counted (``auto``).
+    """
+
+    case: None | str
+    length: None | str
+
+
+def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Sized]:
+    """``predictions`` and the sizes of their groups."""
+    log = prefixes(labelled_events(spark, sf_dir))
+    small = log.cases is not None and log.cases <= hot_rows(spark)
+    return _predicted(log), Sized(None if log.hot is None else "auto", None if small else "auto")
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score for every prefix: k / 100 of its last event, against the outcome of the case.
 
     ``dataset`` is the week of the case and ``Method`` the parity of the user, to have several groups.
     """
-    log = prefixes(labelled_events(spark, sf_dir))
+    return _predicted(prefixes(labelled_events(spark, sf_dir)))
+
+
+def _predicted(log: EventLog) -> DataFrame:
     user = F.split("case_id", "_")[0].cast("long")
     return log.df.select(
         F.concat(F.lit("week"), F.split("case_id", "_")[1]).alias("dataset"),

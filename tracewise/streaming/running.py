@@ -1,73 +1,88 @@
 """Running cases on streams: smoothed scores and running features, kept as state per case.
 
 Events of one case are handled in order by one task at a time, as each result depends on the one before;
-``maxFilesPerTrigger`` (or the like) bounds what one trigger brings, and a case that brings more than
-``spark.tracewise.hotRows`` rows in one trigger stops the stream with a message instead of the worker's
-memory. State is a handful of numbers per
-case. Both functions take a streaming DataFrame and give one; they also run on a trigger that drains
-what is there (``availableNow``).
+``maxFilesPerTrigger`` (or the like) bounds what one trigger brings. A task holds the rows that a trigger brings for a
+case, as few columns as it needs. State is a handful of numbers per case, and scores that came before their turn. Both
+functions take a streaming DataFrame and give one; they also run on a trigger that drains what is there
+(``availableNow``).
 """
 
 from __future__ import annotations
 
-import json
+import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewise.functions.columns import c, cs
-from tracewise.session import hot_rows, shared_folder
+from tracewise.session import shared_folder
 from tracewise.spec import LogSpec
 
+OUT_ROWS = 100_000  # rows of a result that are handed on at a time
 
-def _gather(batches: Iterator[pd.DataFrame], most: int) -> pd.DataFrame:
-    """The rows a trigger brings for one case; refused if they are more than a task may hold."""
-    parts, rows = [], 0
-    for part in batches:
-        rows += len(part)
-        if rows > most:
-            raise ValueError(f"one case has more than {most} rows in one trigger; "
-                             "bring less per trigger (maxFilesPerTrigger, maxBytesPerTrigger)")
-        parts.append(part)
-    return pd.concat(parts)
+
+def smoothed_run(scores: np.ndarray, last: float | None, beta: float) -> np.ndarray:
+    """Exponential smoothing of successive scores after ``last`` (None at the start of a case).
+
+    Written out, a smoothed score is a weighted running sum; it restarts before the weights leave the range of a double.
+    """
+    scores = np.asarray(scores, float)
+    if last is None:
+        if not len(scores):
+            return scores
+        return np.concatenate((scores[:1], smoothed_run(scores[1:], float(scores[0]), beta)))
+    if beta == 0:
+        return scores
+    if beta == 1:
+        return np.full(len(scores), last)
+    size = max(1, math.floor(250 / -math.log10(beta)))
+    out = np.empty(len(scores))
+    for at in range(0, len(scores), size):
+        part = scores[at:at + size]
+        weight = beta ** np.arange(1, len(part) + 1)
+        out[at:at + size] = weight * (last + (1 - beta) * np.cumsum(part / weight))
+        last = float(out[at + len(part) - 1])
+    return out
 
 
 def smooth_stream(pred: DataFrame, beta: float, keys: Sequence[str] = ("dataset", "Method", "case_id"),
                   score: str = "predicted", idle: str | None = None) -> DataFrame:
     """Exponential smoothing of arriving scores; the state is the last smoothed score and its position.
 
-    Rows of a trigger are ordered by position. A position at or before the last one seen is late and
-    dropped; a case starts at position 1, and a position that leaves a gap ends its chain, as in the
-    batch operator. ``idle`` (a duration) forgets cases without news, in processing time.
+    A position before its turn waits in the state until those before it have come, so files may arrive in any order; one
+    that was smoothed already is dropped. A case starts at position 1; what follows a gap that never fills is never
+    smoothed, as in the batch operator. ``idle`` (a duration) forgets cases without news, in processing time, and what waits with
+    them.
     """
     types = dict(pred.dtypes)
-    keys, most = list(keys), hot_rows(pred.sparkSession)
+    keys = list(keys)
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "nr_events int", f"`{score}` double", "smoothed double"])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = _gather(batches, most).sort_values("nr_events", kind="mergesort")
-        last, at, broken = state.get if state.exists else (0.0, 0, False)
-        out = []
-        for n, p in zip(rows["nr_events"].to_numpy(), rows[score].to_numpy()):
-            if n <= at or broken:
-                continue
-            if n != at + 1:
-                broken = True
-                continue
-            last = float(p) if n == 1 else beta * last + (1 - beta) * float(p)
-            at = int(n)
-            out.append((at, float(p), last))
-        state.update((last, at, broken))
+        last, at, waiting, scores = state.get if state.exists else (0.0, 0, [], [])
+        parts = [(b["nr_events"].to_numpy(), b[score].to_numpy()) for b in batches]
+        n = np.concatenate([np.asarray(waiting, np.int64), *[x for x, _ in parts]]).astype(np.int64)
+        p = np.concatenate([np.asarray(scores, float), *[x for _, x in parts]]).astype(float)
+        n, first = np.unique(n, return_index=True)
+        p = p[first][n > at]
+        n = n[n > at]
+        ready = int(np.argmin(np.append(n == at + 1 + np.arange(len(n)), False)))
+        smoothed = smoothed_run(p[:ready], last if at else None, beta)
+        if ready:
+            last, at = float(smoothed[-1]), int(n[ready - 1])
+        state.update((last, at, n[ready:].tolist(), p[ready:].tolist()))
         if idle:
             state.setTimeoutDuration(idle_ms)
-        if out:
-            table = pd.DataFrame(out, columns=["nr_events", score, "smoothed"])
+        for start in range(0, ready, OUT_ROWS):
+            some = slice(start, min(start + OUT_ROWS, ready))
+            table = pd.DataFrame({"nr_events": n[some], score: p[some], "smoothed": smoothed[some]})
             for i, k in enumerate(keys):
                 table.insert(i, k, key[i])
             yield table
@@ -75,7 +90,8 @@ def smooth_stream(pred: DataFrame, beta: float, keys: Sequence[str] = ("dataset"
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
     return (pred.select(*cs(keys), F.col("nr_events").cast("int"), c(score).cast("double"))
-            .groupBy(*cs(keys)).applyInPandasWithState(step, schema, "last double, at int, broken boolean", "append", timeout))
+            .groupBy(*cs(keys)).applyInPandasWithState(
+                step, schema, "last double, at int, waiting array<int>, scores array<double>", "append", timeout))
 
 
 def running_features_stream(events: DataFrame, spec: LogSpec, levels: Sequence[str], late: str = "1 hour") -> DataFrame:
@@ -86,7 +102,7 @@ def running_features_stream(events: DataFrame, spec: LogSpec, levels: Sequence[s
     """
     case, ts, activity = spec.case, spec.timestamp, spec.activity
     types = dict(events.dtypes)
-    order, most = list(spec.time_order), hot_rows(events.sparkSession)
+    order = list(spec.time_order)
     own = list(dict.fromkeys([case, activity, *order]))
     counts = [f"{activity}_{level}" for level in levels]
     schema = ", ".join([
@@ -98,25 +114,25 @@ def running_features_stream(events: DataFrame, spec: LogSpec, levels: Sequence[s
         if state.hasTimedOut:
             state.remove()
             return
-        rows = _gather(batches, most).sort_values(order, kind="mergesort").reset_index(drop=True)
-        nr, start, last, text = state.get if state.exists else (0, None, None, "{}")
-        seen = json.loads(text)
+        rows = pd.concat(list(batches)).sort_values(order, kind="mergesort").reset_index(drop=True)
+        nr, start, last, seen = state.get if state.exists else (0, None, None, [0] * len(levels))
+        seen = list(seen)
         at = (rows[ts].astype("datetime64[us]")).astype("int64").to_numpy()
         start = int(at[0]) if start is None else start
-        before = [last if last is not None else int(at[0]), *at[:-1].tolist()]
-        rows["event_nr"] = range(nr + 1, nr + 1 + len(rows))
+        before = np.concatenate(([at[0] if last is None else last], at[:-1]))
+        rows["event_nr"] = np.arange(nr + 1, nr + 1 + len(rows))
         rows["timesincecasestart"] = (at - start) / 6e7
-        rows["timesincelastevent"] = [(a - b) / 6e7 for a, b in zip(at.tolist(), before)]
-        for level, name in zip(levels, counts):
-            rows[name] = (rows[activity] == level).cumsum() + int(seen.get(level, 0))
-            seen[level] = int(rows[name].iloc[-1])
-        state.update((nr + len(rows), start, int(at[-1]), json.dumps(seen)))
+        rows["timesincelastevent"] = (at - before) / 6e7
+        for i, (level, name) in enumerate(zip(levels, counts)):
+            rows[name] = (rows[activity] == level).cumsum() + seen[i]
+            seen[i] = int(rows[name].iloc[-1])
+        state.update((nr + len(rows), start, int(at[-1]), seen))
         state.setTimeoutTimestamp(max(int(at[-1] // 1000), state.getCurrentWatermarkMs()) + grace)
         yield rows[[*own, "event_nr", "timesincecasestart", "timesincelastevent", *counts]]
 
     timed = events.withColumn(ts, c(ts).cast("timestamp")).withWatermark(ts, late)
     return (timed.select(*cs(own)).groupBy(c(case)).applyInPandasWithState(
-        step, schema, "nr bigint, start bigint, last bigint, levels string", "append", GroupStateTimeout.EventTimeTimeout))
+        step, schema, "nr bigint, start bigint, last bigint, levels array<bigint>", "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def drain_to_table(stream: DataFrame, name: str) -> DataFrame:
