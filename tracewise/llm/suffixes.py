@@ -31,9 +31,9 @@ from tracewise.session import keep
 
 LENGTH = 200
 GRAM = 32
-HOT = 8192
 SHARD = 4096
 BLOCK = 32768
+HOT = BLOCK
 EDGE = 64
 _PIECE, _BUFFER = 1 << 20, 1 << 19
 _POSITION = (1 << 24) - 1
@@ -182,8 +182,8 @@ class Shard:
     def __init__(self, text: np.ndarray):
         rows, columns = text.shape
         self.bytes = np.empty((columns, rows), np.uint16)
-        self.order = np.empty((columns, rows), np.int32)  # rows in the order of what starts at the column
-        order = np.arange(rows, dtype=np.int32)
+        self.order = np.empty((columns, rows), np.uint16 if rows <= 1 << 16 else np.int32)  # rows in the order of what starts at the column
+        order = np.arange(rows)
         for j in range(columns - 1, -1, -1):
             own = self.bytes[j] = text[order, j]
             order = self.order[j] = order[np.argsort(own, kind="stable")]
@@ -213,7 +213,7 @@ def repeated(text: np.ndarray, length: int, starts: int, shard: int = SHARD) ->
             hit = common[:-1] >= length
             hit |= common[1:] >= length
             if hit.any():
-                names[np.argsort(source, kind="stable")] = np.concatenate([a + s.order[j] for a, s in zip(cuts, shards, strict=True)])
+                names[np.argsort(source, kind="stable")] = np.concatenate([a + s.order[j].astype(np.int64) for a, s in zip(cuts, shards, strict=True)])
                 out[names[hit], j] = True
     return out
 
@@ -275,7 +275,8 @@ def _merged(length: int, gram: int, shard: int, block: int):
 
 def _hot_windows(length: int, gram: int, reps: Bloom, hot: Bloom):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(a, b, row, start): hashes of the windows; equal ones of a buffer prove each other as above (``known``)."""
+        """(a, b, row, low, high): hashes of a window that is alone in its buffer; equal ones of a buffer prove each other,
+        so they are sent as runs without hashes, and one of them goes on without a row."""
         rolling, other = Rolling(1), Rolling(2)
         for batch in batches:
             rows, texts = _represented(batch, reps)
@@ -290,15 +291,19 @@ def _hot_windows(length: int, gram: int, reps: Bloom, hot: Bloom):
                 piece = np.repeat(runs.piece[some], count)
                 a, b = rolling.runs(runs.sums, length, at), other.runs(other.sums(values), length, at)
                 _, first, where, times = np.unique(np.stack((a, b)), axis=1, return_index=True, return_inverse=True, return_counts=True)
-                known = times[where.ravel()] > 1
+                alone, partner = np.flatnonzero(times[where.ravel()] == 1), first[times > 1]
                 row, start = np.array(names, np.int64)[piece], (offsets - starts)[piece] + at
-                partner = first[times > 1]
-                a, b = np.concatenate((a, a[partner])).view(np.int64), np.concatenate((b, b[partner])).view(np.int64)
-                nobody = np.concatenate((np.zeros(len(at), bool), np.ones(len(partner), bool)))
+                known = np.flatnonzero(times[where.ravel()] > 1)
+                known = known[np.lexsort((at[known], piece[known]))]
+                new = np.concatenate(([True], (at[known][1:] != at[known][:-1] + 1) | (piece[known][1:] != piece[known][:-1]))) if len(known) else known > 0
+                low = known[new]
+                high = known[np.concatenate((np.flatnonzero(new)[1:], [len(known)])) - 1] if len(known) else known
+                n = (len(alone), len(partner), len(low))
+                sent = np.concatenate((alone, partner, low))
+                nobody, unhashed = np.repeat([False, True, False], n), np.repeat([False, False, True], n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(b), pa.array(np.concatenate((row, np.zeros(len(partner), np.int64))), mask=nobody),
-                     pa.array(np.concatenate((start, start[partner]))), pa.array(np.concatenate((known, np.zeros(len(partner), bool))))],
-                    ["a", "b", "row", "start", "known"])
+                    [pa.array(a[sent].view(np.int64), mask=unhashed), pa.array(b[sent].view(np.int64), mask=unhashed), pa.array(row[sent], mask=nobody),
+                     pa.array(start[sent]), pa.array(np.concatenate((start[alone], start[partner], start[high])))], ["a", "b", "row", "low", "high"])
     return windows
 
 
@@ -306,7 +311,7 @@ def _same_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """(row, low, high) of windows with an equal neighbour, from rows sorted by both hashes; holds a row between batches."""
     before: tuple | None = None  # (a, b, row or None, start, sent already)
     for batch in batches:
-        a, b, start = (batch.column(c).to_numpy() for c in ("a", "b", "start"))
+        a, b, start = (batch.column(c).to_numpy() for c in ("a", "b", "low"))
         row, named = batch.column("row").fill_null(0).to_numpy(), ~batch.column("row").is_null().to_numpy(zero_copy_only=False)
         same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
         hit = np.zeros(len(a), bool)
@@ -336,10 +341,10 @@ def repeated_windows(rows: DataFrame, reps: Bloom, length: int = LENGTH, gram: i
     runs = rows.mapInArrow(_contexts(length, gram, reps, again, everywhere), _RUN_SCHEMA)
     found = runs.repartition("hash").sortWithinPartitions("hash").mapInArrow(_merged(length, gram, shard, block), "row long, low long, high long")
     if len(everywhere.bits):
-        windows = rows.mapInArrow(_hot_windows(length, gram, reps, everywhere), "a long, b long, row long, start long, known boolean")
+        windows = rows.mapInArrow(_hot_windows(length, gram, reps, everywhere), "a long, b long, row long, low long, high long")
         windows = keep(windows, "windows")
-        known = windows.where("known").select("row", F.col("start").alias("low"), F.col("start").alias("high"))
-        others = windows.where("not known").select("a", "b", "row", "start").repartition("a").sortWithinPartitions("a", "b")
+        known = windows.where("a is null").select("row", "low", "high")
+        others = windows.where("a is not null").select("a", "b", "row", "low").repartition("a").sortWithinPartitions("a", "b")
         found = found.union(known).union(others.mapInArrow(_same_windows, "row long, low long, high long"))
     return found
 
