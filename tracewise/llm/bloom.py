@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST, MOST = 16, 28  # bits of a position: 8 KB to 32 MB
+LEAST, MOST = 22, 28  # bits of a position: 512 KB to 32 MB
+EACH = 32  # bits of the set for each number
 BLOCK = 16  # bits of a position within a block
-PROBES = 3
+PROBES = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,14 +45,14 @@ def place(values: np.ndarray, i: int, width: int) -> np.ndarray:
 
 
 def bloom(table: DataFrame, n: int, most: int = MOST) -> Bloom:
-    """The bit set of the first column of ``table``, a 64-bit number, with 16 bits for each of ``n`` rows and ``most`` at most.
+    """The bit set of the first column of ``table``, a 64-bit number, with EACH bits for each of ``n`` rows and ``most`` at most.
 
     Tasks make the blocks of the set; the driver gets 2 ** ``most`` bits at most, however large the table is. With a larger
     table more numbers are "maybe" and nothing else changes.
     """
     if not n:
         return Bloom(LEAST, np.zeros(0, np.uint8))
-    width = min(max(LEAST, (16 * n - 1).bit_length()), most)
+    width = min(max(min(LEAST, most), (EACH * n - 1).bit_length()), most)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
