@@ -73,6 +73,6 @@ def bloom(table: DataFrame, n: int, most: int = MOST) -> Bloom:
     rows = table.select(F.col(table.columns[0]).cast("long")).where(F.col(table.columns[0]).isNotNull()).mapInArrow(
         places, "block long, at long").repartition("block").mapInArrow(packed, "block long, bits binary")
     bits = np.zeros(1 << (width - 3), np.uint8)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():  # 4096 blocks of 8 KB at most
         bits[r.block << (BLOCK - 3):(r.block + 1) << (BLOCK - 3)] = np.frombuffer(bytes(r.bits), np.uint8)
     return Bloom(width, bits)
