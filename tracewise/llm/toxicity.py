@@ -170,22 +170,45 @@ def learn_insults(seen: DataFrame) -> dict[bytes, float]:
     places = seen.where("y = 1").select("text").mapInArrow(placed, "unit binary, place binary").distinct().groupBy("unit").count()
     weights = {bytes(r.unit): weights[bytes(r.unit)] for r in places.where(F.col("count") >= least).collect()}
     # an arc that a shorter one makes needless is left out
-    return {u: w for u, w in weights.items() if not any(weights.get(u[:n], 0) >= w - 0.5 for n in range(3, len(u)) if u[:n] != u)}
+    weights = {u: w for u, w in weights.items() if not any(weights.get(u[:n], 0) >= w - 0.5 for n in range(3, len(u)) if u[:n] != u)}
+    # a word takes its longest arc, so an arc is judged by the words that no longer one takes
+    for _ in range(2):
+        left = seen.select("y", "text").mapInArrow(_settled(weights), "unit binary, toxic long, clean long").groupBy("unit").agg(
+            F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        rows = left.where(F.col("toxic") >= least).withColumn("w", odds).where(F.col("w") >= MIN_WEIGHT).collect()
+        weights = {bytes(x.unit): x.w for x in rows}
+    return weights
+
+
+def _settled(weights: dict[bytes, float]):
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents of each arc that is the longest of one of their words."""
+        for b in batches:
+            found = (Counter(), Counter())
+            for y, text in zip(b.column("y").to_pylist(), blobs(b), strict=True):
+                longest = (next((u for u in reversed(beginnings(w)) if u in weights), None) for w in {bare(w) for w in text.split()})
+                found[y].update({u for u in longest if u is not None})
+            units = list(found[1].keys() | found[0].keys())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(units, pa.binary()), pa.array([found[1][u] for u in units], pa.int64()),
+                 pa.array([found[0][u] for u in units], pa.int64())], ["unit", "toxic", "clean"])
+    return settled
 
 
 def evidence(total: float, matched: int) -> float:
     return float(np.log1p(total) + 0.5 * np.log1p(matched))
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by Newton steps with a little decay; both labels count alike."""
+def fit_curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope and offset of a logistic curve, by Newton steps with a little decay; ``share`` of the weight goes to the positives,
+    as among all labels, so that the curve gives probabilities."""
     p = np.zeros(2)
     z = np.stack((x, np.ones_like(x)), axis=1)
-    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    weight = np.where(y == 1, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1))
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(z @ p, -30, 30)))
-        grad = z.T @ (weight * (y - q)) - 1e-3 * p
-        hess = (z * (weight * q * (1 - q))[:, None]).T @ z + 1e-3 * np.eye(2)
+        grad = z.T @ (weight * (y - q)) - 1e-4 * p
+        hess = (z * (weight * q * (1 - q))[:, None]).T @ z + 1e-4 * np.eye(2)
         p = p + np.linalg.solve(hess, grad)
     return float(p[0]), float(p[1])
 
@@ -216,7 +239,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rows:
 
         got = seen.mapInArrow(weighed, "doc_id long, y int, x double").orderBy("doc_id").collect()
         if len({r.y for r in got}) == 2:
-            grammar.slope, grammar.offset = fit_curve(np.array([r.x for r in got]), np.array([r.y for r in got], float))
+            share = labels.where(F.lit(True) if rows is None else rows).agg(F.avg("toxic")).first()[0]
+            grammar.slope, grammar.offset = fit_curve(np.array([r.x for r in got]), np.array([r.y for r in got], float), share)
         return grammar
     finally:
         seen.unpersist()
