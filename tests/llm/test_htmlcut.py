@@ -53,6 +53,19 @@ def test_broken_pages():
     assert len(text("<div>" * 3000 + f"<article><p>{BODY}" + "</div>" * 3000)) == len(BODY)
 
 
+def test_markup_in_scripts_is_text():
+    minified = "for(i=0;i<n;i++)f()", "if(a<b)x='", "<!-- a", "s='</p></article><article><p>no'", "a<b&&c>d", "if(a<b){s=\"it's\"}"
+    for code in minified:
+        assert text(f"<body><article><p>{BODY}</p><script>{code}</script><p>{BODY}</p></article>") == f"{BODY} {BODY}", code
+        assert text(f"<article><p>{BODY}</p><SCRIPT src=a>{code}</Script ><style>{code}</style><p>{BODY}</p></article>") == f"{BODY} {BODY}", code
+        assert text(f"<head><script>{code}</script></head><body><article><p>{BODY}</p></article>") == BODY, code
+        assert text(f"<article><p>{BODY}</p><noscript><style>{code}</style></noscript><textarea>{code}</textarea><p>{BODY}</p></article>") == f"{BODY} {BODY}"
+        assert text(f"<title>{code}</title><article><p>{BODY}</p></article>") == BODY
+    assert text(f"<head><script>s='<body>'</script><meta name=a></head><body><article><p>{BODY}</p></article>") == BODY
+    assert text(f"<article><p>{BODY}</p><script>i<n;'</scripts>'</script><p>{BODY}</p></article>") == f"{BODY} {BODY}"
+    assert text(f"<article><p>{BODY}</p>" + "<noscript><style><title>" * 20_000) == BODY
+
+
 def test_whole_table_against_tags(spark):
     """On these pages the article tag holds all of the main text, and the block tags in it are few."""
     import html

@@ -46,6 +46,8 @@ _CLOSES_P = BLOCKS - {"html", "body"}
 _SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^"'>]|"[^"]*"|'[^']*')*+)>
 |<[/!?A-Za-z][^>]*(?:>|\Z)|(?P<text>[^<]+|<)""", re.S | re.X)
+# what such an element holds is no markup but text up to its closing tag
+TEXT_ONLY = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "textarea", "title")}
 ATTR = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -80,6 +82,22 @@ def cue_of(tag: str, attrs: str, above: tuple[int, bool, bool]) -> tuple[int, bo
     return (-1 if shut else cue), shut, within
 
 
+def tokens(page: str) -> Iterator[re.Match]:
+    """Matches of ``TOKEN``, without what stands in elements of ``TEXT_ONLY``; one that is never closed is read on as markup."""
+    at, open_ended = 0, set()
+    while at >= 0:
+        start, at = at, -1
+        for m in TOKEN.finditer(page, start):
+            yield m
+            tag = m["tag"] and m["tag"].lower()
+            if tag in TEXT_ONLY and tag not in open_ended and not m["close"] and not m["attrs"].endswith("/"):
+                end = TEXT_ONLY[tag].search(page, m.end())
+                if end:
+                    at = end.start()
+                    break
+                open_ended.add(tag)
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks with words, in page order."""
     out: list[Block] = []
@@ -102,7 +120,7 @@ def blocks_of(page: str) -> list[Block]:
         flush()
         del stack[n:]
 
-    for m in TOKEN.finditer(page):
+    for m in tokens(page):
         text, tag = m["text"], m["tag"]
         if skip:
             if tag and (tag.lower() == skip and m["close"] or skip == "head" and tag.lower() == "body" and not m["close"]):
