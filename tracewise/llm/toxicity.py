@@ -13,6 +13,7 @@ less than the bare word, "you idiot" leaves more.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +28,8 @@ from tracewise.llm.words import MEMO, blobs, text_batches
 PER_CLASS = 4000
 THRESHOLD = 0.7
 MIN_DOCS = 3  # toxic documents, and different pairs of neighbours, that an insult must have
-MIN_SHARE = 0.02  # the same as a share of the toxic documents
+MIN_SHARE = 0.02  # with less than this share of the toxic documents, chance must not explain them
+CHANCE = 1e-4  # of as many toxic ones among the documents of a word that has nothing to do with it
 MIN_WEIGHT = 3.0  # its log odds
 SHORTEST, LONGEST = 4, 10  # letters of a beginning
 NONE, INSULT, THREAT, TARGET, NEGATION, REPORT, MODAL = range(7)
@@ -133,6 +135,13 @@ def document_weight(words: list[bytes], lexicon: Lexicon) -> tuple[float, int]:
 
 # ------------------------------------------------------------------ learning
 
+def chance(toxic: int, clean: int, share: float) -> float:
+    """Probability of ``toxic`` or more toxic documents among all of a word, where each is toxic with the given probability."""
+    n = toxic + clean
+    ways = lambda k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    return sum(math.exp(ways(k) + k * math.log(share) + (n - k) * math.log1p(-share)) for k in range(toxic, n + 1))
+
+
 def learn_insults(seen: DataFrame) -> dict[bytes, float]:
     """Beginnings of words with log odds, from (y, text) rows of a bounded sample."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,9 +161,23 @@ def learn_insults(seen: DataFrame) -> dict[bytes, float]:
     units = seen.select("y", "text").mapInArrow(counted, "unit binary, toxic long, clean long").groupBy("unit").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (n[0] + 1.0))
-    least = max(MIN_DOCS, MIN_SHARE * n[1])
-    rows = units.where(F.col("toxic") >= least).withColumn("w", odds).where(F.col("w") >= MIN_WEIGHT).collect()
-    weights = {bytes(r.unit): r.w for r in rows}
+    share = n[1] / (n[0] + n[1])
+
+    def judged(rows: list, places: dict[bytes, int] | None = None) -> dict[bytes, float]:
+        """Weights of the units that have enough witnesses: toxic documents, or different neighbours where these are fewer."""
+        out = {}
+        for r in rows:
+            u = bytes(r.unit)
+            witnesses = r.toxic if places is None else min(r.toxic, places.get(u, 0))
+            if witnesses >= MIN_DOCS and (witnesses >= MIN_SHARE * n[1] or chance(witnesses, r.clean, share) <= CHANCE):
+                out[u] = r.w
+        return out
+
+    def counts(units: DataFrame) -> list:
+        return units.where(F.col("toxic") >= MIN_DOCS).withColumn("w", odds).where(F.col("w") >= MIN_WEIGHT).collect()
+
+    first = counts(units)
+    weights = judged(first)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,15 +191,15 @@ def learn_insults(seen: DataFrame) -> dict[bytes, float]:
 
     # copies of one toxic text are one witness: a beginning must stand between different neighbours
     places = seen.where("y = 1").select("text").mapInArrow(placed, "unit binary, place binary").distinct().groupBy("unit").count()
-    weights = {bytes(r.unit): weights[bytes(r.unit)] for r in places.where(F.col("count") >= least).collect()}
+    places = {bytes(r.unit): r["count"] for r in places.where(F.col("count") >= MIN_DOCS).collect()}
+    weights = judged(first, places)
     # an arc that a shorter one makes needless is left out
     weights = {u: w for u, w in weights.items() if not any(weights.get(u[:n], 0) >= w - 0.5 for n in range(3, len(u)) if u[:n] != u)}
     # a word takes its longest arc, so an arc is judged by the words that no longer one takes
     for _ in range(2):
         left = seen.select("y", "text").mapInArrow(_settled(weights), "unit binary, toxic long, clean long").groupBy("unit").agg(
             F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        rows = left.where(F.col("toxic") >= least).withColumn("w", odds).where(F.col("w") >= MIN_WEIGHT).collect()
-        weights = {bytes(x.unit): x.w for x in rows}
+        weights = judged(counts(left), places)
     return weights
 
 
