@@ -550,6 +550,20 @@ def prefix_log_table(spark, sf_dir):
     return df.select("case_id", "orig_case_id", PREFIX, "case_length", "event_id", "label")
 
 
+@query(LAB + """SELECT CASE WHEN p.prefix_nr = 1 THEN p.case_id ELSE p.case_id || '_' || p.prefix_nr END AS case_id,
+  p.case_id AS orig_case_id, p.prefix_nr, p.prefix_nr AS case_length, e.event_id, e.label
+FROM lab p JOIN lab e ON p.case_id = e.case_id AND e.prefix_nr <= p.prefix_nr""")
+def prefix_log_table_whole(spark, sf_dir):
+    """All prefixes up to the longest case."""
+    log = V.labelled_events(spark, sf_dir)
+    df = prefix_log(log, 1, _longest(log)).df
+    return df.select("case_id", "orig_case_id", PREFIX, "case_length", "event_id", "label")
+
+
+def _longest(log: EventLog) -> int:
+    return log.df.groupBy("case_id").count().agg(F.max("count")).first()[0] or 1
+
+
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
@@ -656,6 +670,18 @@ def one_hot(spark, sf_dir):
     return E.OneHot(["event_type"]).fit(train.df).transform(test.df.select("event_id", "event_type"))
 
 
+_BOTH = ", both_sides AS (SELECT 'train' AS side, * FROM train UNION ALL SELECT 'test', * FROM test)"
+
+
+@query(SPLIT + _BOTH + " SELECT side, event_id, " + ", ".join(
+    f"CASE WHEN event_type = '{x}' THEN 1 ELSE 0 END AS event_type_{x}" for x in EVENT_LEVELS) + " FROM both_sides")
+def one_hot_sides(spark, sf_dir):
+    sides = split.split_strict(V.log_events(spark, sf_dir), 0.8)
+    enc = E.OneHot(["event_type"]).fit(sides[0].df)
+    one, other = (enc.transform(x.df.select(F.lit(n).alias("side"), "event_id", "event_type")) for n, x in zip(("train", "test"), sides, strict=True))
+    return one.unionByName(other)
+
+
 _UNION_PARTS = {
     "static": [f"CAST(c_nationkey AS DOUBLE) AS static__c_nationkey", "c_acctbal AS static__c_acctbal",
                *[f"CAST(c_mktsegment = '{x}' AS DOUBLE) AS static__c_mktsegment_{x}" for x in SEGMENTS]],
@@ -750,6 +776,45 @@ def sequences_at(spark, sf_dir):
     return df.select("case_id", PREFIX, "y", _as_text("sequence").alias("sequence"))
 
 
+_ENCODED_SIDES = SPLIT + _BOTH + """, mm AS (SELECT min(value) AS lo, max(value) AS hi FROM train),
+enc AS (SELECT side, case_id, event_id, prefix_nr, label, (value - lo) / (hi - lo) AS v, """ + ", ".join(
+    f"CAST(event_type = '{x}' AS DOUBLE) AS event_type_{x}" for x in EVENT_LEVELS) + " FROM both_sides, mm)"
+_SEQ_SIDES = _ENCODED_SIDES + f""",
+longest AS (SELECT max(prefix_nr) AS m FROM lab), vec AS (SELECT *, {_VECTOR} AS vec FROM enc),
+seq AS (SELECT side, case_id, prefix_nr, label, flatten(list(vec) OVER (PARTITION BY side, case_id ORDER BY prefix_nr)) AS seen FROM vec)
+SELECT side, case_id, prefix_nr, CASE WHEN label = 'deviant' THEN 1 ELSE 0 END AS y,
+  repeat('0,', 6 * (m - prefix_nr)::INTEGER) || array_to_string(seen, ',') AS sequence FROM seq, longest"""
+
+
+def _on_both_sides(spark, sf_dir, made: Callable[[EventLog, list[str], int], DataFrame]) -> DataFrame:
+    """``made`` of the encoded and numbered events of each side, their columns and the length of the longest case, with the side."""
+    enc, train = _encoded_events(spark, sf_dir, 0)
+    test = _encoded_events(spark, sf_dir, 1)[1]
+    longest = _longest(V.labelled_events(spark, sf_dir))
+    one, other = (made(enc.transform(prefixes(x)), [f"event__{n}" for n in enc.columns], longest).withColumn("side", F.lit(n))
+                  for n, x in (("train", train), ("test", test)))
+    return one.unionByName(other)
+
+
+@query(_ENCODED_SIDES + "SELECT side, event_id, round(v, 6) AS event__value, " + ", ".join(
+    f"event_type_{x} AS event__event_type_{x}" for x in EVENT_LEVELS) + " FROM enc")
+def encode_events_sides(spark, sf_dir):
+    return _on_both_sides(spark, sf_dir, lambda log, names, _: log.df.select("event_id", *[r6(c(n), n) for n in names]))
+
+
+@query(_SEQ_SIDES)
+def sequences_sides(spark, sf_dir):
+    """Both sides, all prefixes up to the longest case."""
+    return _on_both_sides(spark, sf_dir, lambda log, names, longest: E.sequences(log, names, longest).select(
+        "case_id", PREFIX, "y", _as_text("sequence").alias("sequence")))
+
+
+@query(_SEQ_SIDES + " WHERE prefix_nr = 3")
+def sequences_at_sides(spark, sf_dir):
+    return _on_both_sides(spark, sf_dir, lambda log, names, longest: E.sequences_at(log, names, longest, 3).select(
+        "case_id", PREFIX, "y", _as_text("sequence").alias("sequence")))
+
+
 @query(LAB + "SELECT event_id, CAST(1 AS BIGINT) AS bucket FROM lab")
 def bucket_single(spark, sf_dir):
     return B.bucketer("single", V.EVENTS_SPEC).transform(prefixes(V.log_events(spark, sf_dir))).df.select("event_id", "bucket")
