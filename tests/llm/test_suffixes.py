@@ -76,3 +76,20 @@ def test_odd_rows(spark):
     assert got == sorted(repr(x) for x in [(1, 0, 0, 0), (2, 0, 0, 0), (2, 0, 0, 0), (None, 1_500_000, 550, 2), (4, 302, 300, 1), (5, 199, 0, 0),
                                            (5, 199, 0, 0), (6, 201, 0, 0), (7, 251, 251, 1), (7, 251, 251, 1)])
     assert S.deduplicate(docs.limit(0)).collect() == []
+
+
+def test_spans_of_repeated_rows_meet_once(spark, monkeypatch):
+    shared = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(90))
+    docs = spark.createDataFrame([(1, f"{shared} one")] * 60 + [(2, f"two {shared}"), (2, f"two {shared}")], "doc_id long, text string").repartition(3)
+    most, keep = [], S.keep
+
+    def recorded(df, name):
+        out = keep(df, name)
+        if name == "spans":
+            most.extend(r.n for r in out.selectExpr("size(spans) n").collect())
+        return out
+
+    monkeypatch.setattr(S, "keep", recorded)
+    got = S.deduplicate(docs, 40, gram=8).collect()
+    assert len(got) == 62 and all(r.n_removed == r.n_bytes for r in got)
+    assert len(most) == 2 and max(most) < 20, most

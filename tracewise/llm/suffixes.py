@@ -375,7 +375,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
     reps = bloom(groups.select("rep"), groups.count())
     found = repeated_windows(rows.select("row", "text"), reps, length, gram, hot, shard, block)
     copies = own.join(groups.where("n > 1").select("content"), "content").select("row", F.lit(-1).cast("long").alias("low"), F.lit(-1).cast("long").alias("high"))
-    touched = found.union(copies.distinct()).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    touched = found.union(copies.distinct()).groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     touched = keep(touched, "spans")  # of one text each
     maybe = bloom(touched, touched.count())
 
