@@ -1,7 +1,8 @@
 """Documents that hold items of a benchmark, by size-partitioned MinHash containment search.
 
 The shingles of a text are its runs of five words (ASCII capitals as small letters); a text of fewer words is one
-shingle. An item is found in a document if at least 0.8 of its distinct shingles are among the document's.
+shingle. An item is found in a document if at least 0.8 of its distinct shingles are among the document's. So an item of fewer
+than five words is found only in a document that consists of just these words.
 
 Items are short and documents may be long, so the similarity of the two sets says little and signatures of equal length
 don't work. Items are therefore put into classes by size, and the signature of an item is the k smallest hashes of its
