@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewise.llm import decontaminate, htmlcut, licenses, lines, mixing, prefixtrie, privacy, randomindex, simhash, suffixes, toxicity
+from tracewise.llm import decontaminate, htmlcut, licenses, lines, mixing, prefixtrie, privacy, randomindex, simhash, suffixes, tokencount, toxicity
 from tracewise.llm.words import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,13 @@ def op7_bwt_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.prefix_tree(table(spark, sf_dir, "conversations"))
