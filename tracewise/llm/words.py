@@ -6,6 +6,8 @@ A word is a run of anything but the six ASCII white-space characters. UTF-8 keep
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -15,15 +17,16 @@ from pyspark.sql import functions as F
 SPACE_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 TEXT_ROWS = 1000
-MEMO = 1 << 19
+TEXT_BYTES = 4 << 20
+MEMO = 1 << 17
 _MULT = 0x9E3779B97F4A7C15
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch: texts can be long, and a batch is held at once by a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > TEXT_ROWS:
-        spark.conf.set(key, str(TEXT_ROWS))
+    """Bound the rows and the bytes of an Arrow batch: texts can be long, and a batch is held at once by a Python worker."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES)):
+        if not 0 < int(re.match(r"-?\d+", spark.conf.get(key))[0]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +44,12 @@ def text_key(*columns: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
 
 
+def row_id(*columns: str) -> Column:
+    """128 bits that tell rows apart by the given columns; null differs from the empty text and columns don't run together."""
+    parts = [F.concat(F.octet_length(x).cast("string"), F.lit(":"), x) for x in (F.col(c).cast("string") for c in columns)]
+    return F.unhex(F.md5(F.concat_ws(",", *[F.coalesce(p, F.lit("-")) for p in parts])))
+
+
 class WordCodes(dict):
     """A 64-bit number for each word; forgets all when it has seen many, so that memory stays bounded."""
 
