@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.llm.bloom import bloom
-from tracewise.llm.words import WordCodes, blobs, shingles, text_batches
+from tracewise.llm.words import WordCodes, blobs, row_id, shingles, text_batches
 from tracewise.session import keep
 
 SHINGLE = 5
 CONTAINMENT = 0.8
+FEW = 500_000  # rows that may be broadcast
 
 
 def signature_size(n: int, containment: float = CONTAINMENT) -> int:
@@ -63,11 +64,11 @@ def signatures(items: DataFrame, containment: float = CONTAINMENT, k: int = SHIN
                     low = np.unique(shingles(memo.array(words), k))[:signature_size(len(parts), containment)]
                     rows.append((item, item_id, len(parts), low.view(np.int64).tolist(), parts))
             columns = list(zip(*rows, strict=True)) or [()] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary())]
+            types = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["item", "item_id", "n", "hash", "parts"])
 
-    named = items.select(F.xxhash64("item_id", "text").alias("item"), F.col("item_id").cast("long").alias("item_id"), "text")
-    return named.dropDuplicates(["item"]).mapInArrow(signed, "item long, item_id long, n long, hash array<long>, parts array<binary>")
+    named = items.select(row_id("item_id", "text").alias("item"), F.col("item_id").cast("long").alias("item_id"), "text")
+    return named.dropDuplicates(["item"]).mapInArrow(signed, "item binary, item_id long, n long, hash array<long>, parts array<binary>")
 
 
 def matches(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, k: int = SHINGLE) -> DataFrame:
@@ -95,19 +96,31 @@ def matches(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT,
             some = b.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*some.columns, pa.array(hits, pa.list_(pa.int64()))], ["row", "doc_id", "text", "hits"])
 
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hit = keep(rows.mapInArrow(probed, "row long, doc_id long, text string, hits array<long>"), "hits")
+    rows = docs.select(row_id("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hit = keep(rows.mapInArrow(probed, "row binary, doc_id long, text string, hits array<long>"), "hits")
     pairs = hit.select("row", F.explode("hits").alias("hash")).join(probes, "hash").select("row", "item").distinct()
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = doc_id = words = None
         for b in batches:
-            n = [found_in(parts, text.lower().split(), k) for parts, text in zip(b.column("parts").to_pylist(), blobs(b), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("item_id"), b.column("n"), pa.array(n, pa.int64())],
-                                             ["row", "doc_id", "item_id", "n_shingles", "n_found"])
-
-    texts = pairs.join(hit.select("row", "doc_id", "text").dropDuplicates(["row"]), "row").join(signed.drop("hash"), "item")
-    checked = texts.select("row", "doc_id", "item_id", "n", "parts", "text").mapInArrow(
-        verified, "row long, doc_id long, item_id long, n_shingles long, n_found long")
+            out = []
+            columns = (b.column(c).to_pylist() for c in ("row", "doc_id", "item_id", "n", "parts"))
+            for own, doc, item_id, n, parts, text in zip(*columns, blobs(b), strict=True):
+                if parts is None:  # the text, ahead of its candidates; a row that repeats comes again
+                    if own != row:
+                        row, doc_id, words = own, doc, text.lower().split()
+                else:
+                    out.append((own, doc_id, item_id, n, found_in(parts, words, k)))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["row", "doc_id", "item_id", "n_shingles", "n_found"])
+
+    # each text goes once, in the same sorted stream as its candidates and ahead of them
+    candidates = pairs.join(signed.drop("hash"), "item").select("row", F.lit(None).cast("long").alias("doc_id"), "item_id", "n", "parts", F.lit(None).cast("string").alias("text"))
+    texts = hit.join(pairs.select("row").distinct(), "row", "left_semi").select(
+        "row", "doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("array<binary>").alias("parts"), "text")
+    stream = texts.union(candidates).withColumn("last", F.col("parts").isNotNull()).repartition("row").sortWithinPartitions("row", "last")
+    checked = stream.mapInArrow(verified, "row binary, doc_id long, item_id long, n_shingles long, n_found long")
     return checked.withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(F.col("containment") >= containment)
 
 
@@ -118,8 +131,10 @@ def leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item."""
     own = "row of decontamination"  # no column of the table has this name
-    bad = matches(docs, items, **options).select(F.col("row").alias(own)).distinct()
-    return docs.withColumn(own, F.xxhash64("doc_id", "text")).join(bad, own, "left_anti").drop(own)
+    bad = keep(matches(docs, items, **options).select(F.col("row").alias(own)).distinct(), "leaks")
+    if bad.count() <= FEW:  # 16 bytes each: no text is shuffled
+        bad = F.broadcast(bad)
+    return docs.withColumn(own, row_id("doc_id", "text")).join(bad, own, "left_anti").drop(own)
 
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
