@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewise.llm import decontaminate, htmlcut, licenses, lines, mixing, prefixtrie, privacy, randomindex, simhash, suffixes, tokencount, toxicity
+from tracewise.llm import decontaminate, hardnegatives, htmlcut, licenses, lines, mixing, prefixtrie, privacy, randomindex, simhash, suffixes, tokencount, toxicity
 from tracewise.llm.words import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,14 @@ def op7_bwt_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardnegatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op11_hard_negatives"] = hardnegatives.SQL
+
+
 @query
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
