@@ -20,6 +20,7 @@ from tracewise.operators.bucket import BUCKET, bucketer
 from tracewise.operators.encode import EventEncoder, assemble, encoding, sequences
 from tracewise.operators.models import FEATURES, LABEL, SCORE, GuardedClassifier, Platt, estimator
 from tracewise.operators.prefix import PREFIX, prefixes
+from tracewise.operators.sparse import SparseEncoding
 from tracewise.operators.split import class_ratio
 from tracewise.session import keep
 
@@ -52,20 +53,28 @@ class EncodedSplits:
 
 
 def encode_splits(train: EventLog, others: Mapping[str, EventLog], method: str, max_length: int | None,
-                  clusters: int = 2, seed: int = 22) -> EncodedSplits:
-    """Bucket and encode a training log and other logs by it; ``method`` is ``<bucketing>_<encoding>``."""
+                  clusters: int = 2, seed: int = 22, sparse: bool = False) -> EncodedSplits:
+    """Bucket and encode a training log and other logs by it; ``method`` is ``<bucketing>_<encoding>``.
+
+    With ``sparse`` the features are sparse vectors (``operators.sparse``), for attributes of any number of levels; the model of a
+    bucket then sees all positions, those without a value in it as zeros.
+    """
     bucketing, encoding_name = method.split("_")
     logs = {"train": train, **others}
     logs = {k: prefixes(v, max_length) for k, v in logs.items()}
     groups = bucketer(bucketing, train.spec, clusters, seed).fit(logs["train"])
     logs = {k: groups.transform(v) for k, v in logs.items()}
+    ratio = class_ratio(train).first()[0] or 0.0
+    if sparse:
+        index = SparseEncoding(encoding(encoding_name, train.spec)).fit(logs["train"])
+        sides = {k: index.transform(v).persist(StorageLevel.MEMORY_AND_DISK) for k, v in logs.items()}
+        return EncodedSplits(method, train.spec.case, sides, {}, float(ratio))
     enc = encoding(encoding_name, train.spec).fit(logs["train"])
     names = enc.columns
     sides = {k: assemble(enc.transform(v), names).persist(StorageLevel.MEMORY_AND_DISK) for k, v in logs.items()}
     # one vector per bucket: how many rows have something other than 0 in each column
     seen = sides["train"].groupBy(BUCKET).agg(Summarizer.numNonZeros(F.col(FEATURES)).alias("n")).collect()
     used = {r[BUCKET]: [i for i, n in enumerate(r["n"].toArray()) if n > 0] or [0] for r in seen}
-    ratio = class_ratio(train).first()[0] or 0.0
     return EncodedSplits(method, train.spec.case, sides, used, float(ratio))
 
 

@@ -20,6 +20,7 @@ from tracewise.operators import stability as S
 from tracewise.operators.custom import per_case
 from tracewise.operators.prefix import PREFIX, prefix_log, prefixes
 from tracewise.operators.scan import running_mean, running_sum
+from tracewise.operators.sparse import SparseEncoding, SparseOneHot
 from tracewise.operators.train import encode_splits
 from tracewise.plans import views as V
 from tracewise.plans.experiment import evaluate, final_predictions, report, splits, tuning_predictions
@@ -682,6 +683,64 @@ def one_hot_sides(spark, sf_dir):
     return one.unionByName(other)
 
 
+# ------------------------------------------------------------------ sparse encodings: a level for each part
+
+PART = """
+it AS (
+  SELECT l_orderkey AS case_id, l_partkey, l_quantity, l_returnflag,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_returnflag, l_linenumber, l_partkey, l_suppkey, l_quantity,
+                            l_extendedprice, l_discount, l_tax, l_linestatus, o_orderdate) AS prefix_nr
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+_SO_FAR = "FROM it p JOIN it e ON p.case_id = e.case_id AND e.prefix_nr <= p.prefix_nr"
+
+
+def _sparse_items(spark, sf_dir, encoder: E.Encoder) -> DataFrame:
+    log = prefixes(V.log_items(spark, sf_dir))
+    return SparseEncoding(encoder).fit(log).long(log)
+
+
+@query(PART + f"""SELECT p.case_id, p.prefix_nr, 'l_partkey_' || e.l_partkey AS name, CAST(count(*) AS DOUBLE) AS value {_SO_FAR} GROUP BY ALL""")
+def sparse_agg(spark, sf_dir):
+    return _sparse_items(spark, sf_dir, E.encoder("agg", cat=["l_partkey"]))
+
+
+@query(PART + f"""SELECT DISTINCT p.case_id, p.prefix_nr, 'l_partkey_' || e.l_partkey AS name, CAST(1 AS DOUBLE) AS value {_SO_FAR}""")
+def sparse_bool(spark, sf_dir):
+    return _sparse_items(spark, sf_dir, E.encoder("bool", cat=["l_partkey"]))
+
+
+@query(PART + f"""SELECT p.case_id, p.prefix_nr, 'l_partkey_' || (e.prefix_nr - 1) || '_' || e.l_partkey AS name, CAST(1 AS DOUBLE) AS value {_SO_FAR}
+UNION ALL SELECT p.case_id, p.prefix_nr, 'l_quantity_' || (e.prefix_nr - 1), e.l_quantity {_SO_FAR}""")
+def sparse_index(spark, sf_dir):
+    return _sparse_items(spark, sf_dir, E.encoder("index", cat=["l_partkey"], num=["l_quantity"]))
+
+
+@query(PART + f""", u AS (
+  SELECT case_id, prefix_nr, 'last__l_partkey_' || l_partkey AS name, CAST(1 AS DOUBLE) AS value FROM it
+  UNION ALL SELECT p.case_id, p.prefix_nr, 'previous__l_partkey_' || e.l_partkey, 1 {_SO_FAR.replace("<=", "+ 1 =")}
+  UNION ALL SELECT p.case_id, p.prefix_nr, 'static__l_partkey_' || e.l_partkey, 1 {_SO_FAR} AND e.prefix_nr = 1
+  UNION ALL SELECT p.case_id, p.prefix_nr, 'agg__sum_l_quantity', sum(e.l_quantity) {_SO_FAR} GROUP BY ALL
+  UNION ALL SELECT p.case_id, p.prefix_nr, 'agg__max_l_quantity', max(e.l_quantity) {_SO_FAR} GROUP BY ALL
+  UNION ALL SELECT p.case_id, p.prefix_nr, 'agg__min_l_quantity', min(e.l_quantity) {_SO_FAR} GROUP BY ALL
+  UNION ALL SELECT p.case_id, p.prefix_nr, 'agg__mean_l_quantity', avg(e.l_quantity) {_SO_FAR} GROUP BY ALL
+  UNION ALL SELECT p.case_id, p.prefix_nr, 'agg__std_l_quantity', stddev_samp(e.l_quantity) {_SO_FAR} GROUP BY ALL)
+SELECT case_id, prefix_nr, name, round(value, 6) AS value FROM u WHERE round(value, 6) <> 0""")
+def sparse_union(spark, sf_dir):
+    parts = [E.encoder(n, cat=["l_partkey"]) for n in ("last", "previous", "static")] + [E.encoder("agg", num=["l_quantity"])]
+    rows = _sparse_items(spark, sf_dir, E.UnionEncoder(parts))
+    return rows.select("case_id", PREFIX, "name", r6("value", "value")).where("value <> 0")
+
+
+@query("""cut AS (SELECT *, l_shipdate >= TIMESTAMP '1995-06-17' AS test FROM lineitem),
+known AS (SELECT DISTINCT l_partkey FROM cut WHERE NOT test), flags AS (SELECT DISTINCT l_returnflag FROM cut WHERE NOT test)
+SELECT l_orderkey, l_linenumber, 'l_partkey_' || l_partkey AS name FROM cut SEMI JOIN known USING (l_partkey)
+UNION ALL SELECT l_orderkey, l_linenumber, 'l_returnflag_' || l_returnflag FROM cut SEMI JOIN flags USING (l_returnflag)""")
+def sparse_one_hot(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_shipdate")
+    train = items.where(F.col("l_shipdate") < F.lit("1995-06-17").cast("timestamp_ntz"))
+    return SparseOneHot(["l_partkey", "l_returnflag"]).fit(train).long(items, ["l_orderkey", "l_linenumber"]).drop("position")
+
+
 _UNION_PARTS = {
     "static": [f"CAST(c_nationkey AS DOUBLE) AS static__c_nationkey", "c_acctbal AS static__c_acctbal",
                *[f"CAST(c_mktsegment = '{x}' AS DOUBLE) AS static__c_mktsegment_{x}" for x in SEGMENTS]],
