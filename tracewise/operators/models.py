@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewise.operators.auc import auc
+from tracewise.operators.bucket import BUCKET
 
 FEATURES, LABEL, SCORE = "features", "y", "predicted"
 # Depth of single and forest trees, which the original library leaves unlimited: the most MLlib allows.
@@ -42,12 +43,33 @@ def _forest(p: Mapping, seed: int, n: int):
         featureSubsetStrategy=str(float(p["max_features"])), maxDepth=_integer(p.get("max_depth", TREE_DEPTH)))
 
 
+class _Boosted:
+    """One model of ``batched.fit_boosted``, over rows of any bucket."""
+
+    def __init__(self, params: Mapping, seed: int):
+        self.params, self.seed, self.model = params, seed, None
+
+    def fit(self, train: DataFrame) -> _Boosted:
+        from tracewise.operators.batched import fit_boosted
+
+        self.model = fit_boosted(train.withColumn(BUCKET, F.lit(0).cast("long")), [("", self.params)], seed=self.seed)
+        return self
+
+    def _alone(self, df: DataFrame, scored) -> DataFrame:
+        own = "__bucket of the rows"
+        out = scored((df.withColumnRenamed(BUCKET, own) if BUCKET in df.columns else df).withColumn(BUCKET, F.lit(0).cast("long"))).drop(BUCKET, "params", "run")
+        return out.withColumnRenamed(own, BUCKET)
+
+    def score(self, df: DataFrame) -> DataFrame:
+        return self._alone(df, self.model.score)
+
+    def staged(self, df: DataFrame) -> DataFrame:
+        """The margins after each tree as an array, in one pass."""
+        return self._alone(df, self.model.staged)
+
+
 def _boosted(p: Mapping, seed: int, n: int):
-    return GBTClassifier(
-        featuresCol=FEATURES, labelCol=LABEL, seed=seed, maxIter=_integer(p["n_estimators"]),
-        stepSize=float(p["learning_rate"]), subsamplingRate=float(p.get("subsample", 1.0)),
-        maxDepth=_integer(p.get("max_depth", 3)), featureSubsetStrategy=str(float(p.get("colsample_bytree", 1.0))),
-        minInstancesPerNode=_integer(p.get("min_child_weight", 1)))
+    return _Boosted(p, seed)
 
 
 def _gradient_boosting(p: Mapping, seed: int, n: int):
@@ -168,6 +190,8 @@ class GuardedClassifier:
             df = self._scaled(df)
         if self.fourier is not None:
             df = self.fourier.transform(df)
+        if isinstance(self.model, _Boosted):
+            return self.model.score(df)
         out = self.model.transform(df)
         raw = "rawPrediction" if self.name == "svm" else "probability"
         extra = [n for n in ("rawPrediction", "probability", "prediction", FEATURES) if n in out.columns]
@@ -223,22 +247,22 @@ class Platt:
 
 def learning_curve(params: Mapping, train: DataFrame, val: DataFrame, seed: int = 22,
                    params_text: str = "") -> DataFrame:
-    """Per boosting round: training loss, validation loss and validation AUC.
+    """Per boosting round: training loss, validation loss and validation AUC; losses are the mean negative log likelihood.
 
-    The score after round t is the weighted sum of the first t trees, so all rounds come from one model
-    and one pass over the validation rows.
+    The score after round t is the sum of the first t trees, so all rounds come from one model and one pass over the rows of
+    either side.
     """
-    model = estimator("xgboost", params, seed).fit(train)
-    rounds = list(zip(model.evaluateEachIteration(train), model.evaluateEachIteration(val)))
-    staged = val
-    for t, tree in enumerate(model.trees):
-        staged = tree.setPredictionCol(f"__t{t}").transform(staged)
-    parts = F.array(*[F.col(f"__t{t}") * float(weight) for t, weight in enumerate(model.treeWeights)])
-    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("sums"))
-    sums = F.aggregate(parts, start, lambda acc, x: F.struct(
-        (acc["sum"] + x).alias("sum"), F.concat(acc["sums"], F.array(acc["sum"] + x)).alias("sums")), lambda acc: acc["sums"])
-    scores = staged.select(F.col(LABEL).alias("actual"), F.posexplode(sums).alias("epoch", "predicted"))
-    losses = val.sparkSession.createDataFrame(
-        [(t, float(a), float(b)) for t, (a, b) in enumerate(rounds)], "epoch int, train_loss double, val_loss double")
+    model = _Boosted(params, seed).fit(train)
+
+    def rounds(df: DataFrame) -> DataFrame:
+        return model.staged(df).select(F.col(LABEL).alias("actual"), F.posexplode("predicted").alias("epoch", "predicted"))
+
+    def losses(scores: DataFrame, name: str) -> DataFrame:
+        # log(1 + exp(-m)) of the margin m towards the label, without overflow
+        margin = F.when(F.col("actual") == 1, F.col("predicted")).otherwise(-F.col("predicted"))
+        return scores.groupBy("epoch").agg(F.avg(F.log1p(F.exp(-F.abs(margin))) + F.greatest(-margin, F.lit(0.0))).alias(name))
+
+    scores = rounds(val)
     aucs = auc(scores, ["epoch"]).select("epoch", F.col("auc").alias("val_auc"))
-    return losses.join(aucs, "epoch", "left").withColumn("params", F.lit(params_text))
+    curve = losses(rounds(train), "train_loss").join(losses(scores, "val_loss"), "epoch", "left").join(aucs, "epoch", "left")
+    return curve.withColumn("params", F.lit(params_text))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tracewise.eventlog import EventLog
 from tracewise.functions.columns import c
 from tracewise.functions.params import params_from_text
+from tracewise.operators.batched import fit_boosted, fit_logit
 from tracewise.operators.bucket import BUCKET, bucketer
 from tracewise.operators.encode import EventEncoder, assemble, encoding, sequences
 from tracewise.operators.models import FEATURES, LABEL, SCORE, GuardedClassifier, Platt, estimator
@@ -24,6 +25,8 @@ from tracewise.operators.sparse import SparseEncoding
 from tracewise.operators.split import class_ratio
 from tracewise.session import keep
 
+BATCHED = ("logit", "xgboost")
+
 
 @dataclass
 class EncodedSplits:
@@ -97,6 +100,8 @@ def fit_predict_encoded(data: EncodedSplits, cls: str, params: Mapping, score_si
     """
     calibrated = cls.endswith("_calibrated")
     name = cls.removesuffix("_calibrated")
+    if cls in BATCHED and not any(isinstance(v, Mapping) for v in params.values()):
+        return evaluate_batched(data, cls, [("", params)], 1, score_side, dataset, seed, min_cases).drop("run", "params")
     buckets = sorted(r[0] for r in data.sides[score_side].select(BUCKET).distinct().collect())
 
     def one(bucket: int) -> DataFrame:
@@ -142,7 +147,12 @@ def fit_predict_runs(data: EncodedSplits, cls: str, params: Mapping, n_runs: int
 
 def evaluate_configs(data: EncodedSplits, cls: str, configs: Sequence[str], n_runs: int = 1, score_side: str = "val",
                      dataset: str = "log", threads: int = 1) -> DataFrame:
-    """Predictions of every parameter set (given as text), over shared encoded prefixes."""
+    """Predictions of every parameter set (given as text), over shared encoded prefixes.
+
+    Classifiers of ``BATCHED`` are fitted all at once, the others one after the other.
+    """
+    if cls in BATCHED:
+        return evaluate_batched(data, cls, [(text, params_from_text(text, cls)) for text in configs], n_runs, score_side, dataset)
     out = None
     for text in configs:
         one = fit_predict_runs(data, cls, params_from_text(text, cls.removesuffix("_calibrated")), n_runs, score_side,
@@ -151,6 +161,21 @@ def evaluate_configs(data: EncodedSplits, cls: str, configs: Sequence[str], n_ru
     return out
 
 
+def evaluate_batched(data: EncodedSplits, cls: str, configs: Sequence[tuple[str, Mapping]], n_runs: int = 1, score_side: str = "val",
+                     dataset: str = "log", seed: int = 0, min_cases: int = 1) -> DataFrame:
+    """Predictions of the models of all buckets, parameter sets (text, parameters) and runs, fitted in jobs that they share."""
+    rows = data.sides["train"].select(BUCKET, LABEL, FEATURES, c(data.case), PREFIX)
+    if cls == "logit":
+        fitted = fit_logit(rows, configs, n_runs, min_cases, data.ratio)
+    else:
+        fitted = fit_boosted(rows, configs, n_runs, seed, min_cases, data.ratio, data.used or None)
+    return fitted.score(data.sides[score_side]).select(
+        F.lit(dataset).alias("dataset"), F.lit(data.method).alias("method"), F.lit(cls).alias("cls"),
+        F.col(PREFIX).cast("int").alias("nr_events"), F.col(BUCKET).cast("long").alias(BUCKET),
+        F.col(SCORE).cast("double").alias(SCORE), F.col(LABEL).alias("actual"),
+        c(data.case).cast("string").alias("case_id"), "run", "params")
+
+
 def sequence_curves(train: EventLog, val: EventLog, configs: Sequence[str], max_length: int, epochs: int | None = None,
                     seed: int = 22) -> DataFrame:
     """Losses of the sequence classifier after each epoch, for each parameter text: params, epoch, train_loss, val_loss.

@@ -17,6 +17,7 @@ from tracewise.operators import bucket as B
 from tracewise.operators import clean, filters, label, models, split, timefeat, tune
 from tracewise.operators import encode as E
 from tracewise.operators import stability as S
+from tracewise.operators.batched import fit_boosted
 from tracewise.operators.custom import per_case
 from tracewise.operators.prefix import PREFIX, prefix_log, prefixes
 from tracewise.operators.scan import running_mean, running_sum
@@ -1372,6 +1373,45 @@ def rows_tuning(spark, sf_dir):
     return _shown(tuning_predictions(_seeing_log(spark, sf_dir), "single_agg", "rf", ["5_0.3", "5_0.9"], n_runs=2), ("params", "run", "nr_events"))
 
 
+_GRID = {"logit": [str(i) for i in range(-8, 8)],
+         "xgboost": [f"4_{rate}_{rows}_{depth}_{columns}_1" for rate in (0.1, 0.3) for rows in (0.7, 1.0) for depth in (2, 3) for columns in (0.6, 1.0)]}
+
+
+def _grid_query(cls: str, method: str) -> None:
+    @query(SPLIT + _CAP + f""" SELECT params, run, CAST(prefix_nr AS INTEGER) AS nr_events, count(*) AS n_rows,
+  CAST(sum(CASE WHEN label = 'deviant' THEN 1 ELSE 0 END) AS BIGINT) AS positives, true AS valid, true AS better
+FROM val, cap, (SELECT unnest({_GRID[cls]}) AS params), (SELECT CAST(unnest(range(5)) AS INTEGER) AS run)
+WHERE prefix_nr <= cap GROUP BY 1, 2, 3""")
+    def run(spark, sf_dir):
+        """Sixteen parameter sets, five runs and all buckets, fitted in the jobs of one model, score all validation prefixes."""
+        return _shown(tuning_predictions(_seeing_log(spark, sf_dir), method, cls, _GRID[cls], n_runs=5), ("params", "run", "nr_events"))
+
+    QUERIES[f"rows_grid_{cls}"], ORACLES[f"rows_grid_{cls}"] = QUERIES.pop("run"), ORACLES.pop("run")
+
+
+_grid_query("logit", "prefix_agg")
+_grid_query("xgboost", "state_agg")
+
+
+@query(SPLIT + _CAP + """, t AS (SELECT coalesce(k, 0)::DOUBLE AS k, event_type, CASE WHEN label = 'deviant' THEN 1 ELSE 0 END AS y FROM fit, cap WHERE prefix_nr <= cap),
+v AS (SELECT 'k' AS f, k AS x, sum(0.5 - y) AS g, count(*) * 0.25 AS h FROM t GROUP BY ALL
+  UNION ALL SELECT e, CASE WHEN event_type = e THEN 1 ELSE 0 END, sum(0.5 - y), count(*) * 0.25 FROM t, (SELECT DISTINCT event_type AS e FROM t) GROUP BY ALL),
+s AS (SELECT f, x, lead(x) OVER w AS next, sum(g) OVER (w ROWS UNBOUNDED PRECEDING) AS gl, sum(h) OVER (w ROWS UNBOUNDED PRECEDING) AS hl,
+  sum(g) OVER (PARTITION BY f) AS ga, sum(h) OVER (PARTITION BY f) AS ha FROM v WINDOW w AS (PARTITION BY f ORDER BY x)),
+b AS (SELECT *, gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) AS gain FROM s
+  WHERE next IS NOT NULL AND hl >= 1 AND ha - hl >= 1 ORDER BY gain DESC LIMIT 1)
+SELECT 'left' AS side, (x + next)::DOUBLE / 2 AS threshold, round(-gl::DOUBLE / (hl + 1), 9) AS weight FROM b
+UNION ALL SELECT 'right', (x + next)::DOUBLE / 2, round(-(ga - gl)::DOUBLE / (ha - hl + 1), 9) FROM b""")
+def boosted_stump(spark, sf_dir):
+    """The first tree of depth one: the cut with the most gain, and leaves of -G / (H + lambda)."""
+    log = _seeing_log(spark, sf_dir)
+    train, val, _ = splits(log)
+    data = encode_splits(train, {"val": val}, "single_laststate", split.max_prefix_length(log))
+    nodes = fit_boosted(data.sides["train"], [("one", {"n_estimators": 1, "learning_rate": 1.0, "max_depth": 1})]).table(spark)
+    root = nodes.where("node = 0").select("threshold", F.explode(F.create_map(F.lit("left"), "left", F.lit("right"), "right")).alias("side", "node"))
+    return root.join(nodes.select("node", "weight"), "node").select("side", "threshold", F.round("weight", 9).alias("weight"))
+
+
 def _trained(spark, sf_dir, cls: str, params: dict, min_cases: int = 1):
     log = _seeing_log(spark, sf_dir)
     train, val, _ = splits(log)
