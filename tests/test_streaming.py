@@ -6,7 +6,7 @@ from tracewise.operators import encode as E
 from tracewise.operators import stability as S
 from tracewise.operators import timefeat
 from tracewise.operators.prefix import PREFIX, prefixes
-from tracewise.streaming.running import running_features_stream, smooth_stream
+from tracewise.streaming.running import Smoother, closing_row, running_features_stream, smooth_stream
 
 
 def drain(stream, name, tmp_path):
@@ -39,33 +39,94 @@ def test_smoothing_stream_equals_batch(spark, tmp_path):
     assert show(got) == show(S.smooth(pred, 0.8))
 
 
-def test_smoothed_run_in_pieces():
-    import numpy as np
+class FakeState:
+    """State in dictionaries that counts how often it is asked."""
 
-    from tracewise.streaming.running import smoothed_run
+    def __init__(self):
+        self.asked, self.value, self.entries, self.listed, self.timers = 0, None, {}, [], []
 
-    x = np.random.default_rng(0).random(3000)
-    for beta in (0.0, 0.3, 0.8, 1.0):
-        want, last = [], None
-        for p in x:
-            last = p if last is None else beta * last + (1 - beta) * p
-            want.append(last)
-        assert np.allclose(smoothed_run(x, None, beta), want, rtol=1e-9)
-        assert np.allclose(smoothed_run(x[1000:], want[999], beta), want[1000:], rtol=1e-9)
+    def __getattr__(self, name):
+        def ask(*args):
+            self.asked += 1
+            return getattr(FakeState, f"on_{name}")(self, *args)
+        return ask
 
+    def on_exists(self):
+        return self.value is not None
 
-def test_running_features_stream_equals_batch(spark, tmp_path, make_log):
-    draw = random.Random(2)
-    log = make_log([(f"c{draw.randrange(5)}", i, draw.choice("xy")) for i in range(60)])
-    in_files(log.df.withColumn("part", F.floor(F.col("seq") / 20)), tmp_path / "in", range(3))
-    source = spark.readStream.schema(log.df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = drain(running_features_stream(source, log.spec, ["x", "y"]), "features", tmp_path)
+    def on_get(self):
+        return self.value
+
+    def on_update(self, value):
+        self.value = value
+
+    def on_containsKey(self, key):
+        return key in self.entries
+
+    def on_getValue(self, key):
+        return self.entries[key]
+
+    def on_updateValue(self, key, value):
+        self.entries[key] = value
+
+    def on_removeKey(self, key):
+        del self.entries[key]
+
+
+def test_a_trigger_touches_what_it_brings(spark):
+    """Ten rows cost as many questions of the state beside a million waiting ones as beside ten."""
+    from pyspark.sql import Row
+
+    asked = []
+    for waiting in (10, 1_000_000):
+        known, held = FakeState(), FakeState()
+        known.value = (0.5, 3, waiting)
+        held.entries = {(n,): (0.1,) for n in range(10, 10 + waiting)}
+        one = Smoother(0.8, ["case_id"], "predicted", None)
+        one.known, one.waiting = known, held
+        rows = [Row(nr_events=n, predicted=0.3) for n in (4, 5, 6, 7, 8, 5_000_000, 5_000_001, 2, 5, None)]
+        out = list(one.handleInputRows(("c",), iter(rows), None))
+        assert [r.nr_events for r in out] == [4, 5, 6, 7, 8] and known.value[2] == waiting + 2
+        asked.append(known.asked + held.asked)
+    assert asked[0] == asked[1]
+
+
+def some_events(make_log, seed=2):
+    """Sixty events over an hour in any order, a third of them in a file of its own, the others by halves of the hour."""
+    draw = random.Random(seed)
+    log = make_log([(f"c{draw.randrange(5)}", minute, draw.choice("xy")) for minute in draw.sample(range(60), 60)])
+    early = F.col("ts") < F.lit("2024-01-01 00:30:00").cast("timestamp_ntz")
+    return log, log.df.withColumn("part", F.when(F.col("seq") % 3 == 0, 0).when(early, 1).otherwise(2))
+
+
+def shown(df):
+    names = ["case_id", "event_nr", "timesincecasestart", "timesincelastevent", "activity_x", "activity_y"]
+    return sorted(tuple(r) for r in df.select(*names[:4], *[F.col(n).cast("long") for n in names[4:]]).collect())
+
+
+def batch_features(log):
     timed = timefeat.timestamp_features(log)
     counts = E.encoder("agg", cat=["activity"]).fit_transform(prefixes(log))
-    want = timed.df.join(counts.withColumnRenamed(PREFIX, "event_nr"), ["case_id", "event_nr"])
-    names = ["case_id", "event_nr", "timesincecasestart", "timesincelastevent", "activity_x", "activity_y"]
-    show = lambda d: sorted(tuple(r) for r in d.select(*names[:4], *[F.col(n).cast("long") for n in names[4:]]).collect())
-    assert show(got) == show(want)
+    return timed.df.join(counts.withColumnRenamed(PREFIX, "event_nr"), ["case_id", "event_nr"])
+
+
+def test_running_features_out_of_order(spark, tmp_path, make_log):
+    """Three files whose times overlap, one a trigger, and a closing row."""
+    log, parts = some_events(make_log)
+    in_files(parts, tmp_path / "in", (1, 0, 2))
+    closing_row(log.df, log.spec, "1 hour").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(log.df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = drain(running_features_stream(source, log.spec, ["x", "y"], "1 hour"), "features", tmp_path)
+    assert shown(got) == shown(batch_features(log)) and got.count() == 60
+
+
+def test_without_closing_what_the_watermark_has_not_passed_waits(spark, tmp_path, make_log):
+    log, parts = some_events(make_log, 3)
+    in_files(parts, tmp_path / "in", (1, 0, 2))
+    source = spark.readStream.schema(log.df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = drain(running_features_stream(source, log.spec, ["x", "y"], "50 minutes"), "early", tmp_path)
+    limit = log.df.agg(F.max("ts") - F.expr("INTERVAL 50 MINUTES")).first()[0]
+    assert shown(got) == shown(batch_features(log.with_df(log.df.where(F.col("ts") < F.lit(limit)))))
 
 
 def test_custom_function(spark, make_log):
