@@ -43,3 +43,14 @@ def test_odd_rows(spark, marks):
     got = R.quality_scores(docs, labels).collect()
     assert len(got) == 5 and {r.score for r in got} == {0.5}
     assert R.quality_scores(docs.limit(0), labels).collect() == []
+
+
+def test_sample_of_repeated_ids_does_not_depend_on_partitions(spark):
+    from tracewise.llm.labelled import sample
+
+    docs = spark.createDataFrame([(i % 40, f"text {i}") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    found = [sorted(map(tuple, sample(docs.repartition(n), labels, "quality", 30).collect())) for n in (1, 3, 7)]
+    assert found[0] == found[1] == found[2] == []
+    once = docs.where("text in ('text 1', 'text 2') or doc_id > 50 or text = 'text 39'")
+    assert [r.doc_id for r in sample(once, labels, "quality", 30).orderBy("doc_id").collect()] == [1, 2, 39]

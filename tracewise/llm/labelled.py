@@ -28,4 +28,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, learn
         ids = part if ids is None else ids.union(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
     found = texts.join(F.broadcast(ids.select("doc_id", "y")), "doc_id")
-    return found.dropDuplicates(["doc_id"]).select("doc_id", "y", "text")
+    once = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("y").alias("y"), F.max("text").alias("text"))
+    return once.where("n = 1").select("doc_id", "y", "text")
