@@ -53,6 +53,20 @@ def test_broken_pages():
     assert len(text("<div>" * 3000 + f"<article><p>{BODY}" + "</div>" * 3000)) == len(BODY)
 
 
+def test_tags_that_may_be_left_out_or_were_forgotten():
+    """A head that is never closed, and elements without a closing tag: their pages keep their text."""
+    story = f"<article><p>{BODY}</p><p>{BODY} Two.</p></article>"
+    want = f"{BODY} {BODY} Two."
+    for start in ("<html><head><title>T</title>", "<head><meta charset=utf-8><title>T</title><style>p{}</style>", "<html><head><body>", "<head></head>"):
+        assert text(start + story) == want, start
+    for tag in ("select", "button", "svg", "object", "math", "iframe", "canvas", "template", "noscript", "title", "textarea"):
+        assert text(f"<body><article><p>{BODY}</p><{tag} id=x><p>{BODY} Two.</p></article>") == want, tag
+        gone = f"<{tag}>no such words</{tag}>"
+        assert text(f"<body><article><p>{BODY}</p>{gone}<p>{BODY} Two.</p></article>") == want, tag
+    for tag in ("select", "button", "template"):  # the first is forgotten, the second isn't
+        assert text(f"<body><article><p>{BODY}</p><{tag}><p>{BODY} Two.</p><{tag}>no such words</{tag}></article>") == want, tag
+
+
 def test_markup_in_scripts_is_text():
     minified = "for(i=0;i<n;i++)f()", "if(a<b)x='", "<!-- a", "s='</p></article><article><p>no'", "a<b&&c>d", "if(a<b){s=\"it's\"}"
     for code in minified:

@@ -42,6 +42,7 @@ advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr
 subscribe subscription signup login search comment comments commentlist reply replies disqus respond discussion share sharing social related
 recommended recommendations breadcrumb breadcrumbs pagination pager widget toolbar copyright legal disclaimer skip contentinfo complementary""".split())
 GOOD_WORDS = frozenset("article articlebody content main post entry story maincontent posttext".split())
+_OF_THE_BODY = BLOCKS - {"html", "body"} | {"a", "img"}
 _CLOSES_P = BLOCKS - {"html", "body"}
 _SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^"'>]|"[^"]*"|'[^']*')*+)>
@@ -49,6 +50,8 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-
 # what such an element holds is no markup but text up to its closing tag
 TEXT_ONLY = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "textarea", "title")}
 ATTR = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+# elements that hold no element of their own kind: one that opens before the last was closed shows that the last never will be
+_LONE = frozenset("select button noscript iframe title textarea audio video canvas template".split())
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -105,6 +108,16 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     linked = links = serial = 0
     skip = ""
+    never: set[str] = set()  # kinds of elements that are not closed in the rest of the page
+
+    def is_closed(tag: str, at: int) -> bool:
+        if tag in never:
+            return False
+        end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+        if end is None:
+            never.add(tag)
+            return False
+        return tag not in _LONE or re.compile(rf"<{tag}(?=[\s/>])", re.I).search(page, at, end.start()) is None
 
     def flush() -> None:
         nonlocal linked
@@ -122,6 +135,8 @@ def blocks_of(page: str) -> list[Block]:
 
     for m in tokens(page):
         text, tag = m["text"], m["tag"]
+        if skip == "head" and tag and not m["close"] and tag.lower() in _OF_THE_BODY:
+            skip = ""  # the tags between may be left out
         if skip:
             if tag and (tag.lower() == skip and m["close"] or skip == "head" and tag.lower() == "body" and not m["close"]):
                 skip = ""
@@ -139,7 +154,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag, closes = tag.lower(), bool(m["close"])
         if tag in RAW:
-            if not closes and not m["attrs"].endswith("/"):
+            if not closes and not m["attrs"].endswith("/") and (tag in ("head", "script", "style") or is_closed(tag, m.end())):
                 skip = tag
                 if tag in ("head", "title", "select", "textarea", "button"):
                     flush()
