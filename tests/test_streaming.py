@@ -137,3 +137,29 @@ def test_custom_function(spark, make_log):
     log = make_log([("a", 2, "y"), ("a", 1, "x"), ("b", 0, "z")])
     fn = lambda e: pd.DataFrame({"case_id": [e["case_id"].iloc[0]], "v": ["".join(e["activity"])]})
     assert sorted(tuple(r) for r in per_case(log, fn, "case_id string, v string").collect()) == [("a", "xy"), ("b", "z")]
+
+
+def test_fold_equals_whole_cases(spark, make_log, hot):
+    """Cases in chunks of three events, the longest also in segments of eight, against a function of the whole case."""
+    import pandas as pd
+
+    from tracewise.operators.custom import fold_cases, per_case
+
+    draw = random.Random(5)
+    rows = [(f"c{k}", draw.randrange(500), draw.choice("xyz")) for k, n in enumerate((40, 9, 3, 1, 17)) for _ in range(n)] + [(None, 1, "x")]
+    whole = lambda e: pd.DataFrame({"case_id": [e["case_id"].iloc[0]], "v": ["".join(e["activity"])], "n": [len(e)]})
+
+    def folded(log):
+        def step(state, events):
+            assert len(events) <= 3
+            return state[0] + "".join(events["activity"]), state[1] + len(events)
+
+        made = fold_cases(log, lambda: ("", 0), step, lambda case, s: [(case, *s)], "case_id string, v string, n long", 3)
+        return sorted(map(repr, map(tuple, made.collect())))
+
+    want = sorted(map(repr, map(tuple, per_case(make_log(rows), whole, "case_id string, v string, n long").collect())))
+    assert folded(make_log(rows)) == want
+    hot(8)
+    log = make_log(rows)
+    assert log.hot is not None and folded(log) == want
+    assert folded(log.with_df(log.df.limit(0))) == []

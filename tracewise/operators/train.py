@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorSlicer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +18,11 @@ from tracewise.functions.columns import c
 from tracewise.functions.params import params_from_text
 from tracewise.operators.batched import fit_boosted, fit_logit
 from tracewise.operators.bucket import BUCKET, bucketer
-from tracewise.operators.encode import EventEncoder, assemble, encoding, sequences
+from tracewise.operators.clean import is_positive
+from tracewise.operators.encode import EventEncoder, assemble, encoding
 from tracewise.operators.models import FEATURES, LABEL, SCORE, GuardedClassifier, Platt, estimator
 from tracewise.operators.prefix import PREFIX, prefixes
+from tracewise.operators.recurrent import DECAYS, state_features
 from tracewise.operators.sparse import SparseEncoding
 from tracewise.operators.split import class_ratio
 from tracewise.session import keep
@@ -178,7 +180,7 @@ def evaluate_batched(data: EncodedSplits, cls: str, configs: Sequence[tuple[str,
 
 def sequence_curves(train: EventLog, val: EventLog, configs: Sequence[str], max_length: int, epochs: int | None = None,
                     seed: int = 22) -> DataFrame:
-    """Losses of the sequence classifier after each epoch, for each parameter text: params, epoch, train_loss, val_loss.
+    """Losses of the sequence classifier after each epoch, for each parameter text: params, epoch, train_loss, val_loss, and the rows of each.
 
     An epoch continues from the weights of the one before. ``epochs`` overrides what a parameter text says. Sequences are
     encoded once for all; what comes back to the driver is two numbers an epoch.
@@ -188,34 +190,36 @@ def sequence_curves(train: EventLog, val: EventLog, configs: Sequence[str], max_
     sides = [_sequence_rows(events, columns, log, max_length).persist(StorageLevel.MEMORY_AND_DISK) for log in (train, val)]
     curve = []
     for text in configs:
-        params = {**params_from_text(text, "lstm"), "inputs": len(columns) * max_length}
+        params = {**params_from_text(text, "lstm"), "inputs": len(columns) * (1 + len(DECAYS))}
         weights = None
         for epoch in range(epochs or int(params.get("nb_epoch", 50))):
             one = estimator("sequence", {**params, "nb_epoch": 1}, seed)
             model = (one if weights is None else one.setInitialWeights(weights)).fit(sides[0])
             weights = model.weights
-            losses = [log_loss(model.transform(rows)) for rows in sides]
-            curve.append((text, epoch, *losses))
+            (train_loss, n_train), (val_loss, n_val) = [log_loss(model.transform(rows)) for rows in sides]
+            curve.append((text, epoch, train_loss, val_loss, n_train, n_val))
     for rows in sides:
         rows.unpersist()
-    return train.df.sparkSession.createDataFrame(curve, "params string, epoch int, train_loss double, val_loss double")
+    return train.df.sparkSession.createDataFrame(curve, "params string, epoch int, train_loss double, val_loss double, train_rows long, val_rows long")
 
 
-def log_loss(scored: DataFrame) -> float:
-    """Mean negative log likelihood of the labels; 0 without rows."""
+def log_loss(scored: DataFrame) -> tuple[float, int]:
+    """Mean negative log likelihood of the labels, and the number of rows; 0 without rows."""
     p = vector_to_array(F.col("probability"))
     own = F.when(F.col(LABEL) == 1, p[1]).otherwise(p[0])
-    return scored.agg(F.avg(-F.log(F.greatest(own, F.lit(1e-15))))).first()[0] or 0.0
+    found = scored.agg(F.avg(-F.log(F.greatest(own, F.lit(1e-15)))).alias("loss"), F.count(F.lit(1)).alias("n")).first()
+    return found["loss"] or 0.0, found["n"]
 
 
 def _sequence_rows(events: EventEncoder, columns: list[str], log: EventLog, max_length: int) -> DataFrame:
-    flat = sequences(events.transform(prefixes(log, max_length)), columns, max_length, flat=True)
-    return flat.withColumn(FEATURES, array_to_vector(F.col("sequence").cast("array<double>"))).drop("sequence")
+    """Each prefix as its last event and the states of its recurrences: as many numbers whatever its length."""
+    encoded = events.transform(prefixes(log, max_length))
+    return state_features(encoded, columns, [c(log.spec.case), c(PREFIX), is_positive(encoded).alias(LABEL)], max_length=max_length)
 
 
 def fit_predict_sequences(train: EventLog, val: EventLog, test: EventLog, params: Mapping, max_length: int,
                           cls: str = "sequence_calibrated", seed: int = 22) -> DataFrame:
-    """One classifier over padded event sequences of all lengths, scored per prefix length."""
+    """One classifier over the recurrent states of prefixes of all lengths, scored per prefix length."""
     events = EventEncoder(train.spec).fit(train)
     columns = [f"event__{n}" for n in events.columns]
 
@@ -223,7 +227,7 @@ def fit_predict_sequences(train: EventLog, val: EventLog, test: EventLog, params
         return _sequence_rows(events, columns, log, max_length)
 
     fit_rows = rows(train).persist(StorageLevel.MEMORY_AND_DISK)
-    model = GuardedClassifier(cls.removesuffix("_calibrated"), {**params, "inputs": len(columns) * max_length}, seed,
+    model = GuardedClassifier(cls.removesuffix("_calibrated"), {**params, "inputs": len(columns) * (1 + len(DECAYS))}, seed,
                               1, float(class_ratio(train).first()[0] or 0.0)).fit(fit_rows)
     fit_rows.unpersist()
     scored = model.score(rows(test))

@@ -16,9 +16,10 @@ from tracewise.operators import auc as A
 from tracewise.operators import bucket as B
 from tracewise.operators import clean, filters, label, models, split, timefeat, tune
 from tracewise.operators import encode as E
+from tracewise.operators import recurrent as R
 from tracewise.operators import stability as S
 from tracewise.operators.batched import fit_boosted
-from tracewise.operators.custom import per_case
+from tracewise.operators.custom import fold_cases, per_case
 from tracewise.operators.prefix import PREFIX, prefix_log, prefixes
 from tracewise.operators.scan import running_mean, running_sum
 from tracewise.operators.sparse import SparseEncoding, SparseOneHot
@@ -907,6 +908,25 @@ def custom_per_case(spark, sf_dir):
     return per_case(V.log_events(spark, sf_dir), variant, "case_id string, variant string, n long")
 
 
+@query(EV + """, o AS (SELECT *, row_number() OVER w AS nr, row_number() OVER (PARTITION BY case_id, event_type ORDER BY ts, event_id) AS own FROM ev
+  WINDOW w AS (PARTITION BY case_id ORDER BY ts, event_id)),
+r AS (SELECT case_id, event_type, nr - own AS island, count(*) AS n, min(nr) AS first FROM o GROUP BY ALL)
+SELECT case_id, event_type, n AS streak, first AS since FROM r QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY n DESC, first) = 1""")
+def custom_fold(spark, sf_dir):
+    """The longest run of equal events of each case, from chunks of its events."""
+    def step(state: tuple, events: pd.DataFrame) -> tuple:
+        nr, last, run, best = state
+        for what in events["event_type"]:
+            nr, run = nr + 1, run + 1 if what == last else 1
+            last = what
+            if run > best[1]:
+                best = (what, run, nr - run + 1)
+        return nr, last, run, best
+
+    return fold_cases(V.log_events(spark, sf_dir), lambda: (0, None, 0, (None, 0, 0)), step, lambda case, state: [(case, *state[3])],
+                      "case_id string, event_type string, streak long, since long")
+
+
 # ------------------------------------------------------------------ evaluation
 
 
@@ -1481,15 +1501,17 @@ def cluster_nearest(spark, sf_dir):
     return extended.df.select("event_id", (own <= F.array_min(gaps) + 1e-9).alias("nearest"))
 
 
-_LSTM = ["8_0.1_1_16_adam_0.01_4", "4_0.1_1_16_adam_0.01_4"]
+_LSTM = ["8_0.1_1_16_adam_0.01_6", "4_0.1_1_16_adam_0.01_6"]
 
 
-@query(f"t AS (SELECT count(*) AS n FROM events) SELECT unnest({_LSTM}) AS params, epoch, true AS finite FROM t, (SELECT CAST(unnest(range(4)) AS INTEGER) AS epoch)")
+@query(SPLIT + _CAP + f""" SELECT params, epoch, (SELECT count(*) FROM fit, cap WHERE prefix_nr <= cap) AS train_rows,
+  (SELECT count(*) FROM val, cap WHERE prefix_nr <= cap) AS val_rows, true AS falls
+FROM (SELECT unnest({_LSTM}) AS params), (SELECT CAST(unnest(range(6)) AS INTEGER) AS epoch)""")
 def sequence_tuning(spark, sf_dir):
-    """Losses of the sequence classifier after each epoch, as the choice of its parameters reads them."""
+    """Losses of the sequence classifier after each epoch: over all training and validation prefixes, and the first falls."""
     curves = tuning_predictions(_seeing_log(spark, sf_dir), "lstm", "lstm", _LSTM)
-    finite = F.col("train_loss").between(0, 100) & F.col("val_loss").between(0, 100)
-    return curves.select("params", "epoch", finite.alias("finite"))
+    before = F.lag("train_loss").over(Window.partitionBy("params").orderBy("epoch"))  # a row for each set and epoch
+    return curves.select("params", "epoch", "train_rows", "val_rows", F.coalesce(F.col("train_loss") <= before + 1e-9, F.lit(True)).alias("falls"))
 
 
 @query(SPLIT + _CAP + """ SELECT CAST(prefix_nr AS INTEGER) AS nr_events, count(*) AS n_rows,
@@ -1498,11 +1520,24 @@ FROM test, cap WHERE prefix_nr <= cap GROUP BY 1""")
 def rows_sequence(spark, sf_dir):
     """Sequence tuning to the final model: curves, best parameters and epoch, predictions of the test cases."""
     log = _seeing_log(spark, sf_dir)
-    best = tune.best_by_val_loss(tuning_predictions(log, "lstm", "lstm", _LSTM[:1]), min_epoch=2).first()["params"]
-    params = {**P.params_from_text(best.rpartition("_")[0], "lstm"), "nb_epoch": 10 * (1 + int(best.rpartition("_")[2]))}
+    best = tune.best_by_val_loss(tuning_predictions(log, "lstm", "lstm", _LSTM), min_epoch=2).first()["params"]
+    params = {**P.params_from_text(best.rpartition("_")[0], "lstm"), "nb_epoch": 1 + int(best.rpartition("_")[2])}
     return _shown(final_predictions(log, "lstm", "sequence_calibrated", params))
 
 
+@query(LABY + """, d AS (SELECT unnest([0.37::DOUBLE, 0.83]) AS decay)
+SELECT p.case_id, p.prefix_nr, decay, round(sum(pow(decay, p.prefix_nr - e.prefix_nr) * coalesce(e.amount, 0)) + 3e-8, 6) AS amount,
+  round(sum(pow(decay, p.prefix_nr - e.prefix_nr) * CASE WHEN e.event_type = 'click' THEN 1 ELSE 0 END) + 3e-8, 6) AS clicks
+FROM laby p JOIN laby e ON p.case_id = e.case_id AND e.prefix_nr <= p.prefix_nr, d GROUP BY ALL""")
+def recurrent_states(spark, sf_dir):
+    """Linear recurrences of two columns with two decays, for every prefix; pushed off the border of rounding."""
+    log = prefixes(V.labelled_events(spark, sf_dir))
+    log = log.with_df(log.df.withColumn("clicks", (F.col("event_type") == "click").cast("int")))
+    df = R.states(log, ["amount", "clicks"], (0.37, 0.83)).df
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("decay"), c(f"amount~{a}").alias("amount"), c(f"clicks~{a}").alias("clicks")) for a in (0.37, 0.83)]))
+    return df.select("case_id", PREFIX, rows.alias("x")).select("case_id", PREFIX, "x.decay", *[r6(F.col(f"x.{n}") + 3e-8, n) for n in ("amount", "clicks")])
+
+
 @query("t AS (SELECT count(*) AS n FROM events) SELECT CAST(unnest(range(5)) AS INTEGER) AS epoch, true AS falls, true AS better FROM t")
 def learning_rounds(spark, sf_dir):
     """Each round of boosting lowers the training loss, and the validation AUC is better than chance."""
