@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tracewise.operators import auc as A
-from tracewise.operators.models import FourierFeatures, GuardedClassifier, Platt, estimator, learning_curve
+from tracewise.operators.models import FourierFeatures, GuardedClassifier, NystroemFeatures, Platt, estimator, learning_curve, rbf
 from tracewise.operators.train import encode_splits
 from tracewise.plans.experiment import final_predictions, splits, tuning_predictions
 
@@ -158,3 +158,66 @@ def test_learning_curve(spark):
     rows = learning_curve({"n_estimators": 4, "learning_rate": 0.3}, df, df, params_text="p").orderBy("epoch").collect()
     assert [r["epoch"] for r in rows] == [0, 1, 2, 3]
     assert rows[-1]["train_loss"] < rows[0]["train_loss"] and rows[-1]["val_auc"] > 0.9
+
+
+def exact_kernel_machine(x, y, cost, gamma, rounds=1500):
+    """Scores of a kernel machine with squared hinge loss, by descent on all pairs of rows."""
+    kernel = rbf(x, x, gamma)
+    sign = 2.0 * y - 1
+    alpha, bias = np.zeros(len(y)), 0.0
+    top = np.linalg.eigvalsh(kernel).max()
+    rate = 1 / (1 + 2 * cost * top)
+    speed, before = 1.0, alpha
+    ahead = alpha
+    for _ in range(rounds):
+        slack = np.maximum(0, 1 - sign * (kernel @ ahead + bias))
+        new = ahead - rate * (ahead - 2 * cost * sign * slack)
+        bias += rate * 2 * cost * (sign * slack).mean()
+        faster = (1 + np.sqrt(1 + 4 * speed ** 2)) / 2
+        ahead, before, speed = new + (speed - 1) / faster * (new - before), new, faster
+    return kernel @ before + bias
+
+
+def ranks(values):
+    order = np.argsort(values)
+    out = np.empty(len(values))
+    out[order] = np.arange(len(values))
+    return out
+
+
+def test_landmarks_stand_for_the_kernel(spark):
+    """500 rows in clusters, one of them small and far off: scores rank as those of an exact kernel machine."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(m, 1.0, (n, 3)) for m, n in ((0, 300), (3, 180), (12, 20))])
+    y = ((x[:, 0] * x[:, 1] > 1) ^ (x[:, 2] > 9)).astype(int)
+    rows = [(i, int(b), a) for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True))]
+    df = spark.createDataFrame(rows, "id long, y int, x array<double>").select("id", "y", array_to_vector("x").alias("features"))
+    gamma = 0.25
+    made = NystroemFeatures(gamma, 120).fit(df)
+    most, mean = made.error_bound(df)
+    assert 0 <= mean <= most <= 1 and mean < 0.05
+    z = np.array([r.features.toArray() for r in made.transform(df).orderBy("id").collect()])
+    assert np.abs(z @ z.T - rbf(x, x, gamma)).max() <= most + 1e-6
+    assert made.landmarks[:, 0].max() > 9  # the far cluster has landmarks of its own
+    linear = exact_kernel_machine(x, y, 1.0, gamma)
+    sign, weights, bias = 2.0 * y - 1, np.zeros(z.shape[1]), 0.0
+    rate = 1 / (1 + 2 * np.linalg.eigvalsh(z.T @ z).max())
+    speed, before, ahead = 1.0, weights, weights
+    for _ in range(1500):
+        slack = np.maximum(0, 1 - sign * (z @ ahead + bias))
+        new = ahead - rate * (ahead - 2 * z.T @ (sign * slack))
+        bias += rate * 2 * (sign * slack).mean()
+        faster = (1 + np.sqrt(1 + 4 * speed ** 2)) / 2
+        ahead, before, speed = new + (speed - 1) / faster * (new - before), new, faster
+    approximate = z @ before + bias
+    assert np.corrcoef(ranks(linear), ranks(approximate))[0, 1] >= 0.98
+
+
+def test_svm_by_landmarks_separates_rings(spark):
+    rng = np.random.default_rng(5)
+    angle, radius = rng.uniform(0, 6.28, 400), np.repeat([1.0, 3.0], 200)
+    rows = [(int(r > 2), [float(r * np.cos(a)), float(r * np.sin(a))]) for a, r in zip(angle, radius + rng.normal(0, 0.1, 400), strict=True)]
+    df = spark.createDataFrame(rows, "y int, x array<double>").select("y", array_to_vector("x").alias("features"))
+    model = GuardedClassifier("svm", {"C": 4, "gamma": 0, "landmarks": 60}).fit(df)
+    scored = model.score(df).collect()
+    assert isinstance(model.kernel, NystroemFeatures) and all((r.predicted > 0) == (r.y == 1) for r in scored)

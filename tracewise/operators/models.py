@@ -31,6 +31,8 @@ FEATURES, LABEL, SCORE = "features", "y", "predicted"
 TREE_DEPTH = 30
 # Random features of an RBF machine, unless the parameter ``fourier_features`` says otherwise.
 FOURIER_FEATURES = 256
+# Landmarks of an RBF machine, unless the parameter ``landmarks`` says otherwise; ``fourier_features`` asks for random features in their place.
+KERNEL_FEATURES = 256
 
 
 def _integer(value) -> int:
@@ -140,6 +142,78 @@ class FourierFeatures:
         return df.withColumn(FEATURES, array_to_vector(project(vector_to_array(FEATURES))))
 
 
+class NystroemFeatures:
+    """Features whose inner products approximate the RBF kernel exp(-gamma |x - z|^2), made from the data.
+
+    Landmark rows stand for all: a row's features are its kernel with the landmarks, turned so that inner products are right between
+    landmarks and the best there is between others. A uniform pilot sample tells how much of each row its own landmarks would miss
+    (its leverage), and landmarks are drawn by that, so rows that are unlike all others are not overlooked. Both samples are bounded by ``count``;
+    scores of leverage and the features themselves cover all rows. After Musco and Musco, "Recursive Sampling for the Nystroem Method" (2017).
+    """
+
+    def __init__(self, gamma: float, count: int = KERNEL_FEATURES, seed: int = 22):
+        self.gamma, self.count, self.seed = gamma, count, seed
+        self.landmarks = self.turn = None
+
+    def _drawn(self, df: DataFrame, weight: Column) -> np.ndarray:
+        """``count`` distinct rows; one of twice the weight is drawn twice as readily."""
+        u = (F.abs(F.xxhash64(F.lit(self.seed), "__x")) % (1 << 52) + 1).cast("double") / float(1 << 52)
+        rows = df.select("__x", (-F.log(u) / weight).alias("__k")).where("__k IS NOT NULL").groupBy("__x").agg(F.min("__k").alias("__k")).orderBy("__k", "__x").limit(self.count)
+        return np.array([r["__x"] for r in rows.collect()], float)
+
+    def fit(self, df: DataFrame) -> NystroemFeatures:
+        known = df.select(vector_to_array(FEATURES).alias("__x"))
+        self._solve(self._drawn(known, F.lit(1.0)))
+        missed = known.withColumn("__r", self._missed(F.col("__x")))
+        self._solve(self._drawn(missed, F.greatest(F.col("__r"), F.lit(1e-3))))
+        return self
+
+    def _solve(self, landmarks: np.ndarray) -> None:
+        self.landmarks = landmarks
+        values, vectors = np.linalg.eigh(rbf(landmarks, landmarks, self.gamma))
+        some = values > max(values.max(), 0.0) * 1e-10
+        self.turn = vectors[:, some] / np.sqrt(values[some])
+
+    def _project(self):
+        landmarks, turn, gamma = self.landmarks, self.turn, self.gamma
+
+        def project(x: pd.Series) -> np.ndarray:
+            return rbf(np.stack(x.to_numpy()), landmarks, gamma) @ turn
+        return project
+
+    def _missed(self, x: Column) -> Column:
+        """How much of a row's own kernel (1) its features lack: 0 if the landmarks say all of it."""
+        project = self._project()
+
+        @F.pandas_udf(T.DoubleType())
+        def missed(x: pd.Series) -> pd.Series:
+            return pd.Series(np.clip(1 - (project(x) ** 2).sum(1), 0, 1) if len(x) else [], dtype=float)
+
+        return missed(x)
+
+    def error_bound(self, df: DataFrame) -> tuple[float, float]:
+        """The largest error of the kernel between any two rows, at most, and the mean of the errors' diagonal.
+
+        What is missed is a kernel itself, so its value between two rows is at most the geometric mean of their own.
+        """
+        row = df.select(self._missed(vector_to_array(FEATURES)).alias("r")).agg(F.max("r").alias("most"), F.avg("r").alias("mean")).first()
+        return float(row["most"] or 0.0), float(row["mean"] or 0.0)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        project = self._project()
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def projected(x: pd.Series) -> pd.Series:
+            return pd.Series(list(project(x)) if len(x) else [], dtype=object)
+
+        return df.withColumn(FEATURES, array_to_vector(projected(vector_to_array(FEATURES))))
+
+
+def rbf(x: np.ndarray, z: np.ndarray, gamma: float) -> np.ndarray:
+    gaps = (x ** 2).sum(1)[:, None] + (z ** 2).sum(1)[None, :] - 2 * x @ z.T
+    return np.exp(-gamma * np.maximum(gaps, 0.0))
+
+
 class GuardedClassifier:
     """A classifier that falls back to a constant where it cannot be trained.
 
@@ -150,7 +224,7 @@ class GuardedClassifier:
     def __init__(self, name: str, params: Mapping, seed: int = 22, min_cases: int = 30, fallback: float = 0.5):
         self.name, self.params, self.seed = name, dict(params), seed
         self.min_cases, self.fallback = min_cases, fallback
-        self.model = self.scaler = self.fourier = None
+        self.model = self.scaler = self.kernel = None
         self.constant: float | None = None
 
     def fit(self, train: DataFrame) -> GuardedClassifier:
@@ -169,10 +243,13 @@ class GuardedClassifier:
             self.scaler = _population_scaler(row["n"], train)
             train = self._scaled(train)
         if self.name == "svm" and "gamma" in self.params:
-            width = train.select(F.size(vector_to_array(FEATURES))).first()[0]
-            count = _integer(self.params.get("fourier_features", FOURIER_FEATURES))
-            self.fourier = FourierFeatures(2.0 ** float(self.params["gamma"]), width, count, self.seed)
-            train = self.fourier.transform(train)
+            gamma = 2.0 ** float(self.params["gamma"])
+            if "fourier_features" in self.params:
+                width = train.select(F.size(vector_to_array(FEATURES))).first()[0]
+                self.kernel = FourierFeatures(gamma, width, _integer(self.params["fourier_features"]), self.seed)
+            else:
+                self.kernel = NystroemFeatures(gamma, _integer(self.params.get("landmarks", KERNEL_FEATURES)), self.seed).fit(train)
+            train = self.kernel.transform(train)
         params = self.params
         if self.name == "sequence" and "inputs" not in params:
             params = {**params, "inputs": train.select(F.size(vector_to_array(FEATURES))).first()[0]}
@@ -188,8 +265,8 @@ class GuardedClassifier:
             return df.withColumn(SCORE, F.lit(self.constant)).drop(FEATURES)
         if self.scaler is not None:
             df = self._scaled(df)
-        if self.fourier is not None:
-            df = self.fourier.transform(df)
+        if self.kernel is not None:
+            df = self.kernel.transform(df)
         if isinstance(self.model, _Boosted):
             return self.model.score(df)
         out = self.model.transform(df)

@@ -1526,8 +1526,8 @@ def rows_sequence(spark, sf_dir):
 
 
 @query(LABY + """, d AS (SELECT unnest([0.37::DOUBLE, 0.83]) AS decay)
-SELECT p.case_id, p.prefix_nr, decay, round(sum(pow(decay, p.prefix_nr - e.prefix_nr) * coalesce(e.amount, 0)) + 3e-8, 6) AS amount,
-  round(sum(pow(decay, p.prefix_nr - e.prefix_nr) * CASE WHEN e.event_type = 'click' THEN 1 ELSE 0 END) + 3e-8, 6) AS clicks
+SELECT p.case_id, p.prefix_nr, decay, round(sum(pow(decay, p.prefix_nr - e.prefix_nr) * coalesce(e.amount, 0)) + 1.234567e-8, 6) AS amount,
+  round(sum(pow(decay, p.prefix_nr - e.prefix_nr) * CASE WHEN e.event_type = 'click' THEN 1 ELSE 0 END) + 1.234567e-8, 6) AS clicks
 FROM laby p JOIN laby e ON p.case_id = e.case_id AND e.prefix_nr <= p.prefix_nr, d GROUP BY ALL""")
 def recurrent_states(spark, sf_dir):
     """Linear recurrences of two columns with two decays, for every prefix; pushed off the border of rounding."""
@@ -1535,7 +1535,7 @@ def recurrent_states(spark, sf_dir):
     log = log.with_df(log.df.withColumn("clicks", (F.col("event_type") == "click").cast("int")))
     df = R.states(log, ["amount", "clicks"], (0.37, 0.83)).df
     rows = F.explode(F.array(*[F.struct(F.lit(a).alias("decay"), c(f"amount~{a}").alias("amount"), c(f"clicks~{a}").alias("clicks")) for a in (0.37, 0.83)]))
-    return df.select("case_id", PREFIX, rows.alias("x")).select("case_id", PREFIX, "x.decay", *[r6(F.col(f"x.{n}") + 3e-8, n) for n in ("amount", "clicks")])
+    return df.select("case_id", PREFIX, rows.alias("x")).select("case_id", PREFIX, "x.decay", *[r6(F.col(f"x.{n}") + 1.234567e-8, n) for n in ("amount", "clicks")])
 
 
 @query("t AS (SELECT count(*) AS n FROM events) SELECT CAST(unnest(range(5)) AS INTEGER) AS epoch, true AS falls, true AS better FROM t")
