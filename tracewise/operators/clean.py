@@ -11,6 +11,7 @@ from tracewise.eventlog import EventLog
 from tracewise.functions.columns import c
 from tracewise.functions.time import minutes_between
 from tracewise.operators.scan import latest
+from tracewise.session import keep
 from tracewise.spec import REPORT_NAMES
 
 # Kept levels up to this number become a literal list, up to the next one a broadcast table.
@@ -54,25 +55,21 @@ def level_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def keep_levels(df: DataFrame, kept: DataFrame, cols: Sequence[str], other: str = "other") -> DataFrame:
-    """Levels not listed in ``kept`` (column, level) become ``other``."""
-    rows = kept.select("column", "level").limit(BROADCAST_LEVELS + 1).collect()
-    listed = len(rows) <= BROADCAST_LEVELS
-    by_column: dict[str, list[str]] = {n: [] for n in cols}
-    for r in rows:
-        by_column[r["column"]].append(r["level"])
-    if listed:
-        kept = df.sparkSession.createDataFrame(rows, "column string, level string")
-    literal = {n for n in cols if listed and len(by_column[n]) <= LITERAL_LEVELS}
-    replaced = {n: F.when(c(n).cast("string").isin(by_column[n]), c(n).cast("string")).otherwise(other)
-                for n in literal}
-    df = df.withColumns(replaced) if replaced else df
+    """Levels not listed in ``kept`` (column, level) become ``other``.
+
+    A short list is written into the plan; a longer one is a table, of which the driver learns the length alone, and is joined.
+    """
+    rows = kept.select("column", "level").limit(LITERAL_LEVELS + 1).collect()
+    if len(rows) <= LITERAL_LEVELS:
+        by_column: dict[str, list[str]] = {n: [] for n in cols}
+        for r in rows:
+            by_column[r["column"]].append(r["level"])
+        return df.withColumns({n: F.when(c(n).cast("string").isin(by_column[n]), c(n).cast("string")).otherwise(other) for n in cols})
+    table = keep(kept.select("column", "level"), "levels")
+    sizes = {r["column"]: r["count"] for r in table.groupBy("column").count().collect()}  # a row for each column
     for n in cols:
-        if n in literal:
-            continue
-        # too many levels for a literal list; broadcast only where the list was seen to be short enough
-        levels = kept.where(F.col("column") == n).select(F.col("level").alias("__level"))
-        joined = df.join(F.broadcast(levels) if listed else levels,
-                         c(n).cast("string") == F.col("__level"), "left")
+        levels = table.where(F.col("column") == n).select(F.col("level").alias("__level"))
+        joined = df.join(F.broadcast(levels) if sizes.get(n, 0) <= BROADCAST_LEVELS else levels, c(n).cast("string") == F.col("__level"), "left")
         df = joined.withColumn(n, F.coalesce(F.col("__level"), F.lit(other))).drop("__level")
     return df
 

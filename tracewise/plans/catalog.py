@@ -26,7 +26,7 @@ from tracewise.operators.sparse import SparseEncoding, SparseOneHot
 from tracewise.operators.train import encode_splits
 from tracewise.plans import views as V
 from tracewise.plans.experiment import evaluate, final_predictions, report, splits, tuning_predictions
-from tracewise.session import shared_folder
+from tracewise.session import keep, shared_folder
 from tracewise.sources.logs import read_log, read_raw_log, read_results, read_tagged, write_table
 from tracewise.sources.params import save_params
 from tracewise.streaming import running
@@ -1266,6 +1266,28 @@ def labelled_pipeline(spark, sf_dir):
                        "open_cases", "amount", "event_type", "label", "side")
 
 
+@query(EV + """, g AS (SELECT *, count(amount) OVER (PARTITION BY case_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS grp,
+  row_number() OVER (PARTITION BY case_id ORDER BY ts, event_id) AS event_nr FROM ev),
+f AS (SELECT *, max(amount) OVER (PARTITION BY case_id, grp) AS filled FROM g), sp AS (SELECT case_id, min(ts) AS s, max(ts) AS e FROM ev GROUP BY 1),
+la AS (SELECT case_id, arg_max(event_type, (ts, event_id)) AS last FROM ev WHERE event_type IN ('purchase', 'signup', 'error') GROUP BY 1),
+o AS (SELECT f.*, outcome, last FROM f JOIN la USING (case_id), (SELECT unnest(['purchase', 'signup']) AS outcome) WHERE last IN ('purchase', 'signup')),
+lv AS (SELECT outcome, event_type, count(*) AS c FROM o GROUP BY 1, 2)
+SELECT event_id, outcome, event_nr, epoch_us(ts) - epoch_us(s) AS micros_since_start, (SELECT count(*) FROM sp q WHERE q.s <= o.ts AND q.e > o.ts) AS open_cases,
+  coalesce(filled, 0) AS amount, CASE WHEN c >= 400 THEN event_type ELSE 'other' END AS event_type, CASE WHEN last = outcome THEN 'deviant' ELSE 'regular' END AS label
+FROM o JOIN lv USING (outcome, event_type) JOIN sp USING (case_id)""")
+def labelled_outcomes(spark, sf_dir):
+    """A raw log to a labelled copy for each outcome: forward fill, time features, open cases, last of a subset, rare levels of each copy."""
+    log = timefeat.open_cases(timefeat.timestamp_features(clean.ffill(V.log_events(spark, sf_dir), ["amount"])))
+    log = label.label_last_of(log, F.col("event_type").isin("purchase", "signup", "error"), ["purchase", "signup"])
+    rows, out = keep(log.df, "outcomes"), None
+    for outcome in ("purchase", "signup"):
+        one = clean.fill_missing(rows.where(F.col("outcome") == outcome), ["event_type"], ["amount"])
+        one = clean.collapse_rare(one, ["event_type"], 400)
+        out = one if out is None else out.unionByName(one)
+    return out.select("event_id", "outcome", "event_nr", F.round(F.col("timesincecasestart") * 6e7).cast("long").alias("micros_since_start"),
+                      "open_cases", "amount", "event_type", "label")
+
+
 @query(DIFF.replace("'XGB_agg'", "'XGB_idx_mul'") + auc_sql("pred", 'dataset, "Method", nr_events') + """,
 wa AS (SELECT dataset, "Method", sum(auc * count) / sum(count) AS w, avg(auc) AS a FROM aucs GROUP BY 1, 2),
 cs AS (SELECT dataset, "Method", case_id, 1 - avg(abs(d)) AS s FROM dif GROUP BY 1, 2, 3),

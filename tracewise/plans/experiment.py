@@ -20,6 +20,7 @@ from tracewise.operators.train import (
     fit_predict_sequences,
     sequence_curves,
 )
+from tracewise.session import keep
 
 TRAIN_RATIO = 0.8
 VAL_RATIO = 0.2
@@ -59,7 +60,9 @@ def tuning_predictions(log: EventLog, method: str, cls: str, configs: Sequence[s
     if method == "lstm" or cls == "lstm":
         return sequence_curves(train, val, configs, max_prefix_length(log, truncate), epochs, seed)
     data = encode_splits(train, {"val": val}, method, max_prefix_length(log, truncate))
-    return evaluate_configs(data, cls, configs, n_runs, "val", log.spec.name, threads)
+    scored = keep(evaluate_configs(data, cls, configs, n_runs, "val", log.spec.name, threads), "predictions")
+    data.release()
+    return scored
 
 
 def report(pred: DataFrame) -> DataFrame:

@@ -128,16 +128,10 @@ BPIC2012_FILES = {"cancelled": "bpic2012_O_CANCELLED-COMPLETE.csv", "accepted":
 SWAPPED = ("sepsis_cases_4", "hospital_billing_1")
 
 GROUP_ALIASES = {
-    "bpic2011": ("bpic2011_f1", "bpic2011_f2", "bpic2011_f3", "bpic2011_f4"),
-    "bpic2015": ("bpic2015_1_f2", "bpic2015_2_f2", "bpic2015_3_f2", "bpic2015_4_f2", "bpic2015_5_f2"),
-    "insurance": ("insurance_activity", "insurance_followup"),
     "sepsis_cases": ("sepsis_cases_1", "sepsis_cases_2", "sepsis_cases_4"),
 }
 
-# Datasets of the evaluation, and the names they are reported under.
-EVALUATION_SET = ("bpic2012_accepted", "bpic2012_cancelled", "bpic2012_declined", "bpic2017_accepted",
-                  "bpic2017_cancelled", "bpic2017_refused", "sepsis_cases_1", "sepsis_cases_2", "sepsis_cases_4",
-                  "production", "traffic_fines_1", "hospital_billing_3")
+# The names under which datasets are reported.
 REPORT_NAMES = {"hospital_billing_3": "hospital_billing", "traffic_fines_1": "traffic_fines",
                 "sepsis_cases_4": "sepsis_cases_3"}
 # ---------------------------------------------------------------------------------------------
