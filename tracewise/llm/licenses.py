@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.llm.words import MEMO, blobs, mixed, shingles, text_batches
+from tracewise.llm.words import LARGE_MEMO, blobs, mixed, shingles, text_batches
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -59,7 +59,7 @@ class Plain(dict):
     """A 64-bit number for a word without marks, 0 for marks alone."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
+        if len(self) >= LARGE_MEMO:
             self.clear()
         clean = word.lower().strip(_MARKS)
         code = self[word] = (xxhash.xxh64_intdigest(clean, 3) | 1) if clean else 0

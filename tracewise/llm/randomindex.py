@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.llm.labelled import remainder, sample
-from tracewise.llm.words import MEMO, blobs, text_batches
+from tracewise.llm.words import LARGE_MEMO, blobs, text_batches
 
 WORDS, FORMS, DIMS = 4096, 1024, 32
 NONZERO = 4
@@ -41,7 +41,7 @@ class Buckets(dict):
     """(word bucket) + (WORDS + FORMS) * (form bucket) of a word; starts anew when it has seen many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
+        if len(self) >= LARGE_MEMO:
             self.clear()
         kind = WORDS + 1 + xxhash.xxh64_intdigest(form(word)) % (FORMS - 1)
         both = self[word] = xxhash.xxh64_intdigest(word, 7) % WORDS + (WORDS + FORMS) * kind

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.llm.labelled import remainder, sample
-from tracewise.llm.words import MEMO, blobs, text_batches
+from tracewise.llm.words import LARGE_MEMO, blobs, text_batches
 
 PER_CLASS = 4000
 THRESHOLD = 0.7
@@ -76,7 +76,7 @@ class Lexicon(dict):
         self.arcs = arcs
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
+        if len(self) >= LARGE_MEMO:
             self.clear()
         code, clean = 0, bare(word)
         if clean:

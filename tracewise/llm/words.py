@@ -18,7 +18,8 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 TEXT_ROWS = 1000
 TEXT_BYTES = 4 << 20
-MEMO = 1 << 17
+MEMO = 1 << 17  # words that a task remembers; several operators of a pipeline follow each other in one worker process
+LARGE_MEMO = 1 << 19  # for operators that stand alone
 _MULT = 0x9E3779B97F4A7C15
 
 
