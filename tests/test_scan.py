@@ -87,3 +87,45 @@ def test_marked_rows_give_the_same(spark, hot):
     # the second scan reads one side only for each of its own sides
     plan = marked.where(~F.col(f"`{found.mark}`"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan
+
+
+def sizes_of(found):
+    groups = None if found.hot is None else sorted(map(tuple, found.hot.groups.collect()), key=repr)
+    return groups, found.hot and found.hot.rows
+
+
+@pytest.mark.parametrize("limit", [1, 7, 50, 199, 200, 201, 5000])
+def test_screening_finds_what_counting_finds(spark, hot, limit):
+    """Null keys, keys of two columns, groups just at the limit."""
+    df = table(spark, [f"k{i}" for i in range(40)])
+    hot(limit)
+    for keys in (["key"], ["key", "t"], ["t"], ["id"]):
+        screened, counted = sc.screen(df, keys), sc.measure(df, keys)
+        assert sizes_of(screened) == sizes_of(counted), keys
+        assert screened.groups >= counted.groups and screened.longest >= counted.longest
+    nothing = sc.screen(df.limit(0), ["key"])
+    assert (nothing.hot, nothing.longest, nothing.groups) == (None, 0, 0)
+
+
+def test_a_sketch_that_is_too_small_is_not_trusted(spark, hot):
+    """20,000 keys and room for 8 or 64 of them: a larger sketch is taken, or all groups are counted."""
+    df = spark.range(60_000, numPartitions=7).selectExpr("CASE WHEN id % 3 = 0 THEN id % 9 ELSE 100 + id % 20000 END AS key")
+    hot(3000)
+    want = sizes_of(sc.measure(df, ["key"]))
+    assert len(want[0]) == 3
+    assert sizes_of(sc.screen(df, ["key"], 8)) == sizes_of(sc.screen(df, ["key"], 64)) == sizes_of(sc.screen(df, ["key"])) == want
+
+
+def test_counting_takes_over_beyond_the_largest_sketch(spark, hot, monkeypatch):
+    df = table(spark, ["a", "b", "c"])
+    hot(50)
+    monkeypatch.setattr(sc, "MOST_TRACKED", 4)
+    assert sizes_of(sc.screen(df, ["key"], 4)) == sizes_of(sc.measure(df, ["key"]))
+
+
+def test_screening_shuffles_no_keys(spark, hot):
+    """A hundred thousand keys leave as one sketch a task."""
+    hot(1000)
+    df = spark.range(100_000, numPartitions=4).selectExpr("CASE WHEN id % 4 = 0 THEN -1 ELSE id END AS key")
+    found = sc.screen(df, ["key"])
+    assert sizes_of(found) == ([(-1,)], 25_000) and 75_001 <= found.groups < 100_000

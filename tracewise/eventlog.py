@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from tracewise.operators.scan import HotKeys, Running, Whole, mark_hot, measure, scan
+from tracewise.operators.scan import HotKeys, Running, Whole, mark_hot, scan, screen
 from tracewise.spec import LogSpec
 
 
@@ -31,7 +31,7 @@ class EventLog:
 
         ``counted`` is a cheaper table with the same events per case (before a join, say), if there is one.
         """
-        sizes = measure(df if counted is None else counted, [spec.case])
+        sizes = screen(df if counted is None else counted, [spec.case])
         return cls(mark_hot(df, sizes.hot), spec, sizes.hot, sizes.groups)
 
     def with_df(self, df: DataFrame) -> EventLog:

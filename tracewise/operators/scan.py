@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from tracewise.functions.columns import ascending, c, cs, null_safe_join
 from tracewise.session import hot_rows, keep
 
+TRACKED = 1 << 16  # keys that a sketch of frequent keys holds
+MOST_TRACKED = 1_000_000  # what Spark allows
+MERGERS = 256  # tasks that merge the sketches of all others, before a last one merges theirs
 
 @dataclass(frozen=True)
 class HotKeys:
@@ -101,20 +104,61 @@ def previous(name: str, value: Column) -> Running:
     return Running(name, "previous", value)
 
 
-def find_hot(df: DataFrame, keys: list[str]) -> HotKeys | None:
-    """Count rows per group (combined before the shuffle) and keep the oversized groups."""
-    return measure(df, keys).hot
-
-
 @dataclass(frozen=True)
 class Sizes:
-    """What one counting job tells about groups."""
+    """What one counting job tells about groups; with ``screen`` the last two are upper bounds."""
 
     hot: HotKeys | None
     longest: int
     groups: int
 
 
+def find_hot(df: DataFrame, keys: list[str]) -> HotKeys | None:
+    """Count rows per group (combined before the shuffle) and keep the oversized groups; for keys of few groups."""
+    return measure(df, keys).hot
+
+
+def screen(df: DataFrame, keys: list[str], tracked: int = TRACKED) -> Sizes:
+    """The same oversized groups as ``measure`` finds, without a shuffle of all keys.
+
+    Each task sends one sketch of its frequent keys (``tracked`` at most), the sketches are merged in two levels, and only
+    the few groups that may be oversized are counted, exactly. A sketch over N rows with room for m keys is off by less
+    than 2.625 N / m and names every key with more than twice that many rows (map of m / 0.75 entries, error of 3.5 / map),
+    so nothing oversized is missed while 5.25 N / m is within the limit. Where it isn't, a larger sketch is taken, and
+    beyond the largest that Spark offers all groups are counted. ``longest`` and ``groups`` are bounds from above; that of
+    ``groups`` holds to five standard errors.
+    """
+    if not keys:
+        return measure(df, keys)
+    spark, limit = df.sparkSession, hot_rows(df.sparkSession)
+    key = F.xxhash64(*cs(keys))
+    nothing = spark.range(1).select(F.lit(None).cast("long").alias("k"))  # sketches can't be merged where there is none
+    parts = (df.select(key.alias("k")).unionAll(nothing).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(MERGERS))).groupBy("part")
+             .agg(F.expr(f"approx_top_k_accumulate(k, {tracked})").alias("top"), F.count("k").alias("n"),
+                  F.hll_sketch_agg("k", 12).alias("distinct")))
+    found = (parts.agg(F.expr(f"approx_top_k_combine(top, {tracked})").alias("top"), F.sum("n").alias("n"), F.hll_union_agg("distinct").alias("distinct"))
+             .select("n", F.hll_sketch_estimate("distinct").alias("groups"), F.expr(f"approx_top_k_estimate(top, {tracked})").alias("top")).first())
+    rows = found["n"] or 0
+    if rows == 0:
+        return Sizes(None, 0, 0)
+    if 5.25 * rows > limit * tracked:
+        larger = math.ceil(5.25 * rows / limit)
+        return screen(df, keys, larger) if larger <= MOST_TRACKED else measure(df, keys)
+    groups = min(rows, math.ceil(found["groups"] * (1 + 5 * 1.04 / 64)))
+    top = [r for r in found["top"] if r["item"] is not None]
+    maybe = [(r["item"],) for r in top if r["count"] > limit]
+    longest = max([r["count"] for r in top], default=math.ceil(5.25 * rows / tracked))
+    if not maybe:
+        return Sizes(None, min(longest, rows), groups)
+    few = F.broadcast(spark.createDataFrame(maybe, "__key long"))  # groups of more than half the limit: 2 N / limit at most
+    sizes = df.select(*cs(keys), key.alias("__key")).join(few, "__key", "left_semi").groupBy(*cs(keys)).agg(F.count(F.lit(1)).alias("__rows"))
+    exact = sizes.where(F.col("__rows") > limit).collect()
+    if not exact:
+        return Sizes(None, min(longest, rows), groups)
+    hot = spark.createDataFrame(exact, sizes.schema)
+    return Sizes(HotKeys(tuple(keys), hot.drop("__rows"), sum(r["__rows"] for r in exact)), max(r["__rows"] for r in exact), groups)
+
+
 def measure(df: DataFrame, keys: list[str]) -> Sizes:
     """The oversized groups, the rows of the largest group, and the number of groups."""
     limit = hot_rows(df.sparkSession)

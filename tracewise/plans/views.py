@@ -17,7 +17,7 @@ from tracewise.functions.time import micros
 from tracewise.operators.clean import is_positive
 from tracewise.operators.label import label_predicate
 from tracewise.operators.prefix import PREFIX, prefixes
-from tracewise.operators.scan import mark_hot, measure, split_hot
+from tracewise.operators.scan import mark_hot, screen, split_hot
 from tracewise.session import hot_rows
 from tracewise.spec import LogSpec
 
@@ -60,7 +60,7 @@ def _joined(facts: DataFrame, dim: DataFrame, spec: LogSpec, columns: list[str])
     Cases are measured and marked before the join. Rows of oversized ones meet their few rows of ``dim`` by broadcast, so no
     task of the join gets a whole such case.
     """
-    sizes = measure(facts, [spec.case])
+    sizes = screen(facts, [spec.case])
     if sizes.hot is None:
         return EventLog(facts.join(dim, spec.case).select(*columns), spec, None, sizes.groups)
     usual, long = split_hot(mark_hot(facts, sizes.hot), sizes.hot)
