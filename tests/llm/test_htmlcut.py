@@ -67,6 +67,40 @@ def test_tags_that_may_be_left_out_or_were_forgotten():
         assert text(f"<body><article><p>{BODY}</p><{tag}><p>{BODY} Two.</p><{tag}>no such words</{tag}></article>") == want, tag
 
 
+STORY = f"<p>{BODY}</p><p>{BODY}</p><p>{BODY}</p>"
+THRICE = f"{BODY} {BODY} {BODY}"
+
+
+def test_names_of_states_are_not_names_of_parts():
+    for names in ("content-area has-sidebar", "post no-comments", "entry with-sidebar", "content is-sponsored", "story without-header"):
+        assert text(f'<body><div class="{names}">{STORY}</div></body>') == THRICE, names
+    for names in ("cookie-notice", "site-sidebar", "post-comments", "nav has-content"):
+        assert text(f'<body><article>{STORY}<div class="{names}"><p>{BODY}</p></div></article>') == THRICE, names
+
+
+def test_what_is_hidden():
+    shown = 'style="overflow:hidden"', 'class="hidden-print"', 'data-x="hidden"', 'aria-hidden="false"', "title='not hidden here'", 'style="float:none"'
+    hidden = "hidden", 'hidden=""', 'style="display: none"', "style='color:red;display:none'", 'aria-hidden="true"', 'class="a hidden"', 'style="visibility:hidden"'
+    for attrs in shown:
+        assert text(f"<article><div {attrs}>{STORY}</div></article>") == THRICE, attrs
+        assert text(f"<article><p>One <span {attrs}>two</span> three. {BODY}</p></article>") == f"One two three. {BODY}", attrs
+    for attrs in hidden:
+        assert text(f"<article>{STORY}<div {attrs}><p>{BODY}</p></div></article>") == THRICE, attrs
+        assert text(f"<article><p>One <span {attrs}>two <span>x</span> y</span>three. {BODY}</p></article>") == f"One three. {BODY}", attrs
+        # an element that is never closed hides nothing, one that a block cuts short hides up to the block
+        assert text(f"<article><p>One <i {attrs}>two. {BODY}</p></article>") == f"One two. {BODY}", attrs
+        assert text(f"<article><p>{BODY} <b {attrs}>two</p><p>{BODY}</b></p></article>") == f"{BODY} {BODY}", attrs
+
+
+def test_a_form_around_the_page():
+    for inner in (f"<article>{STORY}</article>", f'<div class="content">{STORY}</div>', STORY):
+        for end in ("</form>", ""):
+            assert text(f"<body><form id=aspnetForm method=post><nav><a href=/>Home</a></nav>{inner}{end}</body>") == THRICE, (inner, end)
+    small = "<form><p>Write your name here, please.</p></form>"
+    assert text(f"<body><article>{STORY}{small}</article></body>") == THRICE
+    assert len(text("<form>" * 20_000 + STORY)) == len(THRICE)
+
+
 def test_markup_in_scripts_is_text():
     minified = "for(i=0;i<n;i++)f()", "if(a<b)x='", "<!-- a", "s='</p></article><article><p>no'", "a<b&&c>d", "if(a<b){s=\"it's\"}"
     for code in minified:

@@ -53,6 +53,10 @@ ATTR = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 # elements that hold no element of their own kind: one that opens before the last was closed shows that the last never will be
 _LONE = frozenset("select button noscript iframe title textarea audio video canvas template".split())
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_STATES = frozenset("has no not with without is".split())  # a class "has-sidebar" tells of another part, not of its own
+_QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+_BARE_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)")
+_FORM_END = re.compile(r"</form(?=[\s/>])", re.I)
 
 
 class Block:
@@ -62,10 +66,27 @@ class Block:
         self.text, self.linked, self.tag, self.cue, self.path = text, linked, tag, cue, path
 
 
-def cue_of(tag: str, attrs: str, above: tuple[int, bool, bool]) -> tuple[int, bool, bool]:
+def is_hidden(attrs: str) -> bool:
+    """Whether an element isn't shown: by its ``hidden`` attribute, its style, or a class of that very name."""
+    low = attrs.lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    if _BARE_HIDDEN.search(_QUOTED.sub("", low)):
+        return True
+    for m in ATTR.finditer(low):
+        value = m[2] or m[3] or m[4] or ""
+        if (m[1] == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or m[1] == "aria-hidden" and value.strip() == "true"
+                or m[1] == "class" and "hidden" in value.split()):
+            return True
+    return False
+
+
+def cue_of(tag: str, attrs: str, above: tuple[int, bool, bool], wide: bool = False) -> tuple[int, bool, bool]:
     """(cue, shut, within): what the names of an element and its ancestors say (-1, 0, 1), whether a tag has shut the part out
-    for good, and whether it lies within an article."""
+    for good, and whether it lies within an article. A form that is ``wide`` holds most of the page and says nothing by its tag."""
     cue, shut, within = above
+    if wide:
+        return (-1 if shut else cue), shut, within
     if tag in BAD_TAGS or tag == "header" and not within:
         return -1, True, within
     if tag in GOOD_TAGS:
@@ -75,12 +96,14 @@ def cue_of(tag: str, attrs: str, above: tuple[int, bool, bool]) -> tuple[int, bo
         if "class" in low or "id" in low or "role" in low:
             for m in ATTR.finditer(attrs):
                 if m[1].lower() in ("class", "id", "role", "itemprop"):
-                    names += re.split(r"[^a-z0-9]+", _CAMEL.sub(" ", m[2] or m[3] or m[4] or "").lower())
+                    for name in (m[2] or m[3] or m[4] or "").split():
+                        parts = re.split(r"[^a-z0-9]+", _CAMEL.sub(" ", name).lower())
+                        names += parts if parts[0] not in _STATES else []
         if not BAD_WORDS.isdisjoint(names) and tag not in ("body", "html"):
             cue = -1
         elif not GOOD_WORDS.isdisjoint(names) and tag not in ("body", "html") and cue >= 0:
             cue = 1
-        if re.search(r"\bhidden\b|display\s*:\s*none", low) and tag not in ("body", "html"):
+        if tag not in ("body", "html") and is_hidden(attrs):
             return -1, True, within
     return (-1 if shut else cue), shut, within
 
@@ -107,7 +130,8 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[int, bool, bool], int]] = [("", (0, False, False), 0)]
     parts: list[str] = []
     linked = links = serial = 0
-    skip = ""
+    skip = mute = ""
+    muted = form_end = 0
     never: set[str] = set()  # kinds of elements that are not closed in the rest of the page
 
     def is_closed(tag: str, at: int) -> bool:
@@ -145,7 +169,13 @@ def blocks_of(page: str) -> list[Block]:
             elif skip in ("script", "style", "svg", "noscript") or not tag:
                 continue
             continue
+        if mute and tag and (tag.lower() == mute or tag.lower() in BLOCKS):
+            # a hidden inline element ends with its closing tag, or where a block begins or ends
+            muted = 0 if tag.lower() != mute else muted - 1 if m["close"] else muted + 1
+            mute = mute if muted else ""
         if text is not None:
+            if mute:
+                continue
             parts.append(text)
             if links:
                 linked += len(text)
@@ -174,6 +204,8 @@ def blocks_of(page: str) -> list[Block]:
                     flush()
                 continue
             flush()
+            if tag == "form" and any(x[0] == "form" for x in stack):
+                continue  # forms don't nest: the tag of an inner one has no effect
             if tag in _CLOSES_P and stack[-1][0] == "p":
                 stack.pop()
             if tag in _SAME:
@@ -184,9 +216,13 @@ def blocks_of(page: str) -> list[Block]:
                         del stack[i:]
                         break
             serial += 1
-            stack.append((tag, cue_of(tag, m["attrs"], stack[-1][1]), serial))
-        elif m["attrs"] and not closes and re.search(r"\bhidden\b|display\s*:\s*none", m["attrs"]):
-            continue
+            if tag == "form" and form_end <= m.end():
+                closing = _FORM_END.search(page, m.end())
+                form_end = closing.start() if closing else len(page)
+            wide = tag == "form" and 2 * (form_end - m.end()) > len(page)
+            stack.append((tag, cue_of(tag, m["attrs"], stack[-1][1], wide), serial))
+        elif not mute and m["attrs"] and not closes and is_hidden(m["attrs"]) and is_closed(tag, m.end()):
+            mute, muted = tag, 1
     flush()
     return out
 
