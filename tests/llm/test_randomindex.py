@@ -54,3 +54,24 @@ def test_sample_of_repeated_ids_does_not_depend_on_partitions(spark):
     assert found[0] == found[1] == found[2] == []
     once = docs.where("text in ('text 1', 'text 2') or doc_id > 50 or text = 'text 39'")
     assert [r.doc_id for r in sample(once, labels, "quality", 30).orderBy("doc_id").collect()] == [1, 2, 39]
+
+
+def test_two_dimensions_in_a_double_add_up_as_one(monkeypatch):
+    """Packed sums, negative ones too, are those of single dimensions, and one count of buckets serves two of them."""
+    rng = np.random.default_rng(3)
+    size = np.array([0, 50_000, 1, 0, 30_000])
+    word, kind = rng.integers(0, 9, size.sum()), rng.integers(R.WORDS, R.WORDS + 3, size.sum())
+    found, counts, plain = [], [], np.bincount
+
+    def counted(*args):
+        counts[-1] += 1
+        return plain(*args)
+
+    monkeypatch.setattr(R.np, "bincount", counted)
+    for most in (R.PACKED_WORDS, 0):
+        monkeypatch.setattr(R, "PACKED_WORDS", most)
+        counts.append(0)
+        found.append(np.zeros((R.WORDS + R.FORMS, R.DIMS)))
+        R.add_contexts(word, kind, size, R.index_vectors(), found[-1])
+    assert np.array_equal(*found) and (found[0] < 0).any() and (found[0] > 0).any()
+    assert counts == [R.DIMS, 2 * R.DIMS]

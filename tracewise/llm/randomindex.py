@@ -28,13 +28,16 @@ NEAR = 2
 PER_CLASS = 4000
 BLOCK = 1 << 17
 THRESHOLD = 0.3
-_CAPS, _SMALL, _DIGITS, _TWICE = (re.compile(p) for p in (rb"[A-Z]+", rb"[a-z\x80-\xff]+", rb"[0-9]+", rb"(.)\1+"))
+PACK = 1 << 26  # two sums of whole numbers share a double: the second is this many times as heavy
+PACKED_WORDS = 1 << 21  # a word adds less than 16 to a sum, so neither reaches into the other up to here
+_TWICE = re.compile(rb"(.)\1+")
+_KINDS = bytes(ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else ord("9") if 48 <= b <= 57 else b for b in range(256))
 _AGAIN = WORDS  # the form of a word that repeats the one before
 
 
 def form(word: bytes) -> bytes:
     """Its letters, digits and marks as kinds: ``The,`` is ``Aa,`` and ``of%%%`` is ``a%``."""
-    return _TWICE.sub(rb"\1", _DIGITS.sub(b"9", _SMALL.sub(b"a", _CAPS.sub(b"A", word))))[:12]
+    return _TWICE.sub(rb"\1", word.translate(_KINDS))[:12]
 
 
 class Buckets(dict):
@@ -78,18 +81,25 @@ def blocks(texts: list[bytes], memo: Buckets) -> Iterator[tuple[int, np.ndarray,
 
 
 def add_contexts(word: np.ndarray, kind: np.ndarray, size: np.ndarray, index: np.ndarray, sums: np.ndarray) -> None:
-    """Add the index vectors near each word to the sums of its two buckets."""
+    """Add the index vectors near each word to the sums of its two buckets; two dimensions at a time, as whole numbers in one double."""
     gap = np.repeat(np.arange(len(size)) * NEAR, size) + np.arange(len(word)) + NEAR
-    room = len(word) + NEAR * (len(size) + 1)
-    w, k = np.full(room, len(index) - 1), np.full(room, len(index) - 1)
+    room, none = len(word) + NEAR * (len(size) + 1), len(index) - 1
+    w, k = np.full(room, none), np.full(room, none)
     w[gap], k[gap] = word, kind
-    own = index[w] + index[k]
-    near = np.zeros((len(word), DIMS), np.float32)
-    for step in range(1, NEAR + 1):
-        near += own[gap - step] + own[gap + step]
-    for d in range(DIMS):
-        column = near[:, d]
-        sums[:, d] += np.bincount(word, column, len(sums)) + np.bincount(kind, column, len(sums))
+    near = np.zeros(room)
+    step = 2 if len(word) < PACKED_WORDS else 1
+    for d in range(0, DIMS, step):
+        both = index[:, d].astype(np.float64)
+        if step == 2:
+            both += PACK * index[:, d + 1].astype(np.float64)
+        own = both[w] + both[k]
+        near[NEAR:-NEAR] = sum(own[NEAR + at:room - NEAR + at] for at in range(-NEAR, NEAR + 1) if at)
+        found = (np.bincount(w, near, none + 1) + np.bincount(k, near, none + 1))[:none]
+        if step == 2:
+            second = np.rint(found / PACK)
+            sums[:, d + 1] += second
+            found -= PACK * second
+        sums[:, d] += found
 
 
 def context_vectors(docs: DataFrame) -> np.ndarray:
@@ -121,15 +131,19 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
 def pooled(texts: list[bytes], vectors: np.ndarray, memo: Buckets) -> np.ndarray:
     """(texts, 3 * DIMS + 1): mean and spread over words, mean over forms, and the length; zeros without words."""
     out = np.zeros((len(texts), 3 * DIMS + 1), np.float32)
+    columns = np.ascontiguousarray(vectors.T)  # sums run along a dimension, so its numbers lie side by side
     for first, word, kind, size in blocks(texts, memo):
         some = np.flatnonzero(size)
         if not len(some):
             continue
         at, n = (np.cumsum(size) - size)[some], size[some, None]
-        v = vectors[word]
-        mean = np.add.reduceat(v, at, axis=0) / n
-        spread = np.sqrt(np.maximum(np.add.reduceat(v * v, at, axis=0) / n - mean * mean, 0))
-        forms = np.add.reduceat(vectors[kind], at, axis=0) / n
+        summed = np.empty((3, DIMS, len(some)), np.float32)
+        for d, column in enumerate(columns):
+            v = column[word]
+            summed[0, d], summed[1, d] = np.add.reduceat(v, at), np.add.reduceat(v * v, at)
+            summed[2, d] = np.add.reduceat(column[kind], at)
+        mean, squares, forms = (x.T / n for x in summed)
+        spread = np.sqrt(np.maximum(squares - mean * mean, 0))
         out[first + some] = np.hstack((mean, spread, forms, np.log1p(n) / 5))
     return out
 
