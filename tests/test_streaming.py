@@ -163,3 +163,36 @@ def test_fold_equals_whole_cases(spark, make_log, hot):
     log = make_log(rows)
     assert log.hot is not None and folded(log) == want
     assert folded(log.with_df(log.df.limit(0))) == []
+
+
+def test_cases_share_batches(spark, make_log, capsys):
+    """Cases over the borders of batches, null cases, whole numbers with nulls in other cases, null times last; no call into Python for each case."""
+    import pandas as pd
+
+    from tracewise.operators.custom import per_case
+
+    big = 2**60 + 1
+    rows = [(None if k == 3 else f"c{k}", i, "xyz"[i % 3], None if k == 2 and i == 1 else big + i, None if k == 1 else i % 2 == 0) for k in range(9) for i in range(k + 1)]
+    log = make_log(rows[::-1], extra="n long, even boolean")
+    log = log.with_df(log.df.withColumn("ts", F.when(F.col("activity") != "x", F.col("ts"))))
+
+    def fn(events):
+        own = events["case_id"].iloc[0]
+        return pd.DataFrame({"k": [len(events)], "v": ["".join(events["activity"])], "case_id": [None if pd.isna(own) else own],
+                             "seen": [f"{events['n'].dtype} {events['n'].iloc[0]} {list(events['even'])[0]} {list(events.index) == list(range(len(events)))}"]})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        out = per_case(log, fn, "case_id string, v string, k long, seen string")
+        got = {r.case_id: r for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got, key=str) == sorted((None if k == 3 else f"c{k}" for k in range(9)), key=str)
+    for k in range(9):
+        r = got[None if k == 3 else f"c{k}"]
+        acts = ["xyz"[i % 3] for i in range(k + 1)]
+        assert r.k == k + 1 and r.v == "".join([x for x in acts if x != "x"] + [x for x in acts if x == "x"])
+        assert r.seen.startswith("float64" if k == 2 else "int64") and r.seen.endswith("True")
+    assert got["c8"].seen == f"int64 {big + 1} False True" and " None " in got["c1"].seen
+    out.explain()
+    assert "GroupsInPandas" not in capsys.readouterr().out

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, IntegralType, StructType
 
 from tracewise.eventlog import EventLog
 from tracewise.functions.columns import ascending, c, cs
@@ -24,15 +24,55 @@ CHUNK_ROWS = 10_000
 def per_case(log: EventLog, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Call ``fn`` with the ordered events of each case.
 
+    Spark brings cases together and sorts them; a batch of many cases becomes one table, of which each call gets a slice.
     A function of a whole case gets it as one table, so the longest case has to fit into a task's memory; where it may
     not, use ``fold_cases``, cut cases with ``prefixes(log, max_length)`` first, or express the function by running columns.
     """
-    order = list(log.spec.time_order)
-
-    def ordered(events: pd.DataFrame) -> pd.DataFrame:
-        return fn(events.sort_values(order, kind="mergesort"))
-
-    return log.df.groupBy(c(log.spec.case)).applyInPandas(ordered, schema)
+    df, case = log.df, log.spec.case
+    names, made = df.columns, StructType.fromDDL(schema)
+    fields = made.fieldNames()
+    # a null elsewhere in the batch would make a case's whole numbers floats: they come without nulls, and a mark tells where these were
+    marks = {n: f"__null{i}" for i, n in enumerate(names) if isinstance(df.schema[n].dataType, (IntegralType, BooleanType))}
+    stream = df.repartition(c(case)).sortWithinPartitions(c(case), *[c(n).asc_nulls_last() for n in log.spec.time_order])
+    filled = [F.coalesce(c(n), F.lit(0).cast(df.schema[n].dataType)).alias(n) if n in marks else c(n) for n in names]
+    rows = stream.select(*filled, *[c(n).isNull().alias(mark) for n, mark in marks.items()])
+
+    def called(events: pd.DataFrame) -> pd.DataFrame:
+        own = events[names].reset_index(drop=True)
+        for n, mark in marks.items():
+            absent = events[mark].to_numpy()
+            if absent.any():
+                own[n] = own[n].astype(object).where(~absent, None) if own[n].dtype == bool else own[n].astype(float).mask(absent)
+        return fn(own)
+
+    def joined(results: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        results = [r for r in results if len(r.columns)]
+        if results:
+            out = pd.concat(results, ignore_index=True)
+            if len(out.columns) != len(fields):
+                raise ValueError(f"columns {list(out.columns)} for {fields}")
+            yield out[fields] if any(isinstance(n, str) for n in out.columns) else out.set_axis(fields, axis=1)
+
+    def cases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the case that may go on in the next batch
+        key = None
+        for b in batches:
+            if not len(b):
+                continue
+            known = b[case].where(~b[marks[case]], None).tolist() if case in marks else b[case].where(b[case].notna(), None).tolist()
+            starts = [0, *(i for i in range(1, len(known)) if known[i] != known[i - 1])]
+            done = []
+            for start, end in zip(starts, [*starts[1:], len(known)], strict=True):
+                if held and known[start] != key:
+                    done.append(called(pd.concat(held) if len(held) > 1 else held[0]))
+                    held = []
+                held.append(b.iloc[start:end])
+                key = known[start]
+            yield from joined(done)
+        if held:
+            yield from joined([called(pd.concat(held) if len(held) > 1 else held[0])])
+
+    return rows.mapInPandas(cases, made)
 
 
 def fold_cases(log: EventLog, start: Callable[[], Any], step: Callable[[Any, pd.DataFrame], Any], finish: Callable[[Any, Any], Iterable[tuple]], schema: str,
