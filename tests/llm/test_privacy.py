@@ -132,3 +132,18 @@ def test_no_python_in_the_plan(spark, name, capsys):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     getattr(P, name)(docs).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+def test_learns_on_all_documents(spark, monkeypatch):
+    """Each decided proposal counts, however many documents there are; equal ones are one row."""
+    docs = spark.range(30_000).select("id", F.when(F.col("id") % 2 == 0, F.lit("call 1 (555) 555-1000 now")).otherwise("order 20777777 of lot").alias("text"))
+    docs, seen, plain = docs.withColumnRenamed("id", "doc_id"), [], P.keep
+
+    def kept(rows, name):
+        table = plain(rows, name)
+        seen.extend(table.collect())
+        return table
+
+    monkeypatch.setattr(P, "keep", kept)
+    judge = P.learn(docs)
+    assert sum(r.n for r in seen) == 30_000 and len(seen) == 4 and judge.described

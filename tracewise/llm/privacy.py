@@ -4,8 +4,8 @@ The *base* rules find e-mail addresses, IP addresses, card numbers and telephone
 they find always stays. Beside them, looser generators propose every span that could be one of the four: addresses spelled
 out ("name at host dot org"), numbers of seven to nineteen digits with any marks between, groups of hexadecimal digits with
 colons. Proposals may overlap. Boosted trees judge them by their format (digits, groups, marks, length) and context (the
-characters next to them, the words before), without the checks of the base rules. They learn on the proposals of a sample
-of documents, of ``sample_rows`` expected, that can be decided: those that overlap a base span are positives, the others
+characters next to them, the words before), without the checks of the base rules. They learn on the proposals of all
+documents that can be decided, counted by their features: those that overlap a base span are positives, the others
 are decided by checks of their own (``decided``), as what the trees could add is by its nature none of the base. What no check
 decides is in neither the fit nor the threshold. The threshold of a kind is the lowest at which nine tenths of its accepted
 proposals of held-out documents are positives. The fitted trees are turned into a column expression, so that scoring is
@@ -26,7 +26,6 @@ from tracewise.session import forget, keep
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
-SAMPLE_ROWS = 20_000
 TREES, DEPTH, LEAF = 12, 3, 10
 PRECISION = 0.9
 CONTEXT = 24
@@ -209,27 +208,26 @@ def lowest(bins: list[tuple[float, float, int]]) -> float:
     return least
 
 
-def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Judge:
-    """Fit on the proposals of about ``sample_rows`` documents, chosen by a hash of id and text."""
-    n = docs.count()
-    if not n:
-        return Judge()
-    some = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, sample_rows / n) * (1 << 30))))
-    named = some.select(text_key("doc_id", "text").alias("row"), _plain(F.col("text")).alias("text"))
+def learn(docs: DataFrame) -> Judge:
+    """Fit on the proposals of all documents. Equal ones are counted, and a row of the fit weighs as many as it stands for."""
+    named = docs.where(F.col("text").isNotNull()).select(text_key("doc_id", "text").alias("row"), _plain(F.col("text")).alias("text"))
     named = named.withColumn("base", base_spans(F.col("text"))).withColumn("c", F.explode(proposals(F.col("text"))))
     y = F.when(_overlaps(F.col("base"), F.col("c")), 1.0).otherwise(decided(F.col("c")))
-    rows = named.select("row", y.alias("y"), F.col("c.start").alias("start"), F.col("c.kind").alias("kind"),
+    rows = named.select((F.col("row") % 5 == 0).alias("held"), y.alias("y"), F.col("c.kind").alias("kind"),
                         *(v.alias(k) for k, v in _features(F.col("c"), F.col("text")).items())).where("y is not null")
-    rows = keep(rows, "proposals")
+    rows = keep(rows.groupBy("held", "y", "kind", *FEATURES).agg(F.count("*").cast("double").alias("n")), "proposals")
     try:
-        fit, held = rows.where("row % 5 != 0"), rows.where("row % 5 = 0")
-        kinds = [r.y for r in fit.select("y").distinct().collect()]
+        fit, held = rows.where("not held"), rows.where("held")
+        kinds = {r.y: r.n for r in fit.groupBy("y").agg(F.sum("n").alias("n")).collect()}
         if len(kinds) < 2:
             return Judge()
-        vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(fit.orderBy("row", "start", "kind"))
-        model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF, seed=7).fit(vectors)
+        total = sum(kinds.values())
+        vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(fit.orderBy("y", "kind", *FEATURES))
+        # a leaf has LEAF proposals at least, however few rows they are
+        model = GBTClassifier(featuresCol="x", labelCol="y", weightCol="n", maxIter=TREES, maxDepth=DEPTH if total >= 2 * LEAF else 0, minInstancesPerNode=1,
+                              minWeightFractionPerNode=min(0.4999, (LEAF - 0.5) / total), seed=7).fit(vectors)
         score = tree_expression(model.toDebugString, lambda i: F.col(FEATURES[i]))
-        bins = held.select("kind", (F.floor(score * 50) / 50).alias("s"), "y").groupBy("kind", "s").agg(F.sum("y").alias("good"), F.count("*").alias("all"))
+        bins = held.select("kind", (F.floor(score * 50) / 50).alias("s"), "y", "n").groupBy("kind", "s").agg(F.sum(F.col("y") * F.col("n")).alias("good"), F.sum("n").alias("all"))
         bins = [(r.kind, r.s, r.good, r["all"]) for r in bins.collect()]  # some hundred
         least = {k: lowest([x[1:] for x in bins if x[0] == k]) for k in range(len(KINDS))}
         # a kind of which no positive was held out is judged by the threshold of all
@@ -251,14 +249,14 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def personal_data(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row of ``docs`` (doc_id, text, any more columns).
 
     Counts and hash are of the base spans, ``spans`` has all. A null text is empty and has none. Each row is read by itself, so
-    repeated rows get equal results, and an empty table gives no rows. Where the sample shows only positives or only negatives, no
+    repeated rows get equal results, and an empty table gives no rows. Where documents show only positives or only negatives, no
     trees are fitted and what the checks call personal data is added.
     """
-    judge = learn(docs, sample_rows)
+    judge = learn(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _plain(F.col("text")).alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("all", all_spans(F.col("base"), F.col("text"), judge))
     def count(kind: int) -> Column:
@@ -268,12 +266,12 @@ def personal_data(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("all")).alias("spans"))
 
 
-def redacted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind, as in ``[EMAIL]``, and ``n_chars``, if there, counted anew.
 
     Of spans that overlap, the first names the kind and all are covered. A null text stays null.
     """
-    judge = learn(docs, sample_rows)
+    judge = learn(docs)
     text, names = F.col("text"), F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     spans = all_spans(base_spans(_plain(text)), _plain(text), judge)
 
