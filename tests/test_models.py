@@ -221,3 +221,18 @@ def test_svm_by_landmarks_separates_rings(spark):
     model = GuardedClassifier("svm", {"C": 4, "gamma": 0, "landmarks": 60}).fit(df)
     scored = model.score(df).collect()
     assert isinstance(model.kernel, NystroemFeatures) and all((r.predicted > 0) == (r.y == 1) for r in scored)
+
+
+def test_standardized_sequences_and_the_claim_of_rows_sequence(spark):
+    """Deviations from the mean of the training rows, for any rows, only where wanted; the query says again whether scores beat chance."""
+    from pyspark.ml.linalg import Vectors
+
+    from tracewise.operators.train import _standard
+    from tracewise.plans.catalog import ORACLES
+
+    rows = spark.createDataFrame([(Vectors.dense([x, 7.0]), i) for i, x in enumerate((100.0, 200.0, 300.0))], ["features", "y"])
+    scaled = _standard(rows, True)
+    assert [list(r.features) for r in scaled(rows).orderBy("y").collect()] == [[-1.0, 0.0], [0.0, 0.0], [1.0, 0.0]]
+    assert list(scaled(spark.createDataFrame([(Vectors.dense([400.0, 7.0]),)], ["features"])).first().features) == [2.0, 0.0]
+    assert _standard(rows, False)(rows) is rows and _standard(rows.limit(0), True)(rows) is rows
+    assert "true AS better" in ORACLES["rows_sequence"]
