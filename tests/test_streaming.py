@@ -196,3 +196,27 @@ def test_cases_share_batches(spark, make_log, capsys):
     assert got["c8"].seen == f"int64 {big + 1} False True" and " None " in got["c1"].seen
     out.explain()
     assert "GroupsInPandas" not in capsys.readouterr().out
+
+
+def test_triggers_do_not_grow_with_files(spark, tmp_path):
+    """Events in many files are read in a handful of triggers, and every event is answered."""
+    import glob
+    import os
+
+    from conftest import DATA
+
+    from tracewise.plans.catalog import QUERIES
+    from tracewise.session import ensure_checkpoint_dir
+
+    spark.read.parquet(f"{DATA}/events.parquet").limit(300).repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "134217728")  # a task for each file
+    try:
+        out = QUERIES["running_features_stream"](spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    last = max(glob.glob(f"{base}/features-*"), key=os.path.getmtime)
+    arrived = max(glob.glob(f"{base}/arriving-*"), key=os.path.getmtime)
+    files, triggers = len(glob.glob(f"{arrived}/*.parquet")), len([f for f in os.listdir(f"{last}/progress/commits") if f.isdigit()])
+    assert files >= 12 and triggers <= 8, (files, triggers)
+    assert out.count() == out.select("event_id").distinct().count() == 300
