@@ -98,3 +98,31 @@ def test_models_see_the_same(spark, make_log):
         scored.append(sorted((r.case_id, r.nr_events, r.predicted, r.actual) for r in fit_predict_encoded(data, "dt", {"max_depth": 3}).collect()))
         data.release()
     assert scored[0] == scored[1] and {x[2] for x in scored[0]} == {0.0, 1.0}
+
+
+def test_large_index_leaves_no_task_all_rows_of_a_number(spark, make_log, monkeypatch):
+    """An index too large for a broadcast: levels and numbers are found, and rows of one number are dealt to many tasks."""
+    from tracewise.operators import sparse as S
+
+    rows = [(f"c{k}", i, "ab"[i % 2], f"r{(7 * k + i) % 20}", 1.0 + i) for k in range(30) for i in range(3)]
+    log = prefixes(make_log(rows, extra="r string, x double"))
+    encoder = E.encoder("last", cat=["r"], num=["x"])
+    want = sorted((f"c{k}", i + 1, *x) for k in range(30) for i in range(3) for x in ((f"r_r{(7 * k + i) % 20}", 1.0), ("x", 1.0 + i)))
+    monkeypatch.setattr(S, "BROADCAST_LEVELS", 10)
+    monkeypatch.setattr(S, "TASK_EVENTS", 15, raising=False)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = SparseEncoding(encoder).fit(log).long(log).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted((r.case_id, r[PREFIX], r["name"], r.value) for r in got) == want
+    number = [r.part for r in got if r["name"] == "x"]
+    assert len(number) == 90 and max(map(number.count, set(number))) < 60
+
+
+def test_windows_do_not_grow_with_encoders(spark, make_log):
+    log = prefixes(make_log([("a", 0, "x"), ("a", 1, "y")]))
+    def windows(names):
+        plan = SparseEncoding([E.encoder(n, cat=["activity"]) for n in names]).changes(log)._jdf.queryExecution().optimizedPlan().toString()
+        return sum("Window [" in line for line in plan.splitlines())
+    assert windows(["last", "previous", "static", "last"]) <= windows(["last", "previous"])
