@@ -236,3 +236,23 @@ def test_standardized_sequences_and_the_claim_of_rows_sequence(spark):
     assert list(scaled(spark.createDataFrame([(Vectors.dense([400.0, 7.0]),)], ["features"])).first().features) == [2.0, 0.0]
     assert _standard(rows, False)(rows) is rows and _standard(rows.limit(0), True)(rows) is rows
     assert "true AS better" in ORACLES["rows_sequence"]
+
+
+def test_deep_trees_see_few_partitions(spark, monkeypatch):
+    """Each partition adds up statistics of all nodes of a level, so a deep tree is not fitted on many small partitions."""
+    from pyspark.ml.functions import array_to_vector
+    from tracewise.operators import models
+
+    rows = spark.range(400).select((F.col("id") % 2).cast("int").alias("y"), array_to_vector(F.array(F.col("id").cast("double"))).alias("features")).repartition(40)
+    seen = []
+
+    class Fake:
+        def fit(self, train):
+            seen.append((train.rdd.getNumPartitions(), train.count()))
+
+    monkeypatch.setattr(models, "estimator", lambda *a: Fake())
+    for least, params in ((1000, {}), (100, {}), (100, {"max_depth": 5})):
+        monkeypatch.setattr(models, "TREE_ROWS", least, raising=False)
+        models.GuardedClassifier("dt", params, min_cases=1).fit(rows)
+    cores = spark.sparkContext.defaultParallelism
+    assert seen == [(40, 400), (max(4, cores), 400), (40, 400)]
