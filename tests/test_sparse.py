@@ -111,10 +111,12 @@ def test_large_index_leaves_no_task_all_rows_of_a_number(spark, make_log, monkey
     monkeypatch.setattr(S, "BROADCAST_LEVELS", 10)
     monkeypatch.setattr(S, "TASK_EVENTS", 15, raising=False)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as it is with a large index
     try:
         got = SparseEncoding(encoder).fit(log).long(log).withColumn("part", F.spark_partition_id()).collect()
     finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted((r.case_id, r[PREFIX], r["name"], r.value) for r in got) == want
     number = [r.part for r in got if r["name"] == "x"]
     assert len(number) == 90 and max(map(number.count, set(number))) < 60
