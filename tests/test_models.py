@@ -256,3 +256,22 @@ def test_deep_trees_see_few_partitions(spark, monkeypatch):
         models.GuardedClassifier("dt", params, min_cases=1).fit(rows)
     cores = spark.sparkContext.defaultParallelism
     assert seen == [(40, 400), (max(4, cores), 400), (40, 400)]
+
+
+def test_sides_come_from_a_written_log(make_log, monkeypatch):
+    """Final models and tuning make the log once: borders, levels and prefixes read a table."""
+    from tracewise.plans import experiment
+
+    class Seen(Exception):
+        pass
+
+    def seen(log, *_):
+        raise Seen(log)
+
+    monkeypatch.setattr(experiment, "splits", seen)
+    log = make_log([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "x")])
+    for run in (lambda: experiment.final_predictions(log, "single_agg", "logit", {"C": 1}), lambda: experiment.tuning_predictions(log, "single_agg", "logit", ["1"])):
+        with pytest.raises(Seen) as found:
+            run()
+        written = found.value.args[0]
+        assert written.df.inputFiles() and written.df.count() == 3 and written.spec == log.spec
