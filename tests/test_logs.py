@@ -233,3 +233,25 @@ def test_unknown_names_raise():
     for call in (lambda: E.encoder("odd"), lambda: E.encoding("odd", None), lambda: bucketer("odd", None), lambda: spec("odd")):
         with pytest.raises(KeyError):
             call()
+
+
+def test_index_looks_up_a_position_once_a_row(make_log):
+    """No map is searched for each attribute and level, and a wide vector's code stays out of whole stages, where it would not be compiled."""
+    rows = [("a", n, "xyz"[n % 3], n / 2) for n in range(24)] + [("b", n, "x", 1.0) for n in range(3)]
+    log = prefixes(make_log(rows, "v double"))
+    enc = E.encoder("index", cat=["activity"], num=["v"]).fit(log)
+    df = E.assemble(enc.transform(log), enc.columns)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" not in plan and "element_at" not in plan
+    assert len(enc.columns) > E.WIDE and "lambda" in plan.split("AS features")[0]
+    last = df.where("case_id = 'b'").orderBy(F.desc("prefix_nr")).first()["features"].toArray()
+    assert dict(zip(enc.columns, last)) == {n: float(n in ("v_0", "v_1", "v_2", "activity_0_x", "activity_1_x", "activity_2_x")) for n in enc.columns}
+
+
+def test_index_of_a_log_with_gaps(make_log):
+    """Positions that a log lacks give zeros at their own places."""
+    log = prefixes(make_log([("a", n, "x", 1.0 + n) for n in range(6)], "v double"))
+    gaps = log.with_df(log.df.where("prefix_nr NOT IN (1, 4)"))
+    got = E.encoder("index", num=["v"], max_events=5).fit_transform(gaps).orderBy("prefix_nr").collect()
+    assert [[r[f"v_{i}"] for i in range(5)] for r in got] == [
+        [0, 2, 0, 0, 0], [0, 2, 3, 0, 0], [0, 2, 3, 0, 5], [0, 2, 3, 0, 5]]
