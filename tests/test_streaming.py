@@ -6,7 +6,7 @@ from tracewise.operators import encode as E
 from tracewise.operators import stability as S
 from tracewise.operators import timefeat
 from tracewise.operators.prefix import PREFIX, prefixes
-from tracewise.streaming.running import Smoother, closing_row, running_features_stream, smooth_stream
+from tracewise.streaming.running import HELD, Smoother, closing_row, running_features_stream, smooth_stream
 
 
 def drain(stream, name, tmp_path):
@@ -91,6 +91,37 @@ def test_a_trigger_touches_what_it_brings(spark):
     assert asked[0] == asked[1]
 
 
+def smoother():
+    one = Smoother(1.0, ["case_id"], "predicted", None)
+    one.known, one.waiting = FakeState(), FakeState()
+    return one
+
+
+def brought(one, *pairs):
+    from pyspark.sql import Row
+
+    return [(r.nr_events, r.predicted) for r in one.handleInputRows(("c",), iter([Row(nr_events=n, predicted=p) for n, p in pairs]), None)]
+
+
+def test_a_few_waiting_scores_come_with_the_value(spark):
+    """Twenty scores that wait, and go, cost two questions a trigger, not some for each score."""
+    one = smoother()
+    assert brought(one, *[(n, n / 100) for n in range(2, 22)]) == []
+    assert brought(one, (1, 0.01), (3, 0.9)) == [(n, n / 100) for n in range(1, 22)]  # of a position that comes again the first counts
+    assert one.known.asked == 4 and one.waiting.asked == 0 and one.known.value[2] == 0
+
+
+def test_many_waiting_scores_are_kept_by_position(spark):
+    one = smoother()
+    late = list(range(2, 2 * HELD + 2))
+    for at in range(0, len(late), 50):
+        assert brought(one, *[(n, n / 1000) for n in late[at:at + 50]]) == []
+    assert brought(one, (late[-1], 0.9)) == [] and one.known.value[2] == len(late)
+    assert len(one.known.value[3]) == HELD and len(one.waiting.entries) == len(late) - HELD
+    assert brought(one, (1, 0.001)) == [(n, n / 1000) for n in (1, *late)]
+    assert one.known.value[2] == 0 and not one.waiting.entries and not one.known.value[3]
+
+
 def some_events(make_log, seed=2):
     """Sixty events over an hour in any order, a third of them in a file of its own, the others by halves of the hour."""
     draw = random.Random(seed)
