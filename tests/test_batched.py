@@ -107,6 +107,42 @@ def test_boosting_equals_brute_force(spark):
     assert first.count() >= 2 and nodes.where("feature >= 0 AND threshold IS NULL").count() == 0
 
 
+@pytest.mark.parametrize("depth", [0, 1, 2, 3, 4, 5])
+def test_small_and_large_trees_route_alike(depth):
+    rng = np.random.default_rng(depth)
+    codes = rng.integers(0, 256, (500, 4)).astype(np.uint8)
+    tree, open_nodes = B.Tree(), [0]
+    for level in range(depth):
+        parted = [n for n in open_nodes if level == 0 or rng.random() < 0.8]
+        open_nodes = [child for n in parted for child in tree.part(n, int(rng.integers(0, 4)), int(rng.choice([0, 100, 200, 254, 255])))]
+    tree.weight = rng.normal(size=len(tree.weight)).tolist()
+    ends = []
+    for row in codes:
+        node = 0
+        while tree.feature[node] >= 0:
+            node = (tree.left if row[tree.feature[node]] <= tree.cut[node] else tree.right)[node]
+        ends.append(node)
+    columns = np.ascontiguousarray(codes.T)
+    routes = B.Routes.by_code(tree)
+    assert (routes.ends is None) == (sum(f >= 0 for f in tree.feature) > B.NODES)
+    assert routes.nodes(columns).tolist() == ends
+    assert routes.weights(columns).tolist() == [tree.weight[n] for n in ends]
+    values = B.Routes(*routes.tree, routes.weight)  # the same limits over numbers
+    assert values.nodes(columns.astype(float)).tolist() == ends
+
+
+def test_rows_know_no_margins_before_a_refresh(spark):
+    """A table of margins has a number for each model and row, read at every level of every tree."""
+    _, df = some_rows(spark)
+    table = B.by_bucket(df, [0, 1, 2])
+    binned = B._binned(table, B.learn_cuts(table))
+    assert {len(r["margins"]) for r in binned.collect()} == {0}
+    route = B.Routes.by_code(B.Tree())
+    route.weight[:] = 0.5
+    moved = B._moved(binned, {(b, 1): [route] for b in range(3)}, 2).collect()
+    assert {tuple(np.frombuffer(r["margins"], float)) for r in moved} == {(0.0, 0.5)}
+
+
 def test_rows_and_columns_are_drawn(spark):
     keys = np.random.default_rng(1).integers(-2**63, 2**63, 20_000)
     shares = [B.sampled(keys, s, t, 0.7) for s, t in ((0, 0), (0, 1), (1, 0))]
