@@ -275,3 +275,24 @@ def test_sides_come_from_a_written_log(make_log, monkeypatch):
             run()
         written = found.value.args[0]
         assert written.df.inputFiles() and written.df.count() == 3 and written.spec == log.spec
+
+
+def test_landmarks_are_the_least_of_all_tasks_and_each_row_is_weighed_once(spark):
+    draw = random.Random(5)
+    points = [[float(draw.randrange(12)), float(draw.randrange(5)) - 2.0, draw.choice([0.0, -0.0])] for _ in range(400)]
+    known = spark.createDataFrame([(p,) for p in points], "__x array<double>").repartition(7)
+    hashed = known.select("__x", F.xxhash64(F.lit(22), "__x").alias("h")).collect()
+    def least(p, h):
+        return -math.log((abs(h) % (1 << 52) + 1) / (1 << 52)) / (1 + p[0])
+    want = {tuple(v + 0.0 for v in r["__x"]): least(r["__x"], r["h"]) for r in hashed}
+    seen = spark.sparkContext.accumulator(0)
+
+    def weight(rows):
+        seen.add(len(rows))
+        return 1 + rows[:, 0]
+
+    for count in (9, 40, 500):
+        seen.value = 0
+        got = NystroemFeatures(1.0, count)._drawn(known, weight)
+        assert [tuple(r) for r in got.tolist()] == sorted(want, key=lambda p: (want[p], p))[:count]
+        assert seen.value == len(points)
