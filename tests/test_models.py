@@ -296,3 +296,16 @@ def test_landmarks_are_the_least_of_all_tasks_and_each_row_is_weighed_once(spark
         got = NystroemFeatures(1.0, count)._drawn(known, weight)
         assert [tuple(r) for r in got.tolist()] == sorted(want, key=lambda p: (want[p], p))[:count]
         assert seen.value == len(points)
+
+
+def test_calibration_scores_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(i):
+        seen.add(1)
+        return (i % 10) / 10
+
+    rows = spark.range(200).select(score("id").alias("predicted"), (F.col("id") % 10 > F.col("id") % 7).cast("int").alias("y"))
+    platt = Platt().fit(rows)
+    assert seen.value == 200 and platt.slope > 0
