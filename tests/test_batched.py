@@ -143,6 +143,22 @@ def test_rows_know_no_margins_before_a_refresh(spark):
     assert {tuple(np.frombuffer(r["margins"], float)) for r in moved} == {(0.0, 0.5)}
 
 
+def test_runs_of_equal_weights_are_scored_once(spark):
+    _, df = some_rows(spark)
+    fitted = B.fit_logit(df, [("-2", {"C": -2}), ("3", {"C": 3})], runs=4)
+    assert fitted._shared(spark).count() == 3 * 2
+    one = fitted.models[0, "3", 0]
+    fitted.models[0, "3", 2] = (one[0] + 1, one[1])  # a run of its own
+    assert sorted(sorted(r["runs"]) for r in fitted._shared(spark).where("bucket = 0 AND params = '3'").collect()) == [[0, 1, 3], [2]]
+    scored = fitted.score(df).collect()
+    assert len(scored) == 240 * 2 * 4 + 4 * 2 * 4
+    x = {r["id"]: r["features"].toArray() for r in df.collect()}
+    for r in scored:
+        if r["bucket"] < 90:
+            b, w = fitted.models[r["bucket"], r["params"], r["run"]]
+            assert r["predicted"] == pytest.approx(1 / (1 + math.exp(-(b + x[r["id"]] @ w))), rel=1e-12)
+
+
 def test_rows_and_columns_are_drawn(spark):
     keys = np.random.default_rng(1).integers(-2**63, 2**63, 20_000)
     shares = [B.sampled(keys, s, t, 0.7) for s, t in ((0, 0), (0, 1), (1, 0))]
