@@ -128,3 +128,58 @@ def test_windows_do_not_grow_with_encoders(spark, make_log):
         plan = SparseEncoding([E.encoder(n, cat=["activity"]) for n in names]).changes(log)._jdf.queryExecution().optimizedPlan().toString()
         return sum("Window [" in line for line in plan.splitlines())
     assert windows(["last", "previous", "static", "last"]) <= windows(["last", "previous"])
+
+
+@pytest.mark.parametrize("name, limit", [("union", 0), ("agg", 0), ("index", 0), ("union", 7), ("last", 7)])
+def test_large_index_equals_dense(spark, make_log, hot, monkeypatch, name, limit):
+    """An index too large for a broadcast, with frequent features apart from the rest; numbers never go the way of the rest where all are frequent."""
+    from tracewise.operators import sparse as S
+
+    if limit:
+        hot(limit)
+    monkeypatch.setattr(S, "BROADCAST_LEVELS", 4)
+    monkeypatch.setattr(S, "TASK_EVENTS", 15)
+    rest, rare = [], SparseEncoding._rare
+    monkeypatch.setattr(SparseEncoding, "_rare", lambda self, rows, parts=None: rest.append((self.numbers_often, rows.where("numeric").count())) or rare(self, rows, parts))
+    train, other = prefixes(some_log(make_log)), prefixes(some_log(make_log, 2, 3, 17))
+    encoding = SparseEncoding(ENCODERS[name]())
+    sparse, other_written = encoding.fit(encoding.written(train)), encoding.written(other)
+    assert sparse.size > 4 and not {"ts", "seq"} & set(other_written.df.columns) and other_written.df.inputFiles()
+    got = {}
+    for r in sparse.long(other_written).collect():
+        got.setdefault((r.case_id, r[PREFIX]), {})[r["name"]] = r.value
+    want = dense(ENCODERS[name](), train, other)
+    assert {k: {n: pytest.approx(x, abs=1e-9) for n, x in v.items()} for k, v in want.items() if v} == got
+    assert len(rest) == 1 and (not rest[0][0] or rest[0][1] == 0)
+    names = {r.position: r["name"] for r in sparse.names().collect()}
+    for r in sparse.transform(other).collect():
+        assert {names[int(i)]: x for i, x in zip(r.features.indices, r.features.values)} == got.get((r.case_id, r[PREFIX]), {})
+
+
+def test_frequent_numbers_stay_and_only_levels_meet_a_large_index(spark, make_log, monkeypatch):
+    from tracewise.operators import sparse as S
+
+    rows = [(f"c{k}", i, "ab"[i % 2], f"r{(7 * k + i) % 20}", 1.0 + i) for k in range(30) for i in range(3)]
+    log = prefixes(make_log(rows, extra="r string, x double"))
+    monkeypatch.setattr(S, "BROADCAST_LEVELS", 10)
+    seen, rare = [], SparseEncoding._rare
+    monkeypatch.setattr(SparseEncoding, "_rare", lambda self, rows, parts=None: seen.append(sorted(r["feature"] for r in rows.select("feature").distinct().collect())) or rare(self, rows, parts))
+    sparse = SparseEncoding(E.encoder("last", cat=["r"], num=["x"])).fit(log)
+    assert sparse.long(log).count() == 180 and seen == [["r"]] and sparse.numbers_often and not sparse.levels_often
+
+
+def test_shuffle_files_of_a_written_table_go(spark):
+    from tracewise.session import CLEANUP_KEY, keep
+
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = files.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    rows = spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    kept, before = set(shuffled()), spark.conf.get(CLEANUP_KEY)
+    assert keep(rows, "cleaned", clean=True).count() == 7
+    after = shuffled() - kept
+    keep(rows, "left")
+    assert len(shuffled() - kept) > len(after) and spark.conf.get(CLEANUP_KEY) == before
